@@ -17,6 +17,10 @@ BLOCK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[ord("."), ord(",")]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -109,12 +113,17 @@ def _cut(buf: np.ndarray, at: int, stop: int, limit: int) -> int:
     return at + limit + int(found[0]) if len(found) else stop
 
 
-def word_bounds(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each row the number of words before it (one entry more than rows)."""
+def word_bounds(buf: np.ndarray, bounds: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each row the number of words before it (one entry more than rows).
+
+    marks: cut words also before a full stop or comma that follows one of A-Z, a-z.
+    """
     solid = np.zeros(len(buf) + 2, dtype=bool)
     solid[1:-1] = ~SPACE[buf]
     edge = np.zeros(len(buf) + 1, dtype=bool)
     edge[bounds] = True
+    if marks:
+        edge[1:-1] |= _MARK[buf[1:]] & _LETTER[buf[:-1]]
     starts = np.flatnonzero(solid[1:] & (~solid[:-1] | edge))
     ends = np.flatnonzero(solid[:-1] & (~solid[1:] | edge))
     return starts, ends, np.searchsorted(starts, bounds)
