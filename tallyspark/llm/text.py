@@ -49,17 +49,25 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of values[starts[i]:ends[i]] (values: uint64); equal spans have equal hashes wherever they stand."""
-    n = len(values)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * _power("up", _BASE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * _power("down", pow(_BASE, -1, 1 << 64), n + 1)[starts]
-    return mixed(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+class Spans:
+    """Hashes of spans of values (uint64); equal spans have equal hashes wherever they stand."""
+
+    def __init__(self, values: np.ndarray):
+        self.total = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * _power("up", _BASE, len(values)), out=self.total[1:])
+        self.back = _power("down", pow(_BASE, -1, 1 << 64), len(values) + 1)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.total[ends] - self.total[starts]) * self.back[starts]
+        return mixed(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def byte_spans(buf: np.ndarray) -> Spans:
+    return Spans(_BYTE_VALUE[buf])
 
 
 def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTE_VALUE[buf], starts, ends)
+    return byte_spans(buf).hashes(starts, ends)
 
 
 class Block(NamedTuple):
