@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import telemetry
+from tallyspark.plans import history, telemetry
 
 #: The modules that hold queries: each has QUERIES and SQL.
-MODULES = (telemetry,)
+MODULES = (telemetry, history)
 FLAGSHIP = "span_phase_totals"
 
 
