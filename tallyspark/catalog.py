@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import history, lineage, telemetry
+from tallyspark.plans import history, lineage, proofs, telemetry
 
 #: The modules that hold queries: each has QUERIES and SQL.
-MODULES = (telemetry, history, lineage)
+MODULES = (telemetry, history, lineage, proofs)
 FLAGSHIP = "span_phase_totals"
 
 
