@@ -244,13 +244,14 @@ def identify(docs: DataFrame, m: LanguageModels, train: Column) -> DataFrame:
     The models learn from text and lang of rows where `train` holds and both are not null; nothing but the text decides a
     prediction. A word's likelihood sums over all its segmentations into pieces (a forward algorithm over its bytes with the mark
     of its begin); a text's is the product over its words. A null text, one without a letter, or nothing to learn from
-    gives `und` and 0; ties go to the language first by code point; an empty table gives no rows; repeated rows are each predicted. docs must have no column
-    of the added names.
+    gives `und` and 0; ties go to the language first by code point; an empty table gives no rows; repeated rows are each predicted. A column of docs
+    that has an added one's name gives way to it.
     """
     import uuid
 
     langs, p = fit(docs.where(train), m)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     base = docs.select(row, F.col("text").cast("string").alias("text"))
     out = base.mapInArrow(_predict(m, langs, p, uuid.uuid4().hex), f"row {base.schema['row'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "lang_pred", "score")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], "lang_pred", "score")

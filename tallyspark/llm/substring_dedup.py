@@ -155,11 +155,11 @@ def substring_dedup(docs: DataFrame, p: Runs = Runs()) -> DataFrame:
     A run of sentences that stands in several places stays in the first one, by doc_id and then place; in all others its
     sentences go, with the white space behind them. Texts too short for a run stay as they are, as do rows of a null doc_id. Rows
     that share a doc_id count as one document: the same run at the same place of both is one. A text of which everything goes is empty; a null
-    text stays null; an empty table gives no rows. docs must have no column of the added names; n_chars is left as it is.
+    text stays null; an empty table gives no rows. A column of docs that has an added one's name gives way to it; n_chars is left as it is.
     """
     hits = repeated_runs(docs, p).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
-    names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
+    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed_words")]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
     base = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = base.join(hits, "doc_id", "left").select("row", "text", "gone")
     schema = f"row {joined.schema['row'].dataType.simpleString()}, text string, n_sentences long, n_removed long, removed_words long"
