@@ -18,7 +18,7 @@ import numpy as np
 
 LANES, STEPS, INTERVAL, PRECISION = 32, 1024, 256, 20
 HEAD = struct.Struct("<4sHHIII")  # magic, version, precision, lanes, interval, crc32 of the frequencies
-BLOCK = struct.Struct("<IIIII")  # ids, steps, words, crc32 of ids, crc32 of words
+BLOCK = struct.Struct("<IIIII")  # ids, steps, words, crc32 of ids, crc32 of checkpoints and words
 TAIL = struct.Struct("<QIII4s")  # ids of the file, bytes and crc32 of the index, blocks, magic
 MAGIC, VERSION, LOW, WORD = b"TRNS", 1, 1 << 28, 24
 #: Blocks encoded or decoded at once.
@@ -80,8 +80,8 @@ def encode(model: Model, ids: np.ndarray, steps: int) -> Iterator[bytes]:
         stream = own[mask].view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
         places = np.append(0, np.cumsum(mask.sum(axis=1)))[:-1:INTERVAL].astype("<u4")
         part = np.asarray(ids[b * size : (b + 1) * size]).astype("<u4")
-        head = BLOCK.pack(len(part), steps, len(stream) // 3, zlib.crc32(part.tobytes()), zlib.crc32(stream))
-        yield head + places.tobytes() + b"".join(s[b].astype("<i8").tobytes() for s in states) + stream
+        body = places.tobytes() + b"".join(s[b].astype("<i8").tobytes() for s in states) + stream
+        yield BLOCK.pack(len(part), steps, len(stream) // 3, zlib.crc32(part.tobytes()), zlib.crc32(body)) + body
 
 
 def decode(model: Model, blocks: list[bytes]) -> list[np.ndarray]:
@@ -90,13 +90,13 @@ def decode(model: Model, blocks: list[bytes]) -> list[np.ndarray]:
     steps = BLOCK.unpack_from(blocks[0])[1]
     n_parts = -(-steps // INTERVAL)
     for block in blocks:
-        n, own_steps, n_words, ids_crc, words_crc = BLOCK.unpack_from(block)
+        n, own_steps, n_words, ids_crc, body_crc = BLOCK.unpack_from(block)
         at = BLOCK.size
         places.append(np.frombuffer(block, "<u4", n_parts, at).astype(np.int64) + base)
         at += 4 * n_parts
         states.append(np.frombuffer(block, "<i8", n_parts * LANES, at).reshape(n_parts, LANES))
         at += 8 * n_parts * LANES
-        if own_steps != steps or len(block) != at + 3 * n_words or zlib.crc32(block[at:]) != words_crc:
+        if own_steps != steps or len(block) != at + 3 * n_words or zlib.crc32(block[BLOCK.size :]) != body_crc:
             raise ValueError("a block of token ids is damaged")
         streams.append(np.frombuffer(block, np.uint8, 3 * n_words, at))
         heads.append((n, ids_crc))
