@@ -172,24 +172,96 @@ def confirmer(p: NearDuplicates):
     return run
 
 
-def _similar(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
-    """The pairs (a, b) that pass the Bayesian check and then the exact one, as edges."""
-    side = lambda key, cells, n: sketches.select(F.col("doc_id").alias(key), F.col("compared").alias(cells), F.col("n_shingles").alias(n))
+BLOCK_ROWS, BLOCK_PAIRS = 512, 1 << 17
+
+
+def block_pruner(p: NearDuplicates):
+    """Reads, sorted by (band, salt, kind), the rows of a band's group that lie outside its largest label and then a block of all its rows; gives the pairs of other labels that the Bayesian check keeps."""
+
+    def matches(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        small, large = np.minimum(x["n_shingles"][i], y["n_shingles"][j]), np.maximum(x["n_shingles"][i], y["n_shingles"][j])
+        fit = 100 * small >= p.percent * large
+        i, j, equal, seen = i[fit], j[fit], np.zeros(int(fit.sum()), dtype=np.int64), 0
+        for n, least in p.least_matches():
+            equal += (x["cells"][i, seen:n] == y["cells"][j, seen:n]).sum(axis=1)
+            seen = n
+            keep = equal >= least
+            i, j, equal = i[keep], j[keep], equal[keep]
+        return i, j
+
+    def rows_of(batch: pa.RecordBatch, first: int, n: int) -> dict:
+        part = batch.slice(first, n)
+        out = {c: part.column(c).to_numpy() for c in ("doc_id", "label", "top", "n_shingles")}
+        out["cells"] = np.frombuffer(b"".join(part.column("compared").to_pylist()), dtype="<u2").reshape(-1, p.compared)
+        return out
+
+    def pairs_of(outside: dict, inside: dict) -> Iterator[pa.RecordBatch]:
+        step = max(1, BLOCK_PAIRS // max(1, len(inside["doc_id"])))
+        for at in range(0, len(outside["doc_id"]), step):
+            x = {c: v[at : at + step] for c, v in outside.items()}
+            wanted = x["label"][:, None] != inside["label"][None, :]
+            wanted &= (inside["label"] == inside["top"])[None, :] | (x["doc_id"][:, None] < inside["doc_id"][None, :])
+            i, j = matches(x, inside, *np.nonzero(wanted))
+            a, b = x["doc_id"][i], inside["doc_id"][j]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for batch in batches:
+            if not len(batch):
+                continue
+            band, salt, kind = (batch.column(c).to_numpy() for c in ("band", "salt", "kind"))
+            cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0)) + 1
+            for first, stop in zip([0, *cuts], [*cuts, len(batch)]):
+                if here != (band[first], salt[first]):
+                    here, held = (band[first], salt[first]), []
+                rows = rows_of(batch, first, stop - first)
+                if kind[first] == 0:
+                    held.append(rows)
+                    continue
+                for outside in held:
+                    yield from pairs_of(outside, rows)
+
+    return run
+
+
+def _likely(pairs: DataFrame, near: DataFrame, p: NearDuplicates) -> DataFrame:
+    """The pairs (a, b) that pass the Bayesian check."""
+    side = lambda key, cells, n: near.select(F.col("doc_id").alias(key), F.col("compared").alias(cells), F.col("n_shingles").alias(n))
     both = pairs.join(side("a", "left", "n_left"), "a").join(side("b", "right", "n_right"), "b")
-    likely = written(both.select("a", "b", "left", "right", "n_left", "n_right").mapInArrow(pruner(p), "a long, b long"), "likely")
+    return both.select("a", "b", "left", "right", "n_left", "n_right").mapInArrow(pruner(p), "a long, b long")
+
+
+def _rest(placed: DataFrame, near: DataFrame, p: NearDuplicates) -> DataFrame:
+    """The pairs of different labels in a band's group that pass the Bayesian check: rows outside the group's largest label against all its rows, in blocks of these."""
+    sizes = placed.groupBy("band", "label").agg(F.count("*").alias("many"))
+    groups = sizes.groupBy("band").agg(F.max(F.struct("many", "label")).alias("largest"), F.sum("many").alias("rows")).select("band", F.col("largest.label").alias("top"), (1 + F.expr(f"rows div {BLOCK_ROWS}")).alias("salts"))
+    rows = placed.join(groups, "band").join(near, "doc_id").select("band", "doc_id", "label", "top", "salts", "n_shingles", "compared")
+    outside = rows.where("label <> top").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc_id", "label", "top", "n_shingles", "compared")
+    inside = rows.select("band", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(1).alias("kind"), "doc_id", "label", "top", "n_shingles", "compared")
+    dealt = outside.union(inside).repartition(spread(placed.sparkSession), "band", "salt").sortWithinPartitions("band", "salt", "kind")
+    return dealt.mapInArrow(block_pruner(p), "a long, b long").distinct()
+
+
+def _confirmed(likely: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, as edges. Partners of one document are dealt to blocks of about 64."""
     salted = likely.join(likely.groupBy("a").agg(F.count("*").alias("many")), "a").withColumn("salt", F.expr("pmod(xxhash64(b), 1 + many div 64)")).drop("many")
     ends = salted.select("a", "salt").distinct().selectExpr("a as doc_id", "a", "salt", "0 as kind", "cast(null as long) as b")
     ends = ends.union(salted.selectExpr("b as doc_id", "a", "salt", "1 as kind", "b"))
     rows = ends.join(texts, "doc_id").select("a", "salt", "kind", "b", "text")
-    return rows.repartition(spread(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(confirmer(p), "src long, dst long")
+    return rows.repartition(spread(likely.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(confirmer(p), "src long, dst long")
+
+
+#: Leaders are tried while at least this share of their pairs are links, and so many times at most.
+USEFUL, MOST_STARS = 0.05, 6
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     """One row for each row of docs (doc_id: long, text): doc_id, n_shingles, component_id, kept.
 
     Rows of equal shingle sets form one class; only the classes' smallest doc_ids go on. Classes that share a band
-    are candidates. In each band's group a leader is compared with all others, again with other leaders while much is
-    apart; what is then still apart is compared in full, so that no candidate pair of different components is left out
+    are candidates. In each band's group a leader is compared with all others, again with other leaders while that finds
+    links; what is then still apart is compared in full, in blocks, so that no candidate pair of different components is left out
     and a group of alike texts costs rows in proportion to its size. Rows of a null doc_id link with nothing (component null, kept);
     rows that share a doc_id count as one document with the links of all of them. Texts without words are empty sets
     and link with nothing. Other columns are ignored.
@@ -209,23 +281,23 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     near = written(reps.join(involved, "doc_id", "left_semi").select("doc_id", "n_shingles", "compared"), "near")
     texts = written(source.join(involved, "doc_id", "left_semi"), "texts")
 
-    edges, labels, tested, round_no = None, None, None, 0
-    while True:
+    edges, labels, tested, last = None, None, None, False
+    for round_no in range(MOST_STARS + 1):
         placed = members.withColumn("label", F.col("doc_id"))
         if labels is not None:
             placed = members.join(labels, members.doc_id == labels.node, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
             apart = placed.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("band")
             placed = written(placed.join(apart, "band", "left_semi"), "placed")
-        last = round_no > 0 and _is_small(placed, round_no)
-        pairs = _rest(placed) if last else _star(placed, round_no)
+        last = last or round_no == MOST_STARS
+        pairs = _rest(placed, near, p) if last else _star(placed, round_no)
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = written(_similar(pairs, near, texts, p), "links")
+        links = written(_confirmed(pairs if last else written(_likely(pairs, near, p), "likely"), texts, p), "links")
         edges = links if edges is None else edges.union(links)
         tested = pairs if tested is None else tested.union(pairs)
         labels = written(components(edges), "labels")
         if last:
             break
-        round_no += 1
+        last = links.count() < USEFUL * pairs.count()
     component = classes.join(labels, classes.rep == labels.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", *key).join(component, key, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -239,21 +311,3 @@ def _star(placed: DataFrame, round_no: int) -> DataFrame:
     leader = leader.select("band", F.col("first.doc_id").alias("head"), F.col("first.label").alias("head_label"))
     pairs = placed.join(leader, "band").where("label <> head_label")
     return pairs.select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
-
-
-def _is_small(placed: DataFrame, round_no: int, rows_each: int = 8, rounds: int = 6) -> bool:
-    """Whether all that is still apart is few pairs for each row; after some rounds of other leaders it is taken as it is."""
-    sizes = placed.groupBy("band", "label").agg(F.count("*").alias("many"))
-    groups = sizes.groupBy("band").agg(F.sum("many").alias("rows"), F.max("many").alias("top"))
-    rows, pairs = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.expr("(rows - top) * cast(rows as double)")), F.lit(0.0))).first()
-    return pairs <= rows_each * rows or round_no >= rounds
-
-
-def _rest(placed: DataFrame) -> DataFrame:
-    """All pairs of different labels in a group: those outside the group's largest label, each with all members of other labels."""
-    sizes = placed.groupBy("band", "label").agg(F.count("*").alias("many"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("many", "label")).alias("top")).select("band", F.col("top.label").alias("top"))
-    marked = placed.join(largest, "band")
-    outside = marked.where("label <> top").select("band", F.col("doc_id").alias("x"), F.col("label").alias("x_label"))
-    pairs = outside.join(marked, "band").where("label <> x_label and (label = top or x < doc_id)")
-    return pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
