@@ -262,8 +262,9 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     Rows of equal shingle sets form one class; only the classes' smallest doc_ids go on. Classes that share a band
     are candidates. In each band's group a leader is compared with all others, again with other leaders while that finds
     links; what is then still apart is compared in full, in blocks, so that no candidate pair of different components is left out
-    and a group of alike texts costs rows in proportion to its size. Rows of a null doc_id link with nothing (component null, kept);
-    rows that share a doc_id count as one document with the links of all of them. Texts without words are empty sets
+    and a group of alike texts costs rows in proportion to its size. Rows of a null doc_id link with nothing (component null, kept).
+    Rows that share a doc_id go each by its own text; only where that id is the smallest of several classes are these
+    linked through it. Texts without words are empty sets
     and link with nothing. Other columns are ignored.
     """
     spark = docs.sparkSession
