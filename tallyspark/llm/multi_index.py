@@ -24,7 +24,7 @@ class Codes:
     def fit(cls, sample: np.ndarray, rounds: int = 30) -> Codes:
         mean = sample.mean(axis=0)
         centred = sample - mean
-        _, _, axes = np.linalg.svd(centred, full_matrices=True)
+        axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1].T
         parts = centred @ axes.T
         turn = np.linalg.qr(np.random.default_rng(17).normal(size=(parts.shape[1],) * 2))[0]
         for _ in range(rounds):
