@@ -21,7 +21,8 @@ class NearDuplicates:
     """Parameters. A pair of similarity `threshold` shares no band with probability (1 - threshold**rows)**bands, 3e-6 as given.
 
     width: words of a shingle. rows, bands: minhash values of a band, and bands. compared: minhash values that the
-    Bayesian check may read, in batches of `batch`. miss: a candidate is dropped once the posterior probability
+    Bayesian check may read, in batches of `batch`. wide: further values of one byte each, which it reads in batches of 4 * `batch` where whole
+    groups are compared; bytes of different values are equal once in 256, which only keeps more pairs. miss: a candidate is dropped once the posterior probability
     (uniform prior) that its similarity reaches the threshold is below this.
     """
 
@@ -31,19 +32,20 @@ class NearDuplicates:
     bands: int = 42
     compared: int = 128
     batch: int = 32
-    miss: float = 1e-6
+    miss: float = 1e-5
+    wide: int = 1024
 
     @property
     def threshold(self) -> float:
         return self.percent / 100
 
-    def least_matches(self) -> list[tuple[int, int]]:
+    def least_matches(self, most: int = 0, step: int = 0) -> list[tuple[int, int]]:
         """(n, m): with fewer than m equal values among the first n, a pair is dropped."""
-        found, t = [], self.threshold
-        for n in range(self.batch, self.compared + 1, self.batch):
+        found, t, step = [], self.threshold, step or self.batch
+        for n in range(step, (most or self.compared) + 1, step):
             below, m = 0.0, 0
             while m <= n:  # posterior P(similarity >= t | m of n) = P(Binomial(n + 1, t) <= m)
-                below += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
+                below += math.exp(math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * math.log(t) + (n + 1 - m) * math.log(1 - t))
                 if below >= self.miss:
                     break
                 m += 1
@@ -125,6 +127,35 @@ def sketcher(p: NearDuplicates):
     return run
 
 
+WIDE = "doc_id long, n_shingles long, compared binary, wide binary, keys binary"
+
+
+def widener(p: NearDuplicates):
+    """For the documents of groups: their sketch again, with `wide` bytes of further minhash values, and their bands as 32-bit keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(32_452_843)
+        scale = rng.integers(0, 1 << 32, p.wide, dtype=np.uint32) | np.uint32(1)
+        shift = rng.integers(0, 1 << 32, p.wide, dtype=np.uint32)
+        for batch in batches:
+            if not len(batch):
+                continue
+            base = pa.Table.from_batches(list(sketcher(p)(iter([batch]))))
+            keys = [np.array(k, dtype=np.int64).astype("<u4").tobytes() for k in base.column("bands").to_pylist()]
+            wide: list[bytes] = []
+            for _, sets, bounds in shingle_sets(batch.column("text"), p.width):
+                some = np.flatnonzero(np.diff(bounds))
+                short, at = (sets >> np.uint64(32)).astype(np.uint32), bounds[:-1][some]
+                values = np.zeros((len(bounds) - 1, p.wide), dtype=np.uint8)
+                for i in range(p.wide if len(some) else 0):
+                    low = np.minimum.reduceat(short * scale[i] + shift[i], at)
+                    values[some, i] = (low * np.uint32(0x9E3779B1)) >> np.uint32(24)
+                wide += [v.tobytes() for v in values]
+            yield from base.select(["doc_id", "n_shingles", "compared"]).append_column("wide", pa.array(wide, pa.binary())).append_column("keys", pa.array(keys, pa.binary())).combine_chunks().to_batches()
+
+    return run
+
+
 def pruner(p: NearDuplicates):
     """Drops pairs batch by batch of signature values, and pairs whose set sizes rule the threshold out."""
 
@@ -187,21 +218,33 @@ def block_pruner(p: NearDuplicates):
             seen = n
             keep = equal >= least
             i, j, equal = i[keep], j[keep], equal[keep]
+        equal, seen = np.zeros(len(i), dtype=np.int64), 0
+        for n, least in p.least_matches(p.wide, 4 * p.batch):
+            equal += (x["bytes"][i, seen:n] == y["bytes"][j, seen:n]).sum(axis=1)
+            seen = n
+            keep = equal >= least
+            i, j, equal = i[keep], j[keep], equal[keep]
         return i, j
 
     def rows_of(batch: pa.RecordBatch, first: int, n: int) -> dict:
         part = batch.slice(first, n)
         out = {c: part.column(c).to_numpy() for c in ("doc_id", "label", "top", "n_shingles")}
-        out["cells"] = np.frombuffer(b"".join(part.column("compared").to_pylist()), dtype="<u2").reshape(-1, p.compared)
+        for name, column, dtype, width in (("cells", "compared", "<u2", p.compared), ("bytes", "wide", np.uint8, p.wide), ("keys", "keys", "<u4", p.bands)):
+            out[name] = np.frombuffer(b"".join(part.column(column).to_pylist()), dtype=dtype).reshape(-1, width)
         return out
 
-    def pairs_of(outside: dict, inside: dict) -> Iterator[pa.RecordBatch]:
+    def pairs_of(outside: dict, inside: dict, place: int) -> Iterator[pa.RecordBatch]:
+        """place: the band's number; a pair that shares an earlier band is left to that one's group."""
         step = max(1, BLOCK_PAIRS // max(1, len(inside["doc_id"])))
         for at in range(0, len(outside["doc_id"]), step):
             x = {c: v[at : at + step] for c, v in outside.items()}
             wanted = x["label"][:, None] != inside["label"][None, :]
             wanted &= (inside["label"] == inside["top"])[None, :] | (x["doc_id"][:, None] < inside["doc_id"][None, :])
-            i, j = matches(x, inside, *np.nonzero(wanted))
+            i, j = np.nonzero(wanted)
+            for first in range(0, place, 8):
+                new = (x["keys"][i, first : min(place, first + 8)] != inside["keys"][j, first : min(place, first + 8)]).all(axis=1)
+                i, j = i[new], j[new]
+            i, j = matches(x, inside, i, j)
             a, b = x["doc_id"][i], inside["doc_id"][j]
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -210,7 +253,7 @@ def block_pruner(p: NearDuplicates):
         for batch in batches:
             if not len(batch):
                 continue
-            band, salt, kind = (batch.column(c).to_numpy() for c in ("band", "salt", "kind"))
+            band, salt, kind, place = (batch.column(c).to_numpy() for c in ("band", "salt", "kind", "place"))
             cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0)) + 1
             for first, stop in zip([0, *cuts], [*cuts, len(batch)]):
                 if here != (band[first], salt[first]):
@@ -220,7 +263,7 @@ def block_pruner(p: NearDuplicates):
                     held.append(rows)
                     continue
                 for outside in held:
-                    yield from pairs_of(outside, rows)
+                    yield from pairs_of(outside, rows, int(place[first]))
 
     return run
 
@@ -236,9 +279,10 @@ def _rest(placed: DataFrame, near: DataFrame, p: NearDuplicates) -> DataFrame:
     """The pairs of different labels in a band's group that pass the Bayesian check: rows outside the group's largest label against all its rows, in blocks of these."""
     sizes = placed.groupBy("band", "label").agg(F.count("*").alias("many"))
     groups = sizes.groupBy("band").agg(F.max(F.struct("many", "label")).alias("largest"), F.sum("many").alias("rows")).select("band", F.col("largest.label").alias("top"), (1 + F.expr(f"rows div {BLOCK_ROWS}")).alias("salts"))
-    rows = placed.join(groups, "band").join(near, "doc_id").select("band", "doc_id", "label", "top", "salts", "n_shingles", "compared")
-    outside = rows.where("label <> top").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc_id", "label", "top", "n_shingles", "compared")
-    inside = rows.select("band", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(1).alias("kind"), "doc_id", "label", "top", "n_shingles", "compared")
+    cells = ["n_shingles", "compared", "wide", "keys"]
+    rows = placed.join(groups, "band").join(near, "doc_id").select("band", "place", "doc_id", "label", "top", "salts", *cells)
+    outside = rows.where("label <> top").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "place", "doc_id", "label", "top", *cells)
+    inside = rows.select("band", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(1).alias("kind"), "place", "doc_id", "label", "top", *cells)
     dealt = outside.union(inside).repartition(spread(placed.sparkSession), "band", "salt").sortWithinPartitions("band", "salt", "kind")
     return dealt.mapInArrow(block_pruner(p), "a long, b long").distinct()
 
@@ -275,18 +319,18 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     classes = written(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id", *key])
     reps = written(reps, "reps")
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
+    banded = reps.select("doc_id", F.posexplode("bands").alias("place", "band"))
     groups = banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
-    members = written(banded.join(groups, "band").select("band", "doc_id"), "members")
+    members = written(banded.join(groups, "band").select("band", "place", "doc_id"), "members")
     involved = members.select("doc_id").distinct()
-    near = written(reps.join(involved, "doc_id", "left_semi").select("doc_id", "n_shingles", "compared"), "near")
     texts = written(source.join(involved, "doc_id", "left_semi"), "texts")
+    near = written(texts.mapInArrow(widener(p), WIDE), "near")
 
     edges, labels, tested, last = None, None, None, False
     for round_no in range(MOST_STARS + 1):
         placed = members.withColumn("label", F.col("doc_id"))
         if labels is not None:
-            placed = members.join(labels, members.doc_id == labels.node, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+            placed = members.join(labels, members.doc_id == labels.node, "left").select("band", "place", "doc_id", F.coalesce("component", "doc_id").alias("label"))
             apart = placed.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("band")
             placed = written(placed.join(apart, "band", "left_semi"), "placed")
         last = last or round_no == MOST_STARS
@@ -298,7 +342,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
         labels = written(components(edges), "labels")
         if last:
             break
-        last = links.count() < USEFUL * pairs.count()
+        last = links.count() <= USEFUL * pairs.count()
     component = classes.join(labels, classes.rep == labels.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", *key).join(component, key, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
