@@ -10,38 +10,41 @@ from tallyspark.llm.scratch import written
 from tallyspark.llm.vectors import CANDIDATES, QUERIES, against_all, best, packed, top_places, usable
 
 #: Parts of the lists' length after which bounds are compared.
-DEPTHS = (1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4)
+DEPTHS = (3 / 4, 7 / 8, 15 / 16)
 #: Integers beyond this could make a score too large for a long.
 LARGEST = 1 << 26
 
 
 def nra(k: int, scale: float):
-    """For a block: one list for each dimension, sorted by component and read from the end that a query's sign asks for."""
+    """For a block: one list for each dimension, sorted by component and read from the end that a query's sign asks for.
+
+    What a list has still to give at a depth depends on the sign alone, so bounds of all queries are products of matrices.
+    """
 
     def search(ids: np.ndarray, cells: np.ndarray, q_ids: np.ndarray, q_cells: np.ndarray):
         x, q = (np.floor(scale * c).astype(np.int64) for c in (cells, q_cells))
         n, dim = x.shape
-        if dim * int(np.abs(x).max()) * int(np.abs(q).max()) < 1 << 31:
-            x, q = x.astype(np.int32), q.astype(np.int32)
+        exact = np.float64 if dim * int(np.abs(x).max()) * int(np.abs(q).max()) < 1 << 53 else np.int64
         lists = np.sort(x, axis=0)
+        up, down = np.maximum(q, 0).astype(exact), np.minimum(q, 0).astype(exact)
+        total = lambda high, low: up @ high.T.astype(exact) + down @ low.T.astype(exact)
+        own = q_ids[:, None] == ids[None, :]
+        alive = ~own
+        for depth in DEPTHS:
+            t = int(n * depth)
+            if alive.sum() <= 16 * k * len(q) or n <= k:
+                break
+            top, bottom = lists[n - 1 - t], lists[t]  # unread: at most top where q is positive, at least bottom where it is negative
+            low = total(np.where(x > top, x, lists[0]), np.where(x < bottom, x, lists[-1])).astype(np.float64)
+            low[own] = -np.inf
+            least = np.partition(low, n - k, axis=1)[:, n - k]
+            alive &= total(np.maximum(x, top), np.minimum(x, bottom)) >= least[:, None]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for j in range(len(q)):
-            alive = np.flatnonzero(ids != q_ids[j])
-            part = x * q[j] if len(alive) == n else x[alive] * q[j]
-            least = np.where(q[j] > 0, lists[0], lists[-1]) * q[j]
-            for depth in DEPTHS:
-                if len(alive) <= 4 * k:
-                    break
-                t = int(n * depth)
-                unread = np.where(q[j] > 0, lists[n - 1 - t], lists[t]) * q[j]  # no list has more than this to come
-                read = part > unread
-                low = np.where(read, part, least).sum(axis=1)
-                high = np.where(read, part, unread).sum(axis=1)
-                keep = high >= np.partition(low, len(low) - k)[len(low) - k]
-                alive, part = alive[keep], part[keep]
-            score = part.sum(axis=1, dtype=np.int64)
-            top = top_places(score, ids[alive], k)
-            found.append((np.full(len(top), j), alive[top], score[top]))
+            left = np.flatnonzero(alive[j])
+            score = x[left] @ q[j]
+            top = top_places(score, ids[left], k)
+            found.append((np.full(len(top), j), left[top], score[top]))
         return tuple(np.concatenate(c) for c in zip(*found))
 
     return search
