@@ -142,7 +142,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     firsts = np.cumsum(counts, axis=0) - counts
     plan = [(int(s), int(h), int(firsts[h, s]), int(counts[h, s]), n_blocks[s]) for h, s in zip(*np.nonzero(counts))]
     rows = spark.createDataFrame(plan, "source_no long, shard long, first long, n long, blocks long").repartition(spread(spark))
-    slots = rows.mapInArrow(_draw(seed), "source_no long, shard long, k long, block long")
+    slots = written(rows.mapInArrow(_draw(seed), "source_no long, shard long, k long, block long"), "slots")
     return Mix(pieces, named.where("size = 0"), slots, block)
 
 
