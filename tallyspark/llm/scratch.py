@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MOST_RANGES = 512
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -31,7 +34,8 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def key_ranges(df: DataFrame, key: str, parts: int) -> Column:
-    """The number of the range of key, from about equal ranges; nulls get -1. The bounds are literals, so that every run of a task deals rows alike."""
+    """The number of the range of key, from at most MOST_RANGES about equal ranges; nulls get -1. The bounds are literals, so that every run of a task deals rows alike."""
+    parts = min(parts, MOST_RANGES)
     probabilities = [i / parts for i in range(1, parts)]
     cuts = sorted(set(df.approxQuantile(key, probabilities, 0.2 / parts))) if parts > 1 else []
     bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else None
