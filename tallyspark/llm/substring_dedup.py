@@ -19,7 +19,9 @@ from tallyspark.llm.text import Spans, blocks, byte_hashes, column_bytes, word_b
 class Runs:
     """A run is the shortest row of at least `sentences` consecutive sentences that has at least `words` words. A sentence ends at a line's end or
     after a word that ends in a full stop, question or exclamation mark (a closing quote or bracket may follow); one of more than
-    `longest` words is cut before each word whose hash `cut` divides, so at the same places wherever its words stand."""
+    `longest` words is cut before each word that has the last smallest hash of some `cut` consecutive words of the sentence. So cuts are at most
+    `cut` words apart, and more than `cut` - 2 words inside a passage they stand at the same places wherever it does: any 4 * cut + words - 3 shared
+    words (49) without a sentence end hold a whole run. Of a longer passage at most 2 * cut - 2 words before its runs stay, and 3 * cut - 2 behind them."""
 
     sentences: int = 2
     words: int = 20
@@ -73,13 +75,28 @@ def _cut(first: int, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hash
     new[1:n] = closed[:-1] | (np.searchsorted(lines, ends[:-1]) < np.searchsorted(lines, starts[1:])) if n else False
     new[before] = True
     edges = np.flatnonzero(new)
-    long_ones = np.repeat(np.diff(edges) > p.longest, np.diff(edges)) if n else np.zeros(0, dtype=bool)
-    new[:n] |= long_ones & (hashes % np.uint64(p.cut) == 0)
+    new[_lows(hashes, edges, p)] = True
     new[n] = True
     edges = np.flatnonzero(new)
     return Rows(first, buf, starts, ends, hashes, edges, np.searchsorted(edges, before))
 
 
+def _lows(hashes: np.ndarray, edges: np.ndarray, p: Runs) -> np.ndarray:
+    """The words of long sentences that have the last smallest hash of some p.cut consecutive words of their sentence."""
+    sizes = np.diff(edges)
+    long_ones = sizes > p.longest
+    at = np.flatnonzero(np.repeat(long_ones, sizes))
+    first, stop = (np.repeat(x[long_ones], sizes[long_ones]) for x in (edges[:-1], edges[1:]))
+    own, wide = hashes[at], np.ones(len(at), dtype=np.int64)
+    left, right = np.ones(len(at), dtype=bool), np.ones(len(at), dtype=bool)
+    for k in range(1, p.cut):
+        left &= (at - k >= first) & (hashes[np.maximum(at - k, 0)] >= own)
+        right &= (at + k < stop) & (hashes[np.minimum(at + k, len(hashes) - 1)] > own)
+        wide += left
+        wide += right
+    return at[wide >= p.cut]
+
+
 def _runs(p: Runs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
