@@ -26,14 +26,22 @@ def new_file(uri: str):
     store.move(temporary, path)
 
 
-def write_manifest(folder: str, files: DataFrame) -> None:
-    """manifest.json in folder: one entry for each file (not for each record), written after all of them."""
+def write_manifest(folder: str, files: DataFrame, **more: dict) -> None:
+    """manifest.json in folder: one entry for each file (not for each record) and those of more, written after all of them."""
     rows = [r.asDict() for r in files.orderBy(*files.columns[:2]).toLocalIterator()]
     with new_file(f"{folder}/manifest.json") as stream:
-        stream.write(json.dumps({"files": rows}).encode())
+        stream.write(json.dumps({"files": rows, **more}).encode())
+
+
+def read_whole(uri: str) -> bytes:
+    store, path = opened(uri)
+    with store.open_input_stream(path, compression=None) as stream:
+        return stream.read()
+
+
+def manifest(folder: str) -> dict:
+    return json.loads(read_whole(f"{folder}/manifest.json"))
 
 
 def read_manifest(folder: str) -> list[dict]:
-    store, path = opened(f"{folder}/manifest.json")
-    with store.open_input_stream(path) as stream:
-        return json.loads(stream.read())["files"]
+    return manifest(folder)["files"]

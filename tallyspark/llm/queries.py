@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import language_id, minhash, mixing, multi_index, packing, substring_dedup, token_counts, token_files, topk, warc
+from tallyspark.llm.scratch import new_folder
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -53,8 +54,9 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, model = token_files.write_token_files(table(spark, sf_dir, "documents"), WORDS)
-    return token_files.read_token_files(files, model)
+    folder = new_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), WORDS, folder=folder)
+    return token_files.read_token_folder(spark, folder)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

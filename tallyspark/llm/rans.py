@@ -5,6 +5,7 @@ states lie in [2**28, 2**52), where a quotient of doubles, cut to an integer, is
 Each INTERVAL steps a checkpoint keeps the lanes' states and the place in the stream, so that a block's parts decode at
 the same time. Frequencies, of 2**PRECISION in all, are shared by all files of a table.
 
+Frequencies: TABLE; zlib of one little-endian unsigned 32-bit number for each id from 0.
 File: HEAD; blocks (BLOCK, checkpoints, words); index (zlib: doc_ids, their validity, their numbers of ids, block offsets); TAIL.
 """
 
@@ -20,6 +21,8 @@ LANES, STEPS, INTERVAL, PRECISION = 32, 1024, 256, 20
 HEAD = struct.Struct("<4sHHIII")  # magic, version, precision, lanes, interval, crc32 of the frequencies
 BLOCK = struct.Struct("<IIIII")  # ids, steps, words, crc32 of ids, crc32 of checkpoints and words
 TAIL = struct.Struct("<QIII4s")  # ids of the file, bytes and crc32 of the index, blocks, magic
+TABLE = struct.Struct("<4sHHII")  # magic, version, precision, ids, crc32 of the frequencies
+TABLE_MAGIC = b"TRNF"
 MAGIC, VERSION, LOW, WORD = b"TRNS", 1, 1 << 28, 24
 #: Blocks encoded or decoded at once.
 WIDE = 64
@@ -47,6 +50,20 @@ class Model:
             freq[used[np.argmax(counts[used])]] += total - int(freq.sum())
         return cls(freq)
 
+    def table(self) -> bytes:
+        return TABLE.pack(TABLE_MAGIC, VERSION, PRECISION, len(self.freq), self.crc) + zlib.compress(self.freq.astype("<u4").tobytes(), 1)
+
+    @classmethod
+    def of_table(cls, data: bytes) -> Model:
+        """The model of table(); a damaged one raises."""
+        try:
+            head, body = TABLE.unpack_from(data), zlib.decompress(data[TABLE.size :])
+        except (struct.error, zlib.error) as error:
+            raise ValueError("the frequencies of token ids are damaged") from error
+        if head != (TABLE_MAGIC, VERSION, PRECISION, len(body) // 4, zlib.crc32(body)):
+            raise ValueError("the frequencies of token ids are damaged")
+        return cls(np.frombuffer(body, "<u4"))
+
     @property
     def symbol(self) -> np.ndarray:
         if self._symbol is None:

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspark.llm.files import new_file, opened, write_manifest
+from tallyspark.llm.files import manifest, new_file, opened, read_whole, write_manifest
 from tallyspark.llm.packing import encoded, ids_of
 from tallyspark.llm.rans import Model, Writer, read_file
 from tallyspark.llm.scratch import new_folder, spread, written
@@ -41,6 +41,7 @@ def shared_model(ids: DataFrame) -> Model:
     return Model.of_counts(counts)
 
 
+TABLE_NAME = "frequencies.trnf"
 FILES = "shard long, path string, docs long, ids long, bytes long"
 
 
@@ -91,7 +92,8 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> tuple[DataFrame, Model]:
     """Writes the ids of docs (doc_id: long, text), each text's with end_id behind them, in ascending order of doc_id.
 
-    Gives the files (shard, path, docs, ids, bytes), which manifest.json in the folder also lists, and the frequencies.
+    Gives the files (shard, path, docs, ids, bytes), which manifest.json in the folder also lists, and the frequencies, which
+    the folder holds as the file that the manifest names: read_token_folder needs nothing but the folder.
     Null doc_ids come first; rows that share a doc_id stand in order of length and ids; a null text counts as empty; an empty
     table gives no files; other columns are ignored.
     """
@@ -103,7 +105,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     n = max(1, min(spread(spark), -(-total // (FILE_IDS // 16))), -(-total // FILE_IDS))
     dealt = ids.select("doc_id", "n", "width", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
     files = written(dealt.mapInArrow(_write(folder, model), FILES), "files")
-    write_manifest(folder, files)
+    data = model.table()
+    with new_file(f"{folder}/{TABLE_NAME}") as stream:
+        stream.write(data)
+    write_manifest(folder, files, frequencies={"name": TABLE_NAME, "ids": len(model.freq), "bytes": len(data), "crc32": zlib.crc32(data)})
     return files, model
 
 
@@ -112,3 +117,13 @@ def read_token_files(files: DataFrame, model: Model) -> DataFrame:
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     placed = files.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("place"))
     return placed.repartition(spread(files.sparkSession)).mapInArrow(_read(model), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_token_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """What read_token_files gives, from a folder alone, wherever it has been moved: its manifest, its frequencies and its files."""
+    found = manifest(folder)
+    data = read_whole(f"{folder}/{found['frequencies']['name']}")
+    if zlib.crc32(data) != found["frequencies"]["crc32"]:
+        raise ValueError("the frequencies of token ids are damaged")
+    rows = [(f["shard"], f"{folder}/{f['path'].rpartition('/')[2]}", f["docs"], f["ids"], f["bytes"]) for f in found["files"]]
+    return read_token_files(spark.createDataFrame(rows, FILES), Model.of_table(data))
