@@ -9,10 +9,14 @@ import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyspark.sources.store import settled
+
 #: The place of an object in the transport by the role of its references; unknown roles come last.
 PRIORITY = {"model": 0, "plan": 0, "comparison": 0, "summary": 0, "control": 0, "history": 1, "performance": 3}
 OTHER, OVERHEAD = 5, 1024
@@ -91,23 +95,78 @@ def part_set_violations(parts: DataFrame, by: str) -> DataFrame:
     return missing.union(twice)
 
 
+def deal_pages(pieces: DataFrame, by: str, most_bytes: int) -> DataFrame:
+    """pieces (by, path, offset, piece) with `page`: in order of by, path and offset, a page takes pieces until most_bytes, and each piece counts with OVERHEAD.
+
+    So a page holds at most most_bytes and one piece, and the number of pages grows with the data. Sums go in two steps: within the parts of a
+    range sort, which are written once, then over the parts' totals, one row for each task.
+    """
+    kinds = dict(pieces.dtypes)
+    columns = [by, "path", "offset", "piece"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            starts = []
+            for n in pc.binary_length(batch.column("piece")).to_pylist():
+                starts.append(at)
+                at += n + OVERHEAD
+            yield pa.record_batch([*batch.columns, pa.array([part] * len(starts), pa.int64()), pa.array(starts, pa.int64())], names=[*columns, "part", "start"])
+
+    order = [by, "path", "offset"]
+    sorted_ = pieces.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = settled(sorted_.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", part long, start long"), "pages")
+    totals = rows.groupBy("part").agg(F.sum(F.length("piece") + F.lit(OVERHEAD)).alias("total"))
+    bases = totals.select("part", (F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("total")).alias("base"))
+    return rows.join(F.broadcast(bases), "part").select(*columns, F.floor((F.col("base") + F.col("start")) / F.lit(most_bytes)).cast("long").alias("page"))
+
+
+def _packed(rows: list[tuple[str, int, bytes]]) -> bytes:
+    target = io.BytesIO()
+    with lzma.LZMAFile(target, "wb", preset=1) as packer, tarfile.open(fileobj=packer, mode="w") as archive:
+        for path, offset, piece in rows:
+            member = tarfile.TarInfo(f"{path}@{offset}")
+            member.size = len(piece)
+            archive.addfile(member, io.BytesIO(piece))
+    return target.getvalue()
+
+
+def _archives(rows: list[tuple[str, int, bytes]], most_bytes: int) -> Iterator[bytes]:
+    """rows in archives of at most most_bytes: what takes more is halved, a single piece by its bytes."""
+    data = _packed(rows)
+    if len(data) <= most_bytes:
+        yield data
+        return
+    half = len(rows) // 2
+    halves = rows[:half], rows[half:]
+    if not half:
+        path, offset, piece = rows[0]
+        half = len(piece) // 2
+        if not half:
+            raise ValueError(f"a piece of {len(piece)} bytes at {offset} of {path} takes {len(data)} bytes, more than {most_bytes}")
+        halves = [(path, offset, piece[:half])], [(path, offset + half, piece[half:])]
+    del data
+    for part in halves:
+        yield from _archives(part, most_bytes)
+
+
 def build_parts(pieces: DataFrame, by: str, page: str, most_bytes: int) -> DataFrame:
-    """by, page, archive, sha256: one tar.xz for each page of pieces (by, page, path, offset, piece), members in order; beyond most_bytes it fails."""
+    """by, page, split, archive, sha256: tar.xz files of each page of pieces (by, page, path, offset, piece), members in order.
+
+    A page is one archive; one that takes more than most_bytes is split, pieces too, until all are within. Only a piece of one byte that takes more fails.
+    A page is held whole by its task: deal_pages bounds its bytes.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        target = io.BytesIO()
-        with lzma.LZMAFile(target, "wb", preset=1) as packer, tarfile.open(fileobj=packer, mode="w") as archive:
-            for row in table.sort_by([("path", "ascending"), ("offset", "ascending")]).to_pylist():
-                member = tarfile.TarInfo(f"{row['path']}@{row['offset']}")
-                member.size = len(row["piece"])
-                archive.addfile(member, io.BytesIO(row["piece"]))
-        data = target.getvalue()
-        if len(data) > most_bytes:
-            raise ValueError(f"page {key} takes {len(data)} bytes, more than {most_bytes}")
-        return pa.table({by: pa.array([key[0].as_py()]), page: pa.array([key[1].as_py()]), "archive": pa.array([data], pa.binary()), "sha256": pa.array([hashlib.sha256(data).hexdigest()])})
+        table = table.sort_by([("path", "ascending"), ("offset", "ascending")])
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("path", "offset", "piece"))))
+        made = list(_archives(rows, most_bytes))
+        n = len(made)
+        cells = [pa.array([key[0].as_py()] * n), pa.array([key[1].as_py()] * n), pa.array(range(n), pa.int64()), pa.array(made, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in made])]
+        return pa.table(cells, names=[by, page, "split", "archive", "sha256"])
 
     kinds = dict(pieces.dtypes)
-    return pieces.groupBy(by, page).applyInArrow(run, f"{by} {kinds[by]}, {page} {kinds[page]}, archive binary, sha256 string")
+    return pieces.groupBy(by, page).applyInArrow(run, f"{by} {kinds[by]}, {page} {kinds[page]}, split long, archive binary, sha256 string")
 
 
 def restore(parts: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from tallyspark.plans.telemetry import COVERAGE_SQL, as_resources, rounded, tabl
 from tallyspark.streaming import coverage
 
 STEP = 500
+#: Bytes of a page of archives before compression, about.
+PAGE_BYTES = 8 << 20
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +47,8 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as chunks in archives, restored; one row for each with whether its digest is still the same."""
     docs = objects(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string"))
-    pieces = transport.chunk_plan(docs, "path", 4096).withColumn("snapshot", F.lit("s")).withColumn("page", F.pmod(F.xxhash64("path"), F.lit(32)))
-    archives = transport.build_parts(pieces.select("snapshot", "page", "path", "offset", "piece"), "snapshot", "page", 200_000_000)
+    pieces = transport.chunk_plan(docs, "path", 4096).withColumn("snapshot", F.lit("s"))
+    archives = transport.build_parts(transport.deal_pages(pieces, "snapshot", PAGE_BYTES), "snapshot", "page", 200_000_000)
     restored = transport.restore(archives).select("path", F.col("sha256").alias("restored"))
     return docs.select("doc_id", "path", F.sha2("content", 256).alias("sha256")).join(restored, "path", "left").select("doc_id", F.col("sha256").eqNullSafe(F.col("restored")).alias("same"))
 
