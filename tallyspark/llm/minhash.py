@@ -20,10 +20,10 @@ from tallyspark.llm.text import mixed, row_words
 class NearDuplicates:
     """Parameters. A pair of similarity `threshold` shares no band with probability (1 - threshold**rows)**bands, 3e-6 as given.
 
-    width: words of a shingle. rows, bands: minhash values of a band, and bands. compared: minhash values that the
-    Bayesian check may read, in batches of `batch`. wide: further values of one byte each, which it reads in batches of 4 * `batch` where whole
-    groups are compared; bytes of different values are equal once in 256, which only keeps more pairs. miss: a candidate is dropped once the posterior probability
-    (uniform prior) that its similarity reaches the threshold is below this.
+    width: words of a shingle. rows, bands: minhash values of a band, and bands; the groups of the first `early` bands are worked on before all others.
+    compared: minhash values that the Bayesian check may read, in batches of `batch`. miss: a candidate is dropped once the posterior probability
+    (uniform prior) that its similarity reaches the threshold is below this. block_rows, block_bytes: rows of a group that one task compares, and bytes of
+    their shingles; a larger group is dealt to several blocks.
     """
 
     width: int = 5
@@ -33,16 +33,18 @@ class NearDuplicates:
     compared: int = 128
     batch: int = 32
     miss: float = 1e-5
-    wide: int = 1024
+    early: int = 4
+    block_rows: int = 2048
+    block_bytes: int = 1 << 24
 
     @property
     def threshold(self) -> float:
         return self.percent / 100
 
-    def least_matches(self, most: int = 0, step: int = 0) -> list[tuple[int, int]]:
+    def least_matches(self) -> list[tuple[int, int]]:
         """(n, m): with fewer than m equal values among the first n, a pair is dropped."""
-        found, t, step = [], self.threshold, step or self.batch
-        for n in range(step, (most or self.compared) + 1, step):
+        found, t = [], self.threshold
+        for n in range(self.batch, self.compared + 1, self.batch):
             below, m = 0.0, 0
             while m <= n:  # posterior P(similarity >= t | m of n) = P(Binomial(n + 1, t) <= m)
                 below += math.exp(math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * math.log(t) + (n + 1 - m) * math.log(1 - t))
@@ -85,6 +87,17 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
         yield first, h[fresh], np.searchsorted(of[fresh], np.arange(len(counts) + 1))
 
 
+def digests(sets: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of each row's set, by which equal sets are known."""
+    out, some = [], np.flatnonzero(np.diff(bounds))
+    for key in (0xA24BAED4963EE407, 0x9FB21C651E98DF25):
+        d = np.zeros(len(bounds) - 1, dtype=np.uint64)
+        if len(some):
+            d[some] = np.add.reduceat(mixed(sets ^ np.uint64(key)), bounds[:-1][some])
+        out.append(d)
+    return out
+
+
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, compared binary, bands array<long>"
 
 
@@ -100,12 +113,10 @@ def sketcher(p: NearDuplicates):
             for first, sets, bounds in shingle_sets(batch.column("text"), p.width):
                 n = np.diff(bounds)
                 some = np.flatnonzero(n)
-                d1, d2 = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+                d1, d2 = digests(sets, bounds)
                 values = np.full((len(n), k), 0xFFFFFFFF, dtype=np.uint32)
                 if len(some):
                     at = bounds[:-1][some]
-                    d1[some] = np.add.reduceat(mixed(sets ^ np.uint64(0xA24BAED4963EE407)), at)
-                    d2[some] = np.add.reduceat(mixed(sets ^ np.uint64(0x9FB21C651E98DF25)), at)
                     short = (sets >> np.uint64(32)).astype(np.uint32)
                     for i in range(k):
                         values[some, i] = np.minimum.reduceat(short * scale[i] + shift[i], at)
@@ -127,191 +138,211 @@ def sketcher(p: NearDuplicates):
     return run
 
 
-WIDE = "doc_id long, n_shingles long, compared binary, wide binary, keys binary"
+SET = "doc_id long, d1 long, shingles binary"
 
 
-def widener(p: NearDuplicates):
-    """For the documents of groups: their sketch again, with `wide` bytes of further minhash values, and their bands as 32-bit keys."""
+def set_maker(p: NearDuplicates):
+    """doc_id, d1 (as the sketch has it) and the sorted shingle hashes of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(32_452_843)
-        scale = rng.integers(0, 1 << 32, p.wide, dtype=np.uint32) | np.uint32(1)
-        shift = rng.integers(0, 1 << 32, p.wide, dtype=np.uint32)
         for batch in batches:
-            if not len(batch):
-                continue
-            base = pa.Table.from_batches(list(sketcher(p)(iter([batch]))))
-            keys = [np.array(k, dtype=np.int64).astype("<u4").tobytes() for k in base.column("bands").to_pylist()]
-            wide: list[bytes] = []
-            for _, sets, bounds in shingle_sets(batch.column("text"), p.width):
-                some = np.flatnonzero(np.diff(bounds))
-                short, at = (sets >> np.uint64(32)).astype(np.uint32), bounds[:-1][some]
-                values = np.zeros((len(bounds) - 1, p.wide), dtype=np.uint8)
-                for i in range(p.wide if len(some) else 0):
-                    low = np.minimum.reduceat(short * scale[i] + shift[i], at)
-                    values[some, i] = (low * np.uint32(0x9E3779B1)) >> np.uint32(24)
-                wide += [v.tobytes() for v in values]
-            yield from base.select(["doc_id", "n_shingles", "compared"]).append_column("wide", pa.array(wide, pa.binary())).append_column("keys", pa.array(keys, pa.binary())).combine_chunks().to_batches()
+            for first, sets, bounds in shingle_sets(batch.column("text"), p.width):
+                n = len(bounds) - 1
+                cells = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds.astype(np.int64) * 8), pa.py_buffer(sets)]).cast(pa.binary())
+                yield pa.record_batch([batch.column("doc_id").slice(first, n), pa.array(digests(sets, bounds)[0].view(np.int64)), cells], names=["doc_id", "d1", "shingles"])
 
     return run
 
 
-def pruner(p: NearDuplicates):
-    """Drops pairs batch by batch of signature values, and pairs whose set sizes rule the threshold out."""
+class Apart:
+    """Labels of a block's rows that links join: union-find, the smaller label leads."""
+
+    def __init__(self, labels: np.ndarray):
+        self.label, self.place = np.unique(labels, return_inverse=True)
+        self.up = np.arange(len(self.label))
+
+    def roots(self) -> np.ndarray:
+        """The root of each row."""
+        while not np.array_equal(self.up, self.up[self.up]):
+            self.up = self.up[self.up]
+        return self.up[self.place]
+
+    def root(self, row: int) -> int:
+        x = self.place[row]
+        while self.up[x] != x:
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the rows a and b were apart until now."""
+        x, y = self.root(a), self.root(b)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+class Block:
+    """Rows of a group: ids, labels, set sizes, signatures and sets, and the links found between them."""
+
+    #: Signature values compared at once.
+    PAIRS = 1 << 17
+    #: Survivors of a row that are verified one by one, the likeliest first; the rest are verified together.
+    SINGLY = 8
+
+    def __init__(self, p: NearDuplicates, columns: dict[str, list]):
+        self.p, self.ids = p, np.array(columns["doc_id"], dtype=np.int64)
+        self.kind = np.array(columns["kind"], dtype=np.int64)
+        self.size = np.array(columns["n_shingles"], dtype=np.int64)
+        self.cells = np.frombuffer(b"".join(columns["compared"]), dtype="<u2").reshape(-1, p.compared)
+        self.sets = [np.frombuffer(x, dtype=np.uint64) for x in columns["shingles"]]
+        self.apart, self.links = Apart(np.array(columns["label"], dtype=np.int64)), []
+
+    def survivors(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of rows that set sizes and, batch by batch, the bound on the posterior similarity leave; and their equal values."""
+        fit = 100 * np.minimum(self.size[i], self.size[j]) >= self.p.percent * np.maximum(self.size[i], self.size[j])
+        i, j, seen = i[fit], j[fit], 0
+        equal = np.zeros(len(i), dtype=np.int64)
+        for n, least in self.p.least_matches():
+            equal += (self.cells[i, seen:n] == self.cells[j, seen:n]).sum(axis=1)
+            seen, keep = n, equal >= least
+            i, j, equal = i[keep], j[keep], equal[keep]
+        return i, j, equal
+
+    def linked(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Of the rows js those whose full sets are similar enough to that of row i."""
+        own, others = self.sets[i], [self.sets[j] for j in js]
+        sizes = self.size[js]
+        every = np.concatenate(others)
+        hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+        return js[100 * common >= self.p.percent * (len(own) + sizes - common)]
+
+    def verify(self, i: int, js: np.ndarray) -> int:
+        """Joins row i with those of js, the likeliest first, that are alike and still apart from it; and how many labels that joined."""
+        new = 0
+        for first, stop in [*((k, k + 1) for k in range(min(self.SINGLY, len(js)))), *((k, k + 256) for k in range(self.SINGLY, len(js), 256))]:
+            part = js[first:stop]
+            part = part[[self.apart.root(j) != self.apart.root(i) for j in part]]
+            for j in self.linked(i, part) if len(part) else ():
+                if self.apart.join(i, j):
+                    self.links.append((self.ids[i], self.ids[j]))
+                    new += 1
+        return new
+
+    def against(self, asked: np.ndarray, others: np.ndarray) -> int:
+        """Compares rows of different labels, each of asked with each of others; how many labels that joined."""
+        new, step = 0, max(1, self.PAIRS // max(1, len(others)))
+        for at in range(0, len(asked), step):
+            rows, roots = asked[at : at + step], self.apart.roots()
+            x, y = np.nonzero(roots[rows][:, None] != roots[others][None, :])
+            i, j, equal = self.survivors(rows[x], others[y])
+            order = np.lexsort((j, -equal, i))
+            i, j = i[order], j[order]
+            starts = np.flatnonzero(np.diff(i, prepend=-1))
+            for a, b in zip(starts, np.append(starts[1:], len(i))):
+                new += self.verify(i[a], j[a:b])
+        return new
+
+    def within(self) -> None:
+        """All rows with each other: a leader with all that are apart from it while that finds much, then all others in full."""
+        n = len(self.ids)
+        every = np.arange(n)
+        for leader in every[:: max(1, n // 8)] if n > 32 else ():
+            if self.against(np.array([leader]), every) * 32 < n:
+                break
+        roots = self.apart.roots()
+        outside = np.flatnonzero(roots != np.bincount(roots).argmax())
+        self.against(outside, every)
+
+    def found(self) -> list[tuple[int, int]]:
+        asked = np.flatnonzero(self.kind == 0)
+        if len(asked):
+            self.against(asked, np.flatnonzero(self.kind == 1))
+        else:
+            self.within()
+        return self.links
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grid = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, p.compared) for c in ("left", "right")]
-            small, large = (f(batch.column("n_left").to_numpy(), batch.column("n_right").to_numpy()) for f in (np.minimum, np.maximum))
-            alive = np.flatnonzero(100 * small >= p.percent * large)
-            equal, seen = np.zeros(len(alive), dtype=np.int64), 0
-            for n, least in p.least_matches():
-                equal += (grid[0][alive, seen:n] == grid[1][alive, seen:n]).sum(axis=1)
-                seen = n
-                keep = equal >= least
-                alive, equal = alive[keep], equal[keep]
-            yield pa.record_batch([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive))], names=["a", "b"])
 
-    return run
+PLACE = ["band", "asking", "asked"]
+CELLS = ["kind", "doc_id", "label", "n_shingles", "compared", "shingles"]
 
 
-def confirmer(p: NearDuplicates):
-    """Reads, sorted by (a, salt, kind), the text of a and then those of its partners; gives the pairs whose full sets are similar enough."""
+def comparer(p: NearDuplicates):
+    """Reads blocks, sorted by PLACE; gives links between rows of different labels, no more than join them. Rows of kind 0 are compared with those of kind 1; where there are none, all with each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, against = None, []
-        for batch in batches:
-            a, salt, kind, b = (batch.column(c).to_pylist() for c in ("a", "salt", "kind", "b"))
-            out: list[tuple[int, int]] = []
-            for first, sets, bounds in shingle_sets(batch.column("text"), p.width):
-                for r in range(len(bounds) - 1):
-                    own, i = sets[bounds[r] : bounds[r + 1]], first + r
-                    if here != (a[i], salt[i]):
-                        here, against = (a[i], salt[i]), []
-                    if kind[i] == 0:
-                        against.append(own)
-                        continue
-                    for other in against:
-                        if len(own) and len(other):
-                            at = np.minimum(np.searchsorted(other, own), len(other) - 1)
-                            common = int((other[at] == own).sum())
-                            if 100 * common >= p.percent * (len(own) + len(other) - common):
-                                out.append((a[i], b[i]))
-                                break
-            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["src", "dst"])
-
-    return run
-
-
-BLOCK_ROWS, BLOCK_PAIRS = 512, 1 << 17
-
+        here, held = None, []
 
-def block_pruner(p: NearDuplicates):
-    """Reads, sorted by (band, salt, kind), the rows of a band's group that lie outside its largest label and then a block of all its rows; gives the pairs of other labels that the Bayesian check keeps."""
+        def done() -> pa.RecordBatch:
+            links = Block(p, {c: [v for part in held for v in part.column(c).to_pylist()] for c in CELLS}).found()
+            return pa.record_batch([pa.array([int(x[k]) for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
-    def matches(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        small, large = np.minimum(x["n_shingles"][i], y["n_shingles"][j]), np.maximum(x["n_shingles"][i], y["n_shingles"][j])
-        fit = 100 * small >= p.percent * large
-        i, j, equal, seen = i[fit], j[fit], np.zeros(int(fit.sum()), dtype=np.int64), 0
-        for n, least in p.least_matches():
-            equal += (x["cells"][i, seen:n] == y["cells"][j, seen:n]).sum(axis=1)
-            seen = n
-            keep = equal >= least
-            i, j, equal = i[keep], j[keep], equal[keep]
-        equal, seen = np.zeros(len(i), dtype=np.int64), 0
-        for n, least in p.least_matches(p.wide, 4 * p.batch):
-            equal += (x["bytes"][i, seen:n] == y["bytes"][j, seen:n]).sum(axis=1)
-            seen = n
-            keep = equal >= least
-            i, j, equal = i[keep], j[keep], equal[keep]
-        return i, j
-
-    def rows_of(batch: pa.RecordBatch, first: int, n: int) -> dict:
-        part = batch.slice(first, n)
-        out = {c: part.column(c).to_numpy() for c in ("doc_id", "label", "top", "n_shingles")}
-        for name, column, dtype, width in (("cells", "compared", "<u2", p.compared), ("bytes", "wide", np.uint8, p.wide), ("keys", "keys", "<u4", p.bands)):
-            out[name] = np.frombuffer(b"".join(part.column(column).to_pylist()), dtype=dtype).reshape(-1, width)
-        return out
-
-    def pairs_of(outside: dict, inside: dict, place: int) -> Iterator[pa.RecordBatch]:
-        """place: the band's number; a pair that shares an earlier band is left to that one's group."""
-        step = max(1, BLOCK_PAIRS // max(1, len(inside["doc_id"])))
-        for at in range(0, len(outside["doc_id"]), step):
-            x = {c: v[at : at + step] for c, v in outside.items()}
-            wanted = x["label"][:, None] != inside["label"][None, :]
-            wanted &= (inside["label"] == inside["top"])[None, :] | (x["doc_id"][:, None] < inside["doc_id"][None, :])
-            i, j = np.nonzero(wanted)
-            for first in range(0, place, 8):
-                new = (x["keys"][i, first : min(place, first + 8)] != inside["keys"][j, first : min(place, first + 8)]).all(axis=1)
-                i, j = i[new], j[new]
-            i, j = matches(x, inside, i, j)
-            a, b = x["doc_id"][i], inside["doc_id"][j]
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, []
         for batch in batches:
             if not len(batch):
                 continue
-            band, salt, kind, place = (batch.column(c).to_numpy() for c in ("band", "salt", "kind", "place"))
-            cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0)) + 1
+            keys = np.stack([batch.column(c).to_numpy() for c in PLACE])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             for first, stop in zip([0, *cuts], [*cuts, len(batch)]):
-                if here != (band[first], salt[first]):
-                    here, held = (band[first], salt[first]), []
-                rows = rows_of(batch, first, stop - first)
-                if kind[first] == 0:
-                    held.append(rows)
-                    continue
-                for outside in held:
-                    yield from pairs_of(outside, rows, int(place[first]))
+                key = tuple(keys[:, first])
+                if held and key != here:
+                    yield done()
+                    held = []
+                here = key
+                held.append(batch.select(CELLS).slice(first, stop - first))
+        if held:
+            yield done()
 
     return run
 
 
-def _likely(pairs: DataFrame, near: DataFrame, p: NearDuplicates) -> DataFrame:
-    """The pairs (a, b) that pass the Bayesian check."""
-    side = lambda key, cells, n: near.select(F.col("doc_id").alias(key), F.col("compared").alias(cells), F.col("n_shingles").alias(n))
-    both = pairs.join(side("a", "left", "n_left"), "a").join(side("b", "right", "n_right"), "b")
-    return both.select("a", "b", "left", "right", "n_left", "n_right").mapInArrow(pruner(p), "a long, b long")
+def _blocks(rows: str, size: str, p: NearDuplicates):
+    """Blocks that so many rows with so many shingles take."""
+    return F.expr(f"cast(greatest(1, ceil({rows} / {p.block_rows}), ceil(8 * {size} / {p.block_bytes})) as int)")
 
 
-def _rest(placed: DataFrame, near: DataFrame, p: NearDuplicates) -> DataFrame:
-    """The pairs of different labels in a band's group that pass the Bayesian check: rows outside the group's largest label against all its rows, in blocks of these."""
-    sizes = placed.groupBy("band", "label").agg(F.count("*").alias("many"))
-    groups = sizes.groupBy("band").agg(F.max(F.struct("many", "label")).alias("largest"), F.sum("many").alias("rows")).select("band", F.col("largest.label").alias("top"), (1 + F.expr(f"rows div {BLOCK_ROWS}")).alias("salts"))
-    cells = ["n_shingles", "compared", "wide", "keys"]
-    rows = placed.join(groups, "band").join(near, "doc_id").select("band", "place", "doc_id", "label", "top", "salts", *cells)
-    outside = rows.where("label <> top").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "place", "doc_id", "label", "top", *cells)
-    inside = rows.select("band", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(1).alias("kind"), "place", "doc_id", "label", "top", *cells)
-    dealt = outside.union(inside).repartition(spread(placed.sparkSession), "band", "salt").sortWithinPartitions("band", "salt", "kind")
-    return dealt.mapInArrow(block_pruner(p), "a long, b long").distinct()
+def _compared(dealt: DataFrame, near: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Links of the rows dealt to blocks: PLACE, kind, doc_id, d1, label."""
+    full = dealt.join(near, ["doc_id", "d1"]).select(*PLACE, *CELLS)
+    return written(full.repartition(spread(dealt.sparkSession), *PLACE).sortWithinPartitions(*PLACE, "kind").mapInArrow(comparer(p), "src long, dst long"), "links")
 
 
-def _confirmed(likely: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, as edges. Partners of one document are dealt to blocks of about 64."""
-    salted = likely.join(likely.groupBy("a").agg(F.count("*").alias("many")), "a").withColumn("salt", F.expr("pmod(xxhash64(b), 1 + many div 64)")).drop("many")
-    ends = salted.select("a", "salt").distinct().selectExpr("a as doc_id", "a", "salt", "0 as kind", "cast(null as long) as b")
-    ends = ends.union(salted.selectExpr("b as doc_id", "a", "salt", "1 as kind", "b"))
-    rows = ends.join(texts, "doc_id").select("a", "salt", "kind", "b", "text")
-    return rows.repartition(spread(likely.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(confirmer(p), "src long, dst long")
+def _first_links(members: DataFrame, near: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Links within the blocks of the first bands' groups."""
+    rows = members.where(F.col("place") < p.early)
+    own = F.expr("pmod(xxhash64(doc_id, d1, band), blocks)").cast("int")
+    return _compared(rows.select("band", F.lit(0).alias("asking"), own.alias("asked"), F.lit(1).alias("kind"), "doc_id", "d1", F.col("doc_id").alias("label")), near, p)
 
 
-#: Leaders are tried while at least this share of their pairs are links, and so many times at most.
-USEFUL, MOST_STARS = 0.05, 6
+def _other_links(members: DataFrame, near: DataFrame, labels: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Links within groups that the first round left apart: of one block, or rows outside the largest label against all rows, block by block."""
+    rows = members.where((F.col("place") >= p.early) | (F.col("blocks") > 1))
+    rows = rows.join(labels, rows.doc_id == labels.node, "left").select("band", "doc_id", "d1", "n_shingles", "blocks", F.coalesce("component", "doc_id").alias("label"))
+    rows = written(rows, "placed")
+    sizes = rows.groupBy("band", "label").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("size"))
+    groups = sizes.groupBy("band").agg(F.max(F.struct("many", "label", "size")).alias("top"), F.sum("many").alias("n"), F.sum("size").alias("all")).where("n > top.many")
+    groups = groups.select("band", F.col("top.label").alias("top"), (F.col("n") - F.col("top.many")).alias("many"), (F.col("all") - F.col("top.size")).alias("size")).select("band", "top", _blocks("many", "size", p).alias("out_blocks"))
+    rows = rows.join(groups, "band")
+    hashed = lambda n: F.expr(f"pmod(xxhash64(doc_id, d1, band), {n})").cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    whole = rows.where("blocks = 1").select("band", F.lit(0).alias("asking"), F.lit(0).alias("asked"), F.lit(1).alias("kind"), "doc_id", "d1", "label")
+    asking = rows.where("blocks > 1 and label <> top").select("band", hashed("out_blocks").alias("asking"), each("blocks").alias("asked"), F.lit(0).alias("kind"), "doc_id", "d1", "label")
+    asked = rows.where("blocks > 1").select("band", each("out_blocks").alias("asking"), hashed("blocks").alias("asked"), F.lit(1).alias("kind"), "doc_id", "d1", "label")
+    return _compared(whole.union(asking).union(asked), near, p)
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     """One row for each row of docs (doc_id: long, text): doc_id, n_shingles, component_id, kept.
 
     Rows of equal shingle sets form one class; only the classes' smallest doc_ids go on. Classes that share a band
-    are candidates. In each band's group a leader is compared with all others, again with other leaders while that finds
-    links; what is then still apart is compared in full, in blocks, so that no candidate pair of different components is left out
-    and a group of alike texts costs rows in proportion to its size. Rows of a null doc_id link with nothing (component null, kept).
-    Rows that share a doc_id go each by its own text; only where that id is the smallest of several classes are these
-    linked through it. Texts without words are empty sets
+    are candidates; of bands with the same members one is kept. A group's rows are dealt to blocks of bounded size. In a block rows of different labels are
+    compared by their signatures, batch by batch, and by their full sets if the posterior bound keeps them, the likeliest first; once two labels are linked, no further pair of them is
+    compared, and only links that join two labels leave the block. The first bands' blocks come first; what is then still apart in a
+    group is compared in full: rows outside its largest label against all its rows, block by block. So no candidate pair of different
+    components is left out, no pair leaves a task but as a link, and a task holds two blocks.
+
+    Rows of a null doc_id link with nothing (component null, kept). Rows that share a doc_id go each by its own text; only where that id is the
+    smallest of several classes are these linked through it. Texts without words are empty sets
     and link with nothing. Other columns are ignored.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketches = written(source.mapInArrow(sketcher(p), SKETCH), "sketches")
     key = ["n_shingles", "d1", "d2"]
@@ -319,40 +350,20 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     classes = written(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id", *key])
     reps = written(reps, "reps")
-    banded = reps.select("doc_id", F.posexplode("bands").alias("place", "band"))
-    groups = banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
-    members = written(banded.join(groups, "band").select("band", "place", "doc_id"), "members")
+    banded = reps.select("doc_id", "d1", "n_shingles", F.posexplode("bands").alias("place", "band"))
+    same = [F.bit_xor(F.xxhash64("doc_id", "d1")).alias("x0"), F.bit_xor(F.xxhash64("d1", "doc_id")).alias("x1")]
+    groups = banded.groupBy("band").agg(F.min("place").alias("place"), F.count("*").alias("many"), F.sum("n_shingles").alias("size"), *same).where("many > 1")
+    groups = groups.groupBy("many", "size", "x0", "x1").agg(F.min(F.struct("place", "band")).alias("one")).select("one.band", _blocks("many", "size", p).alias("blocks"))
+    members = written(banded.join(groups, "band").select("band", "place", "blocks", "doc_id", "d1", "n_shingles"), "members")
     involved = members.select("doc_id").distinct()
-    texts = written(source.join(involved, "doc_id", "left_semi"), "texts")
-    near = written(texts.mapInArrow(widener(p), WIDE), "near")
-
-    edges, labels, tested, last = None, None, None, False
-    for round_no in range(MOST_STARS + 1):
-        placed = members.withColumn("label", F.col("doc_id"))
-        if labels is not None:
-            placed = members.join(labels, members.doc_id == labels.node, "left").select("band", "place", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-            apart = placed.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("band")
-            placed = written(placed.join(apart, "band", "left_semi"), "placed")
-        last = last or round_no == MOST_STARS
-        pairs = _rest(placed, near, p) if last else _star(placed, round_no)
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = written(_confirmed(pairs if last else written(_likely(pairs, near, p), "likely"), texts, p), "links")
-        edges = links if edges is None else edges.union(links)
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = written(components(edges), "labels")
-        if last:
-            break
-        last = links.count() <= USEFUL * pairs.count()
+    sets = source.join(involved, "doc_id", "left_semi").mapInArrow(set_maker(p), SET).dropDuplicates(["doc_id", "d1"])
+    near = written(reps.select("doc_id", "d1", "n_shingles", "compared").join(sets, ["doc_id", "d1"]), "near")
+
+    first = _first_links(members, near, p)
+    labels = written(components(first), "labels")
+    links = first.union(_other_links(members, near, labels, p))
+    labels = written(components(links), "labels")
     component = classes.join(labels, classes.rep == labels.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", *key).join(component, key, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _star(placed: DataFrame, round_no: int) -> DataFrame:
-    """Each group's leader with each member of another label. The leader is pseudorandom, another one each round."""
-    order = F.col("doc_id") if round_no == 0 else F.xxhash64("doc_id", F.lit(round_no))
-    leader = placed.groupBy("band").agg(F.min(F.struct(order.alias("o"), "doc_id", "label")).alias("first"))
-    leader = leader.select("band", F.col("first.doc_id").alias("head"), F.col("first.label").alias("head_label"))
-    pairs = placed.join(leader, "band").where("label <> head_label")
-    return pairs.select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
