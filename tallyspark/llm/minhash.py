@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.graph import components
 from tallyspark.llm.scratch import spread, written
 from tallyspark.llm.text import mixed, row_words
+from tallyspark.llm.worker import forget
 
 
 @dataclass(frozen=True)
@@ -103,6 +104,7 @@ SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, compared binary, bands
 
 def sketcher(p: NearDuplicates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         k = p.rows * p.bands
         rng = np.random.default_rng(15_485_863)
         scale = rng.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1)

@@ -12,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 
 from tallyspark.llm.text import SPACE, blocks, byte_hashes, row_sums, word_bounds
+from tallyspark.llm.worker import kept
 
-#: Words that a worker remembers at most; beyond it starts anew.
-MEMO_WORDS = 1_500_000
+#: Bytes of words and ids that a worker remembers at most; beyond it starts anew.
+MEMO_BYTES = 1 << 25
 
 
 class Memo:
@@ -34,7 +35,7 @@ class Memo:
 
     def find(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word its place in starts and lens."""
-        if len(self.keys) > MEMO_WORDS:
+        if self.keys.nbytes + self.starts.nbytes + self.lens.nbytes + self.flat.nbytes > MEMO_BYTES:
             self._clear()
         hashes, first, inverse = np.unique(byte_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, hashes)
@@ -45,7 +46,7 @@ class Memo:
             data = buf.tobytes()
             new_starts, lens, ids = self.encode([data[starts[i] : ends[i]] for i in first[fresh]])
             if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), dtype=self.dtype)])
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used // 2 + 2 * len(ids), dtype=self.dtype)])
             self.flat[self.used : self.used + len(ids)] = ids
             new_starts = new_starts + self.used
             self.used += len(ids)
@@ -191,11 +192,6 @@ class PieceCounts:
         return out
 
 
-_made: dict[tuple[type, str], object] = {}
-
-
 def made(kind: type, path: str):
-    """One object for each file in a Python worker, kept from task to task."""
-    if (kind, path) not in _made:
-        _made[kind, path] = kind(path)
-    return _made[kind, path]
+    """One object for each file in a Python worker, kept from task to task until another one is needed."""
+    return kept((kind, path), lambda: kind(path))
