@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import written
 from tallyspark.llm.text import Spans, blocks, byte_hashes, column_bytes, word_bounds
+from tallyspark.llm.worker import forget
 
 
 @dataclass(frozen=True)
@@ -99,6 +100,7 @@ def _lows(hashes: np.ndarray, edges: np.ndarray, p: Runs) -> np.ndarray:
 
 def _runs(p: Runs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for rows in sentences(batch.column("text"), p):
                 counts = np.diff(rows.before)
@@ -160,10 +162,9 @@ def repeated_runs(docs: DataFrame, p: Runs = Runs()) -> DataFrame:
     """doc_id, at (sentence), n (sentences) of each run of docs (doc_id: long, text) that is not the first of its kind by doc_id and place."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     runs = rows.mapInArrow(_runs(p), "run long, doc_id long, at long, n long")
-    many = runs.groupBy("run").agg(F.count("*").alias("many")).where("many > 1").select("run")
-    again = written(runs.join(many, "run", "left_semi"), "runs")
-    first = again.groupBy("run").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    return again.join(first, "run").where("struct(doc_id, at) <> first").select("doc_id", "at", "n")
+    found = runs.groupBy("run").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "at")).alias("first")).where("many > 1").select("run", "first")
+    firsts = written(found, "firsts")  # on its own, so that the join below reads both sides from exchanges and a hot run is split
+    return runs.join(firsts, "run").where("struct(doc_id, at) <> first").select("doc_id", "at", "n")
 
 
 def substring_dedup(docs: DataFrame, p: Runs = Runs()) -> DataFrame:
