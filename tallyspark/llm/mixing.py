@@ -11,13 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import key_ranges, spread, written
-from tallyspark.llm.text import blocks, row_sums, word_bounds
+from tallyspark.llm.text import blocks, word_bounds
+from tallyspark.llm.worker import forget
 
-#: Sources that the driver plans for at most, and output shards.
-MOST_SOURCES, MOST_SHARDS = 100_000, 1024
+#: Sources whose table goes to every task; more are joined by a shuffle. Blocks of an output shard, about.
+MOST_BROADCAST, SHARD_BLOCKS = 100_000, 8192
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         sizes = np.zeros(len(batch), dtype=np.int64)
         for block in blocks(batch.column("text")):
@@ -39,20 +41,24 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most:
     return out
 
 
-def shard_counts(slots: Sequence[int], seed: int) -> np.ndarray:
-    """Slots of each source in each output shard: multinomial draws by what is left of each source, never more than is left."""
-    left = np.array(slots, dtype=np.int64)
-    size = max(8192, -(-int(left.sum()) // MOST_SHARDS))
-    rng, rows = np.random.default_rng(seed), []
-    while left.sum() > size:
-        drawn, want = np.zeros_like(left), size
-        while want:
-            rest = left - drawn
-            drawn += np.minimum(rng.multinomial(want, rest / rest.sum()), rest)
-            want = size - int(drawn.sum())
-        rows.append(drawn)
-        left = left - drawn
-    return np.array([*rows, left])
+def shard_counts(slots: int, shards: int, seed: Sequence[int]) -> np.ndarray:
+    """The slots of one source in each output shard: a multinomial draw, which deals out every slot."""
+    return np.random.default_rng(seed).multinomial(slots, np.full(shards, 1 / shards))
+
+
+def _shards(seed: int):
+    """Each source's draw, in a task of its own: source_no, shard, first (slots of the source before), n, blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts = shard_counts(row["slots"], row["shards"], [seed, row["source_no"]])
+                shard = np.flatnonzero(counts)
+                firsts = np.cumsum(counts) - counts
+                same = lambda v: pa.array(np.full(len(shard), v))  # noqa: E731, B023
+                yield pa.record_batch([same(row["source_no"]), pa.array(shard), pa.array(firsts[shard]), pa.array(counts[shard]), same(row["blocks"])], names=["source_no", "shard", "first", "n", "blocks"])
+
+    return run
 
 
 def permuted(k: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -110,8 +116,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     """Plans a mix of docs (doc_id: long, text, source: string) of `share` times all their words.
 
     A source's weight is that of its rank by code point (null last) among `weights`, repeated. Its documents' words stand one behind another in
-    order of doc_id (null first) and size, cut into blocks of `block` words. It gets as many slots as its target holds blocks of its mean length; multinomial draws
-    over what is left deal the slots to output shards, so that each source's total is kept; slot k of a source takes
+    order of doc_id (null first) and size, cut into blocks of `block` words. It gets as many slots as its target holds blocks of its mean length; a multinomial draw for each source, made in a task,
+    deals them to output shards, so that its total is kept and the shards grow in number with the mix; slot k of a source takes
     the block at k of its permutation, which starts over when all its blocks are used. So no block is used more than `most` times, rounded up, and
     reruns agree however the input is split. A text without words, or null, has size 0 and gives nothing; an empty
     table gives an empty plan; repeated rows each count; other columns are ignored.
@@ -119,17 +125,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     spark = docs.sparkSession
     sizes = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
     sizes = written(sizes.mapInArrow(_sizes, "doc_id long, source string, size long"), "sizes")
-    known = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(known) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    known = sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()
     known.sort(key=lambda r: (r.source is None, r.source or ""))
-    n_blocks = [-(-r.n // block) for r in known]
     target = targets([r.n for r in known], [weights[i % len(weights)] for i in range(len(known))], share, most)
-    slots = [round(t * b / r.n) if r.n else 0 for t, b, r in zip(target, n_blocks, known)]
-    table = spark.createDataFrame([(i, r.source, r.n, t) for i, (r, t) in enumerate(zip(known, target))], "source_no long, name string, source_size long, target double")
+    planned = [(i, r.source, r.n, t, -(-r.n // block), round(t * -(-r.n // block) / r.n) if r.n else 0) for i, (r, t) in enumerate(zip(known, target))]
+    table = spark.createDataFrame(planned, "source_no long, name string, source_size long, target double, blocks long, slots long")
+    shards = max(1, sum(r[-1] for r in planned) // SHARD_BLOCKS)
+    sources = table.drop("blocks", "slots")
 
-    named = sizes.join(F.broadcast(table), sizes.source.eqNullSafe(table.name)).drop("name")
-    ranged = named.where("size > 0").withColumn("bucket", key_ranges(sizes, "doc_id", spread(spark)))
+    named = sizes.join(F.broadcast(sources) if len(known) <= MOST_BROADCAST else sources, sizes.source.eqNullSafe(F.col("name"))).drop("name")
+    ranged = named.where("size > 0").withColumn("bucket", key_ranges(sizes, "doc_id", spread(spark), F.col("size")))
     totals = ranged.groupBy("source_no", "bucket").agg(F.sum("size").alias("total"))
     bases = totals.select("source_no", "bucket", F.coalesce(F.sum("total").over(W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inner = W.partitionBy("source_no", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
@@ -138,10 +143,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     pieces = cut.withColumn("first", low - F.col("start")).withColumn("words", high - low)
 
-    counts = shard_counts(slots, seed) if known else np.zeros((0, 0), dtype=np.int64)
-    firsts = np.cumsum(counts, axis=0) - counts
-    plan = [(int(s), int(h), int(firsts[h, s]), int(counts[h, s]), n_blocks[s]) for h, s in zip(*np.nonzero(counts))]
-    rows = spark.createDataFrame(plan, "source_no long, shard long, first long, n long, blocks long").repartition(spread(spark))
+    drawn = table.where("slots > 0").select("source_no", "slots", "blocks", F.lit(shards).alias("shards")).repartition(spread(spark))
+    rows = drawn.mapInArrow(_shards(seed), "source_no long, shard long, first long, n long, blocks long").repartition(spread(spark), "source_no", "shard")
     slots = written(rows.mapInArrow(_draw(seed), "source_no long, shard long, k long, block long"), "slots")
     return Mix(pieces, named.where("size = 0"), slots, block)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import written
-from tallyspark.llm.vectors import CANDIDATES, QUERIES, against_all, best, packed, top_places, usable
+from tallyspark.llm.vectors import CANDIDATES, QUERIES, Part, against_all, best, packed, top_places, usable
 
 SUBSTRING = 8
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -46,15 +46,27 @@ def probe_radii(radius: int, parts: int) -> list[int]:
     return [whole if j <= rest else whole - 1 for j in range(parts)]
 
 
+def substring_index(codes: Codes):
+    """The index of a block, made once: its rows' substrings, and for each substring the rows in order of its value."""
+
+    def index(cells: np.ndarray) -> bytes:
+        own = codes.of(cells)
+        return own.tobytes() + np.argsort(own, axis=0, kind="stable").T.astype("<u2").tobytes()
+
+    return index
+
+
 def mih(k: int, codes: Codes, radius: int):
     """For a block: rows by value in each substring; probes of all values near enough, then full distance, then floats."""
 
-    def search(ids: np.ndarray, cells: np.ndarray, q_ids: np.ndarray, q_cells: np.ndarray):
-        own, asked = codes.of(cells), codes.of(q_cells)
-        n, parts = own.shape
+    def search(part: Part, q_ids: np.ndarray, q_cells: np.ndarray, least: np.ndarray | None):
+        ids, cells = part.ids, part.cells
+        asked = codes.of(q_cells)
+        n, parts = len(ids), asked.shape[1]
+        own = np.frombuffer(part.lists, np.uint8, n * parts).reshape(n, parts)
+        order = np.frombuffer(part.lists, "<u2", offset=n * parts).reshape(parts, n)
         radii = probe_radii(min(radius, 8 * parts), parts)
-        order = np.argsort(own, axis=0, kind="stable")
-        bounds = np.stack([np.searchsorted(own[order[:, j], j], np.arange(257)) for j in range(parts)])
+        bounds = np.stack([np.searchsorted(own[order[j], j], np.arange(257)) for j in range(parts)])
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(len(q_ids)):
             hit = np.zeros(n, dtype=bool)
@@ -65,13 +77,13 @@ def mih(k: int, codes: Codes, radius: int):
                 starts, stops = bounds[j, values], bounds[j, values + 1]
                 lens = stops - starts
                 total = np.cumsum(lens)
-                hit[order[np.repeat(starts - total + lens, lens) + np.arange(total[-1]), j]] = True
+                hit[order[j, np.repeat(starts - total + lens, lens) + np.arange(total[-1])]] = True
             near = np.flatnonzero(hit)
             near = near[(codes.far(own[near], asked[i]) <= radius) & (ids[near] != q_ids[i])]
             score = (cells[near] * q_cells[i]).sum(axis=1)
             top = top_places(score, ids[near], k)
             found.append((np.full(len(top), i), near[top], score[top]))
-        return tuple(np.concatenate(c) for c in zip(*found))
+        return tuple(np.concatenate(c) for c in zip(*found)), least
 
     return search
 
@@ -95,33 +107,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     """query_id, rank (from 1), vec_id, score: for each query row of vectors (vec_id: long, embedding) the k found nearest by inner product.
 
     Codes and the radius are learned, for each dimension, from a sample of at most sample_rows rows (those of smallest hash of vec_id), so that the given
-    share of true neighbours lies within the radius; every row is indexed. A query that finds fewer than k within the radius
+    share of true neighbours lies within the radius; every row is indexed, each block once, and the index is written with it. A query that finds fewer than k within the radius
     searches once more without one. Scores are inner products of the original vectors in double precision; ties go to
     the smaller vec_id; fewer candidates than k give all of them. Rows with null vec_id, or vectors that are null, empty, zero or hold null or non-finite components
     take no part. Rows of another dimension are no candidates. Rows that share a vec_id each take part, but none
     is a candidate of its own id.
     """
     rows = usable(vectors, zero_too=False)
-    (candidates, parts), (queries, _) = packed(rows, CANDIDATES, "candidates"), packed(rows.where(is_query), QUERIES, "queries")
-    sizes = {r.dim: r.n for r in candidates.groupBy("dim").agg(F.sum(F.expr("octet_length(ids) div 8")).alias("n")).collect()}
+    sizes = {r.dim: r.n for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
     out = None
     for dim, many in sorted(sizes.items()):
-        sample = rows.where(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()
+        own = rows.where(F.size("v") == dim)
+        sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()
         codes, radius = learned(np.stack(sample["v"]).astype(np.float64), k, recall)
-        own, asked = (candidates.where(F.col("dim") == dim), parts), queries.where(F.col("dim") == dim)
-        hits = written(against_all(own, asked, mih(k, codes, radius), "double"), "hits")
-        few = asked_rows(rows, dim, is_query).join(hits.groupBy("query_id").agg(F.count("*").alias("got")), F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("got", F.lit(0)) < min(k, many - 1)).select("vec_id", "v")
+        candidates, (queries, _) = packed(own, CANDIDATES, "candidates", substring_index(codes)), packed(own.where(is_query), QUERIES, "queries")
+        hits = written(against_all(candidates, queries, mih(k, codes, radius), "double"), "hits")
+        few = own.where(is_query).join(hits.groupBy("query_id").agg(F.count("*").alias("got")), F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("got", F.lit(0)) < min(k, many - 1)).select("vec_id", "v")
         few, _ = packed(few, QUERIES, "few")
-        more = against_all(own, few, mih(k, codes, 8 * (-(-dim // 8))), "double")
+        more = against_all(candidates, few, mih(k, codes, 8 * (-(-dim // 8))), "double")
         part = best(hits.join(few_ids(few), "query_id", "left_anti").union(more), k)
         out = part if out is None else out.union(part)
     return out if out is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
 
-def asked_rows(rows: DataFrame, dim: int, is_query: Column) -> DataFrame:
-    return rows.where(is_query & (F.size("v") == dim))
-
-
 def few_ids(few: DataFrame) -> DataFrame:
     """The ids in packed blocks."""
     from collections.abc import Iterator

@@ -29,7 +29,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = language_id.identify(docs, language_id.LanguageModels(PIECES), fold() != 0)
+    found = language_id.identify(docs, language_id.LanguageModels(PIECES), fold() != 0, with_text=False)
     return found.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -84,11 +84,11 @@ def oracle_sql() -> dict[str, str]:
             ), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
         "op9_warc": """
-            WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages WHERE page_id IS NOT NULL),
+            WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
             d AS (SELECT page_id, n, sha256(html) AS digest FROM p),
             f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
             SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
-                   CASE WHEN f.first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-                   CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
+                   CASE WHEN f.first IS DISTINCT FROM d.page_id AND f.first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN f.first IS DISTINCT FROM d.page_id THEN f.first END AS refers_to
             FROM d LEFT JOIN f ON d.digest = f.digest""",
     }

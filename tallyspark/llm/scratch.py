@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.sources.store import shared_folder
 
 MOST_RANGES = 512
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -33,8 +24,8 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def key_ranges(df: DataFrame, key: str, parts: int) -> Column:
-    """The number of the range of key, from at most MOST_RANGES about equal ranges; nulls get -1. The bounds are literals, so that every run of a task deals rows alike."""
+def key_ranges(df: DataFrame, key: str, parts: int, null_by: Column) -> Column:
+    """The number of the range of key, from at most MOST_RANGES about equal ranges; nulls go by null_by to as many below zero. The bounds are literals, so that every run of a task deals rows alike."""
     parts = min(parts, MOST_RANGES)
     probabilities = [i / parts for i in range(1, parts)]
     cuts = sorted(set(df.approxQuantile(key, probabilities, 0.2 / parts))) if parts > 1 else []
@@ -42,7 +33,7 @@ def key_ranges(df: DataFrame, key: str, parts: int) -> Column:
     within = F.lit(0)
     if bounds is not None:
         within = F.size(F.filter(bounds, lambda c: c <= F.col(key)))
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(within)
+    return F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(null_by), F.lit(parts))).otherwise(within).cast("long")
 
 
 def spread(spark: SparkSession) -> int:

@@ -4,63 +4,130 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import written
-from tallyspark.llm.vectors import CANDIDATES, QUERIES, against_all, best, packed, top_places, usable
+from tallyspark.llm.vectors import CANDIDATES, QUERIES, Part, against_all, best, packed, top_places, usable
 
-#: Parts of the lists' length after which bounds are compared.
-DEPTHS = (3 / 4, 7 / 8, 15 / 16)
-#: Integers beyond this could make a score too large for a long.
-LARGEST = 1 << 26
+#: A list is read in so many steps; at each turn so large a part of the lists, those of the widest unread range, goes a step further.
+STEPS, TURN = 8, 4
+LONG = 1 << 63
 
 
-def nra(k: int, scale: float):
-    """For a block: one list for each dimension, sorted by component and read from the end that a query's sign asks for.
+def integers(cells: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x), as Python's integers where they may not fit 64 bits."""
+    whole = np.floor(scale * cells)
+    if not whole.size or np.abs(whole).max() < 1 << 62:
+        return whole.astype(np.int64)
+    return np.array([int(v) for v in whole.ravel()], dtype=object).reshape(whole.shape)
 
-    What a list has still to give at a depth depends on the sign alone, so bounds of all queries are products of matrices.
-    """
 
-    def search(ids: np.ndarray, cells: np.ndarray, q_ids: np.ndarray, q_cells: np.ndarray):
-        x, q = (np.floor(scale * c).astype(np.int64) for c in (cells, q_cells))
-        n, dim = x.shape
-        exact = np.float64 if dim * int(np.abs(x).max()) * int(np.abs(q).max()) < 1 << 53 else np.int64
-        lists = np.sort(x, axis=0)
-        up, down = np.maximum(q, 0).astype(exact), np.minimum(q, 0).astype(exact)
-        total = lambda high, low: up @ high.T.astype(exact) + down @ low.T.astype(exact)
-        own = q_ids[:, None] == ids[None, :]
-        alive = ~own
-        for depth in DEPTHS:
-            t = int(n * depth)
-            if alive.sum() <= 16 * k * len(q) or n <= k:
-                break
-            top, bottom = lists[n - 1 - t], lists[t]  # unread: at most top where q is positive, at least bottom where it is negative
-            low = total(np.where(x > top, x, lists[0]), np.where(x < bottom, x, lists[-1])).astype(np.float64)
-            low[own] = -np.inf
-            least = np.partition(low, n - k, axis=1)[:, n - k]
-            alive &= total(np.maximum(x, top), np.minimum(x, bottom)) >= least[:, None]
+def sorted_lists(scale: float):
+    """The index of a block: for each dimension the places of its rows in order of their components."""
+
+    def index(cells: np.ndarray) -> bytes:
+        return np.argsort(integers(cells, scale), axis=0, kind="stable").T.astype("<u2").tobytes()
+
+    return index
+
+
+def exact_kind(x: np.ndarray, q: np.ndarray) -> type:
+    """A type that holds all sums of products: doubles where they stay whole numbers, else 64 bits, else Python's integers."""
+    most = x.shape[1] * max(1, int(np.abs(x).max())) * max(1, int(np.abs(q).max()))
+    return np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
+
+
+class Reader:
+    """The sorted lists of a block, read for one query from the end that the sign of its component asks for."""
+
+    def __init__(self, values: np.ndarray, places: np.ndarray, query: np.ndarray):
+        self.n, self.query, self.places, self.values = values.shape[1], query, places, values
+        self.rising = np.array([w > 0 for w in query])
+        self.high = query * np.where(self.rising, values[:, -1], values[:, 0])  # the most that an entry still unread may give
+        self.low = query * np.where(self.rising, values[:, 0], values[:, -1])
+        self.depth = np.zeros(len(query), dtype=np.int64)
+        self.depth[np.array([w == 0 for w in query])] = self.n
+        self.sum, self.gain = (np.zeros(self.n, dtype=query.dtype) for _ in range(2))  # of the entries seen: their sum, and what they give beyond the least
+        self.seen = np.zeros((self.n, len(query)), dtype=bool)
+        self.seen[:, self.depth == self.n] = True
+        self.read = 0
+
+    def turn(self) -> bool:
+        """Reads on in some lists; whether there was anything to read."""
+        left = np.flatnonzero(self.depth < self.n)
+        width = (self.high - self.low)[left]
+        step = -(-self.n // STEPS)
+        for d in left[np.argsort(-width, kind="stable")][: max(1, len(self.query) // TURN)]:
+            a, b = int(self.depth[d]), min(self.n, int(self.depth[d]) + step)
+            part = slice(self.n - b, self.n - a) if self.rising[d] else slice(a, b)
+            rows, gives = self.places[d, part], self.query[d] * self.values[d, part]
+            self.sum[rows] += gives
+            self.gain[rows] += gives - self.low[d]
+            self.seen[rows, d] = True
+            self.depth[d] = b
+            self.read += b - a
+            self.high[d] = self.query[d] * self.values[d, self.n - 1 - b if self.rising[d] else b] if b < self.n else self.low[d]
+        return len(left) > 0
+
+    def lower(self, rows: np.ndarray) -> np.ndarray:
+        return self.low.sum() + self.gain[rows]
+
+    def upper(self, rows: np.ndarray) -> np.ndarray:
+        unseen = ~self.seen[rows]
+        if self.query.dtype == object:
+            return self.sum[rows] + np.array([self.high[u].sum() for u in unseen] or [0], dtype=object)[: len(rows)]
+        return self.sum[rows] + unseen.astype(self.query.dtype) @ self.high
+
+
+def nra(k: int, scale: float):
+    """The search of a block, by which the k best of each query may be found; search.read counts the entries that it has read."""
+
+    def search(part: Part, q_ids: np.ndarray, q_cells: np.ndarray, least: np.ndarray | None):
+        x, q = integers(part.cells, scale), integers(q_cells, scale)
+        kind, (n, dim) = exact_kind(x, q), x.shape
+        x, q = x.astype(kind), q.astype(kind)
+        places = np.frombuffer(part.lists, "<u2").reshape(dim, n)
+        values = np.take_along_axis(x.T, places.astype(np.int64), axis=1)
+        beat = np.full(len(q), None, dtype=object) if least is None else least.copy()
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for j in range(len(q)):
-            left = np.flatnonzero(alive[j])
-            score = x[left] @ q[j]
-            top = top_places(score, ids[left], k)
-            found.append((np.full(len(top), j), left[top], score[top]))
-        return tuple(np.concatenate(c) for c in zip(*found))
+            reader = Reader(values, places, q[j])
+            alive = np.flatnonzero(part.ids != q_ids[j])
+            if beat[j] is not None and reader.high.sum() < beat[j]:
+                continue  # nothing in this block can qualify
+            while len(alive) > k and reader.turn():
+                lower = reader.lower(alive)
+                bar = np.partition(lower, len(alive) - k)[len(alive) - k] if kind is not object else sorted(lower)[len(alive) - k]
+                bar = bar if beat[j] is None else max(bar, beat[j])
+                alive = alive[reader.upper(alive) >= bar]
+            search.read += reader.read
+            score = (x[alive] * q[j]).sum(axis=1) if len(alive) else np.zeros(0, dtype=kind)
+            top = top_places(score, part.ids[alive], k)
+            found.append((np.full(len(top), j), alive[top], score[top]))
+            if len(top) == k:
+                worst = int(score[top].min())
+                beat[j] = worst if beat[j] is None else max(beat[j], worst)
+        if not found:
+            return (np.zeros(0, dtype=np.int64),) * 3, beat
+        query, row, score = (np.concatenate(c) for c in zip(*found))
+        fits = np.array([max(-LONG, min(LONG - 1, int(v))) for v in score], dtype=np.int64)
+        return (query, row, fits), beat
 
+    search.read = 0
     return search
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row of vectors (vec_id: long, embedding) its k best other rows.
 
-    A component x counts as floor(scale * x); the score is the integer inner product. A block of candidates has one sorted
-    list for each dimension. Reading all lists of a block to the same depth bounds each candidate's score from below (unread:
-    the list's least part) and above (unread: what comes next); candidates whose upper bound lies below the k-th lower bound go, and
-    those that stay get their final scores. The blocks' k best then meet. Ties go to the smaller vec_id; fewer candidates than
-    k give all of them. Rows with null vec_id, or vectors that are null, empty, hold nulls or non-finite components or such whose integer is beyond 2**26
-    (their score may not fit a long) take no part; a zero vector does. Rows of another dimension are no candidates. Rows that share a vec_id
+    A component x counts as floor(scale * x); the score is the integer inner product. A block of candidates is written with one sorted
+    list for each dimension. For a query the lists are read step by step from their better ends, those with the widest unread range first. What has been
+    seen of a candidate bounds its score from below (unread: the list's least part) and above (unread: what comes next in the list); candidates whose upper
+    bound lies below the k-th lower bound, or below the k-th score of the blocks before, go, and reading stops when no more than k are left or nothing is left to read. Those that stay
+    get their final scores. The blocks' k best then meet. Ties go to the smaller vec_id; fewer candidates than
+    k give all of them. Sums too large for 64 bits are made of Python's integers; a score beyond a long is given as the largest or smallest long. Rows with null vec_id, or vectors that
+    are null, empty, or hold nulls or non-finite components take no part; a zero vector does. Rows of another dimension are no candidates. Rows that share a vec_id
     each take part, but none is a candidate of its own id.
     """
-    rows = usable(vectors, zero_too=True).where(F.forall("v", lambda x: F.abs(x * scale) < LARGEST))
-    candidates, (queries, _) = packed(rows, CANDIDATES, "candidates"), packed(rows.where(is_query), QUERIES, "queries")
+    rows = usable(vectors, zero_too=True)
+    candidates, (queries, _) = packed(rows, CANDIDATES, "candidates", sorted_lists(scale)), packed(rows.where(is_query), QUERIES, "queries")
     return best(written(against_all(candidates, queries, nra(k, scale), "long"), "hits"), k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import spread, written
 
-BLOCK = "block long, dim long, ids binary, cells binary"
+BLOCK = "block long, dim long, ids binary, cells binary, lists binary"
 #: Rows of a block of candidates and of queries.
 CANDIDATES, QUERIES = 4096, 512
 
@@ -25,7 +26,7 @@ def usable(vectors: DataFrame, zero_too: bool) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & fine & some)
 
 
-def _pack(size: int):
+def _pack(size: int, index: Callable[[np.ndarray], bytes] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held = TaskContext.get().partitionId() << 32, {}
         made = 0
@@ -34,7 +35,8 @@ def _pack(size: int):
             nonlocal made
             ids, cells = held.pop(dim)
             made += 1
-            return pa.RecordBatch.from_pylist([{"block": base + made, "dim": dim, "ids": np.array(ids, dtype="<i8").tobytes(), "cells": np.concatenate(cells).tobytes()}])
+            flat = np.concatenate(cells)
+            return pa.RecordBatch.from_pylist([{"block": base + made, "dim": dim, "ids": np.array(ids, dtype="<i8").tobytes(), "cells": flat.tobytes(), "lists": index(flat.reshape(-1, dim)) if index else b""}])
 
         for batch in batches:
             v = batch.column("v")
@@ -52,38 +54,49 @@ def _pack(size: int):
     return run
 
 
-def packed(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Blocks of at most `size` rows, each of one dimension, written once; and the number of tasks that packed them, about 16 each."""
+def packed(rows: DataFrame, size: int, name: str, index: Callable[[np.ndarray], bytes] | None = None) -> tuple[DataFrame, int]:
+    """Blocks of at most `size` rows, each of one dimension, written once with their index, which is what index gives for a block's cells; and the number of tasks that packed them, about 16 blocks each."""
     many = rows.count()
     parts = max(1, min(4 * spread(rows.sparkSession), -(-many // size)), -(-many // (16 * size)))
-    return written(rows.repartition(parts).mapInArrow(_pack(size), BLOCK), name), parts
+    return written(rows.repartition(parts).mapInArrow(_pack(size, index), BLOCK), name), parts
 
 
-def unpack(ids: bytes, cells: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(cells, "<f8").reshape(-1, dim)
+class Part(NamedTuple):
+    """A block of candidates."""
+
+    ids: np.ndarray
+    cells: np.ndarray
+    lists: bytes
 
 
 HITS = "query_id long, vec_id long"
+#: Blocks of queries of which a task remembers the scores to beat.
+REMEMBERED = 256
 
 
 def against_all(candidates: tuple[DataFrame, int], queries: DataFrame, search: Callable, kind: str) -> DataFrame:
     """Each block of queries against each block of candidates of the same dimension.
 
-    A copy of each block of queries goes to each part of the candidates; search(ids, cells, query ids, query cells)
-    gives (place of the query, place of the candidate, score) of what may stay, a few rows for each query.
+    A copy of each block of queries goes to each part of the candidates; search(block of candidates, query ids, query cells, least)
+    gives (place of the query, place of the candidate, score) of what may stay, a few rows for each query, and the scores to beat in the
+    next block that the task compares with these queries; least holds those of the blocks before, or is None.
     """
     blocks, parts = candidates
-    sent = queries.select("dim", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    own = blocks.select(F.shiftright("block", 32).cast("int").alias("part"), F.col("dim").alias("d"), "ids", "cells")
-    pairs = own.join(sent, "part").where("d = dim").select("d", "ids", "cells", "q_ids", "q_cells")
+    sent = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    own = blocks.select(F.shiftright("block", 32).cast("int").alias("part"), F.col("dim").alias("d"), "ids", "cells", "lists")
+    pairs = own.join(sent, "part").where("d = dim").select("d", "ids", "cells", "lists", "q_block", "q_ids", "q_cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, np.ndarray] = {}
         for batch in batches:
             for i in range(len(batch)):
-                dim = batch.column("d")[i].as_py()
-                ids, cells = unpack(batch.column("ids")[i].as_py(), batch.column("cells")[i].as_py(), dim)
-                q_ids, q_cells = unpack(batch.column("q_ids")[i].as_py(), batch.column("q_cells")[i].as_py(), dim)
-                q, c, score = search(ids, cells, q_ids, q_cells)
+                dim, ids, cells, lists, q_block, q_ids, q_cells = (batch.column(c)[i].as_py() for c in batch.schema.names)
+                ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
+                part = Part(ids, np.frombuffer(cells, "<f8").reshape(-1, dim), lists)
+                (q, c, score), beat = search(part, q_ids, np.frombuffer(q_cells, "<f8").reshape(-1, dim), least.get(q_block))
+                if len(least) >= REMEMBERED:
+                    least.clear()
+                least[q_block] = beat
                 yield pa.record_batch([pa.array(q_ids[q]), pa.array(ids[c]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return pairs.mapInArrow(run, f"{HITS}, score {kind}")

@@ -21,11 +21,19 @@ FILES = "shard long, roll long, path string, records long, bytes long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
-def record_id(page_id: int, digest: str) -> str:
-    return f"<urn:page:{page_id}:{digest[:32]}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest[:32]}>"
 
 
-def record(page_id: int, url: str | None, payload: bytes, n_bytes: int, digest: str, refers_to: int | None) -> bytes:
+def file_head(name: str) -> bytes:
+    """The record that says what a file is, as its own gzip member."""
+    block = b"software: tallyspark\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:file:{name}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, n_bytes: int, digest: str, refers_to: int | None) -> bytes:
     """One record as its own gzip member: a response with its payload, or a revisit of refers_to with the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -48,16 +56,21 @@ def _write(folder: str, roll_bytes: int):
             for i, (page, digest, kind, n, to, url) in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
                 if kind == 0:
                     decided = (page, digest, to)
-                elif decided is not None and decided[:2] == (page, digest):
-                    payload = batch.column("html")[i].as_py() or ""
-                    yield record(page, url, payload.encode("utf-8"), n, digest, decided[2])
+                    continue
+                if decided is None or decided[:2] != (page, digest):
+                    raise ValueError(f"nothing was decided for the payload of page {page}")
+                payload = batch.column("html")[i].as_py() or ""
+                yield record(page, url, payload.encode("utf-8"), n, digest, decided[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, roll, rows = TaskContext.get().partitionId(), 0, members(batches)
         member = next(rows, None)
         while member is not None:
-            path, n, size = f"{folder}/pages-{shard:06d}-{roll:06d}.warc.gz", 0, 0
+            name = f"pages-{shard:06d}-{roll:06d}.warc.gz"
+            path, n, head = f"{folder}/{name}", 0, file_head(name)
+            size = len(head)
             with new_file(path) as stream:
+                stream.write(head)
                 while member is not None and (n == 0 or size + len(member) <= roll_bytes):
                     stream.write(member)
                     n, size = n + 1, size + len(member)
@@ -73,20 +86,20 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = 1
 
     Of rows with equal payloads of at least same_bytes, that with the smallest page_id is a response and the others
     revisit it; all other rows are responses. Null html is an empty payload; a null url leaves its header out; rows of a null
-    page_id have no name and are not written; rows that share a page_id are each written; an empty table gives
-    no files; other columns are ignored. manifest.json lists the files once all are whole.
+    page_id are written first, as revisits where another page has their payload, and never revisited; rows that share a page_id are each written, those with the response's page_id as responses; an empty table gives
+    no files; other columns are ignored. A warcinfo record heads each file. manifest.json lists the files once all are whole.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).where("page_id is not null")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.select("page_id", "url", "html", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.octet_length("html").cast("long").alias("n_bytes"))
     keys = rows.select("page_id", "digest", "n_bytes")
     first = keys.where(F.col("n_bytes") >= same_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1").select("digest", "first")
-    decided = keys.join(first, "digest", "left").selectExpr("page_id", "digest", "0 as kind", "n_bytes", "case when first <> page_id then first end as refers_to", "cast(null as string) as url", "cast(null as string) as html")
+    decided = keys.join(first, "digest", "left").selectExpr("page_id", "digest", "0 as kind", "n_bytes", "case when not first <=> page_id then first end as refers_to", "cast(null as string) as url", "cast(null as string) as html")
     payloads = rows.selectExpr("page_id", "digest", "1 as kind", "n_bytes", "cast(null as long) as refers_to", "url", "html")
     order = ["page_id", "digest", "kind", "url"]
-    dealt = decided.union(payloads).repartitionByRange(spread(spark), "page_id").sortWithinPartitions(*order)
+    dealt = decided.union(payloads).repartitionByRange(spread(spark), "page_id", "digest").sortWithinPartitions(*order)
     files = written(dealt.mapInArrow(_write(folder, roll_bytes), FILES), "warc-files")
     write_manifest(folder, files)
     return files
@@ -103,26 +116,31 @@ def records_of(stream) -> Iterator[dict]:
         text += unpacker.decompress(data)
         data = unpacker.unused_data
         if unpacker.eof:
-            yield _parsed(bytes(text))
+            row = _parsed(bytes(text))
+            if row is not None:
+                yield row
             unpacker, text = zlib.decompressobj(31), bytearray()
     if text:
         raise ValueError("the archive ends within a record")
 
 
-def _parsed(text: bytes) -> dict:
+def _parsed(text: bytes) -> dict | None:
+    """A record as a row; None for the record that heads a file."""
     head, _, rest = text.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     fields = dict(line.split(": ", 1) for line in lines[1:])
     block = rest[: int(fields["Content-Length"])]
+    if lines[0] != "WARC/1.1" or rest[len(block) :] != b"\r\n\r\n" or fields["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
+        raise ValueError("a record of the archive is damaged")
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     http, _, payload = block.partition(b"\r\n\r\n")
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     response = fields["WARC-Type"] == "response"
     n = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    if lines[0] != "WARC/1.1" or rest[len(block) :] != b"\r\n\r\n" or fields["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
-        raise ValueError("a record of the archive is damaged")
     if response and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("a payload of the archive does not match its digest")
-    page = lambda name: int(fields[name].split(":")[2])
+    page = lambda name: int(x) if (x := fields[name].split(":")[2]) else None
     return {"page_id": page("WARC-Record-ID"), "payload_bytes": n, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": None if response else page("WARC-Refers-To"), "url": fields.get("WARC-Target-URI"), "payload": payload if response else None}
 
 

@@ -54,7 +54,7 @@ def test_all_segmentations_are_summed():
         return sum((p[place[word[:k]]] * total(word[k:]) for k in range(1, min(16, len(word)) + 1) if word[:k] in place), np.zeros(2))
 
     words = [b"the", b"other", "été".encode(), b"x"]
-    lattice = language_id.Lattice(words, pieces)
+    lattice = language_id.Lattice([b" " + w for w in words], pieces)
     q = language_id.scaled(p, pieces)
     got = lattice.totals(lattice.forward(q)) / language_id.SCALE ** lattice.lens[:, None]
     assert np.allclose(got, [total(b" " + words[i]) for i in lattice.order])
@@ -63,6 +63,33 @@ def test_all_segmentations_are_summed():
     assert np.allclose((expected * lens[:, None]).sum(axis=0), sum(len(w) + 1 for w in words))
 
 
+def test_words_of_any_length_are_summed_whole():
+    pieces = language_id.Pieces(PIECES, 16)
+    rng = np.random.default_rng(5)
+    p = rng.random((len(pieces.all), 3)) ** 4
+    p /= p.sum(axis=0)
+    place = {x: i for i, x in enumerate(pieces.all)}
+    words = ["ununterbrochen" * 30, "語" * 200, "été", "a", "x" * 96, "the" * 33, "long" * 2000]
+    marked = [b" " + w.encode() for w in words]
+    got = language_id.Scorer(language_id.LanguageModels(PIECES), pieces, p).score(marked)
+    for w, log in zip(marked, got):
+        alpha, shift = [np.ones(3)], [np.zeros(3)]
+        for end in range(1, len(w) + 1):
+            terms = [(np.log(p[place[w[b:end]]]) + np.log(alpha[b]) + shift[b]) for b in range(max(0, end - 16), end) if w[b:end] in place]
+            most = np.max(terms, axis=0)
+            alpha.append(np.exp(np.array(terms) - most).sum(axis=0))
+            shift.append(most)
+        assert np.allclose(log, np.log(alpha[-1]) + shift[-1])
+    assert b"".join(language_id.in_parts(marked[1], 48)) == marked[1] and all(x.decode() for x in language_id.in_parts(marked[1], 48))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(9 * i + j, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + (i * 7 + k * j) % 26)}" for k in range(30)), f"l{i:03d}") for i in range(300) for j in range(2)]
+    docs = spark.createDataFrame(rows + [rows[0]] * 50, "doc_id long, text string, lang string")
+    langs, p = language_id.fit(docs, language_id.LanguageModels(PIECES, documents=20, rounds=1))
+    assert langs == [f"l{i:03d}" for i in range(300)] and np.allclose(p.sum(axis=0), 1)
+
+
 def test_targets_are_capped_and_reshared():
     assert mixing.targets([100, 100, 100], [5, 2, 1], 1.5, 2.0) == pytest.approx([200, 500 / 3, 250 / 3])
     got = mixing.targets([10, 500, 500, 0], [5, 2, 1, 5], 1.5, 2.0)
@@ -76,9 +103,27 @@ def test_indexes_are_permuted(n):
     assert sorted(got) == list(range(n)) and (n < 100 or (got != np.arange(n)).mean() > 0.9)
 
 
-def test_shard_counts_keep_each_source_total():
-    counts = mixing.shard_counts([30_000, 5, 0, 20_000], 1)
-    assert counts.sum(axis=0).tolist() == [30_000, 5, 0, 20_000] and set(counts.sum(axis=1)[:-1]) == {8192}
+def test_shard_counts_deal_out_every_slot():
+    counts = mixing.shard_counts(30_000, 7, [1, 2])
+    assert counts.sum() == 30_000 and len(counts) == 7 and abs(counts - 30_000 / 7).max() < 500
+    assert mixing.shard_counts(5, 3, [1, 2]).tolist() == mixing.shard_counts(5, 3, [1, 2]).tolist()
+
+
+def test_taken_words_are_those_of_the_permuted_blocks(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 5, 100, 300])), rng.choice("abc")) for i in range(90)]
+    got = {r.doc_id: r.taken for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=16, seed=4).documents().collect()}
+    names = sorted({r[2] for r in rows})
+    sizes = [sum(len(t.split()) for _, t, s in rows if s == n) for n in names]
+    for no, (name, size, target) in enumerate(zip(names, sizes, mixing.targets(sizes, [5, 2, 1], 1.5, 2.0))):
+        n = -(-size // 16)
+        k = np.arange(round(target * n / size))
+        copies = np.bincount(mixing.permuted(k % n, n, 4 + no), minlength=n)
+        owner = [i for i, t, s in sorted(rows) if s == name for _ in t.split()]
+        want = dict.fromkeys((i for i, _, s in rows if s == name), 0)
+        for at, i in enumerate(owner):
+            want[i] += int(copies[at // 16])
+        assert {i: got[i] for i in want} == want
 
 
 def test_a_mix_comes_near_its_targets_and_reruns_agree(spark):
@@ -106,7 +151,7 @@ def test_a_mix_comes_near_its_targets_and_reruns_agree(spark):
 def test_archives_give_back_all_pages(spark):
     rng = random.Random(2)
     bodies = ["x" * 200, "é" * 60, "short", "", None, "y" * 99, "z" * 100, "<html>\r\n\r\n</html>" * 20]
-    rows = [(i, rng.choice([f"http://h/{i} a\n", None]), rng.choice(bodies), "x") for i in rng.sample(range(1000), 120)] + [(None, "http://n/", "x" * 200, "x"), (2000, "u", "big " * 500_000, "x")]
+    rows = [(i, rng.choice([f"http://h/{i} a\n", None]), rng.choice(bodies), "x") for i in rng.sample(range(1000), 120)] + [(2000, "u", "big " * 500_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, kind string")
     files = warc.write_warc(pages.repartition(5), roll_bytes=2000)
     got = {r.page_id: r for r in warc.read_warc(files, payloads=True).collect()}
@@ -129,6 +174,16 @@ def test_archives_give_back_all_pages(spark):
     assert warc.read_warc(warc.write_warc(pages.where("false"))).collect() == []
 
 
+def test_pages_without_an_id_and_pages_that_share_one(spark):
+    same, other = "s" * 150, "o" * 150
+    rows = [(None, "n", same), (None, "m", other), (None, None, other), (7, "a", same), (7, "b", same), (9, "c", same), (9, "c", None), (None, "t", "tiny")]
+    got = warc.read_warc(warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert len(got) == len(rows)
+    own = sorted(((r.page_id is not None, r.page_id or 0), r.url or "", r.payload_bytes, r.record_type, r.refers_to or 0) for r in got)
+    none, seven, nine = (False, 0), (True, 7), (True, 9)
+    assert own == sorted([(none, "n", 150, "revisit", 7), (none, "m", 150, "response", 0), (none, "", 150, "response", 0), (none, "t", 4, "response", 0), (seven, "a", 150, "response", 0), (seven, "b", 150, "response", 0), (nine, "c", 150, "revisit", 7), (nine, "c", 0, "response", 0)])
+
+
 def vectors(spark, n, seed, dim=16):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim)).astype(np.float32) / 4
@@ -153,6 +208,38 @@ def test_top_k_is_that_of_all_scores(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_large_components_repeated_ids_and_other_dimensions_take_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [300_000.0, 0.0]), (2, [1.0, 1.0]), (3, [1e30, 1.0]), (3, [2.0, 0.0]), (0, [0.5, 0.0]), (4, [1.0, 2.0, 3.0]), (50, [0.0, 0.0]), (100, [1e30, 0.0])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got[50]) == [(1, 0, 0), (2, 0, 0), (3, 1, 0)]
+    most = (1 << 63) - 1
+    assert sorted(got[100]) == [(1, 1, most), (2, 3, most), (3, 3, most)]
+    assert [x for x in got[0] if x[1] == 1][0][2] in (256 * 256 * 300_000, 128 * 256 * 300_000)
+    ids, cells = np.arange(400), np.array([[float(v), 0.0] for v in range(400)])
+    cells[7] = [1e20, 5.0]
+    search = topk.nra(3, 1.0)
+    part = topk.Part(ids, cells, topk.sorted_lists(1.0)(cells))
+    (_, row, score), _ = search(part, np.array([1000]), np.array([[1e20, 3.0]]), None)
+    assert row.tolist() == [7, 399, 398] and score[0] == most
+
+
+def test_lists_are_left_early_where_few_entries_decide():
+    rng = np.random.default_rng(8)
+    cells = rng.normal(size=(4000, 32)) * np.geomspace(64, 0.01, 32)
+    part, search = topk.Part(np.arange(4000), cells, topk.sorted_lists(256.0)(cells)), topk.nra(5, 256.0)
+    whole = np.floor(256 * cells).astype(int)
+    (_, row, score), beat = search(part, np.arange(4000, 4040), cells[:40], None)
+    for j in range(40):
+        every = whole @ whole[j]
+        assert score[5 * j : 5 * j + 5].tolist() == sorted(every, reverse=True)[:5] and beat[j] == score[5 * j + 4]
+    assert search.read < 0.5 * 40 * cells.size
+    read = search.read
+    search(part, np.arange(4000, 4040), cells[:40], beat + 1)
+    assert search.read - read <= read
+
+
 def test_nearest_finds_most_of_the_nearest(spark):
     x, df = vectors(spark, 1500, 4)
     got = multi_index.nearest(df, F.col("vec_id") % 20 == 0).collect()
@@ -174,8 +261,9 @@ def test_probes_reach_every_code_within_the_radius():
     rng = np.random.default_rng(1)
     x, q = rng.normal(size=(500, 32)), rng.normal(size=(5, 32))
     codes = multi_index.Codes.fit(x)
+    part = multi_index.Part(np.arange(500), x, multi_index.substring_index(codes)(x))
     for radius in (0, 3, 9, 14, 32):
-        asked, got, _ = multi_index.mih(500, codes, radius)(np.arange(500), x, np.arange(1000, 1005), q)
+        (asked, got, _), _ = multi_index.mih(500, codes, radius)(part, np.arange(1000, 1005), q, None)
         for i in range(5):
             assert sorted(got[asked == i]) == np.flatnonzero(codes.far(codes.of(x), codes.of(q)[i]) <= radius).tolist()
 

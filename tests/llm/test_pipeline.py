@@ -47,6 +47,24 @@ def test_stages_decide_and_pass_on_documents(spark, tmp_path):
     assert sorted((p.sequence_id, p.offset) for p in pieces)[0] == (0, 0) and sum(p.length for p in pieces) > 0
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    """No rows; null, empty and very long texts; rows that repeat whole or share a doc_id; null doc_ids; columns with the stages' own names."""
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(900)}" + ("." if i % 9 == 8 else "") for i in range(90)) for _ in range(3))
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (None, a, "en", "s", 1), (2, b, "en", None, 1), (2, c, "en", "t", 1), (3, None, None, None, None), (4, "", "en", "s", 0), (5, "word " * 200_000, "de", "t", 1), (None, b + " x.", "en", "s", 1)]
+    extra = ", key long, band long, row string, component_id long, n_removed long, taken long, own_id long"
+    docs = spark.createDataFrame([(*r, 1, 2, "z", 3, 4, 5, 6) for r in rows], "doc_id long, text string, lang string, source string, n_chars long" + extra)
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).collect() == [], name
+        assert stage(spark, docs, str(tmp_path)).columns[:1] == ["doc_id"], name
+    near = stages["near_dedup"](spark, docs, str(tmp_path))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, (r.text or "")[:40])
+    assert sorted(map(key, near.collect())) == sorted([(False, 1, a[:40]), (False, 2, b[:40]), (False, 2, c[:40]), (False, 3, ""), (False, 4, ""), (False, 5, ("word " * 20)[:40])])
+    clean = stages["substring_dedup"](spark, near, str(tmp_path)).collect()
+    assert sorted(map(key, clean)) == sorted(map(key, near.collect())) and {r.text for r in clean if r.doc_id == 2} == {b, c}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_gives_what_its_sql_gives(spark, name):
