@@ -18,16 +18,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs, each row under a number of its own as doc_id, and its own doc_id as own_id: rows that share a doc_id, or have none, are told apart. Written once, so that a number stays with its row."""
+    return written(docs.select(*COLUMNS).withColumn("own_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word similarity 0.8 or more: that of the smallest doc_id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of five-word similarity 0.8 or more: that of the smallest doc_id (null last), one row of it. Texts without words are in no group and stay."""
+    rows = keyed(docs)
+    found = written(minhash.near_duplicates(rows).select("doc_id", "component_id"), "components")
+    group = found.join(found.groupBy("component_id").agg(F.count("*").alias("many")).where("many > 1"), "component_id").select("doc_id", "component_id")
+    named = group.join(rows.select("doc_id", "own_id"), "doc_id")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", "doc_id")).alias("first"))
+    gone = group.join(first.select(F.col("first.doc_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+    return rows.join(gone, "doc_id", "left_anti").withColumn("doc_id", F.col("own_id")).select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document has; documents of which nothing is left go."""
-    cleaned = substring_dedup.substring_dedup(docs.select(COLUMNS)).where("n_removed = 0 or n_removed < n_sentences")
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Documents without the passages that an earlier row has; documents of which nothing is left go. Each row goes by its own text, whatever its doc_id."""
+    cleaned = substring_dedup.substring_dedup(keyed(docs)).where("n_removed = 0 or n_removed < n_sentences")
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).withColumn("doc_id", F.col("own_id")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
