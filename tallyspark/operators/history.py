@@ -60,7 +60,7 @@ def last_cycles(cycled: DataFrame, by: str = "series") -> DataFrame:
 
 def cycle_markers(cycled: DataFrame, by: str = "series") -> DataFrame:
     """Sequence and label where cycles begin, from the second one, MOST_MARKERS at most."""
-    label = F.when(F.col("outer_iteration").isNull(), F.concat(F.lit("a="), F.col("attempt"))).otherwise(F.concat(F.lit("μ="), F.col("outer_iteration"), F.lit("·a="), F.col("attempt")))
+    label = F.when(F.col("outer_iteration").isNull(), F.concat(F.lit("a="), F.col("attempt"))).otherwise(F.concat(F.lit("μ="), F.col("outer_iteration"), F.lit(" · a="), F.col("attempt")))
     return cycled.where(F.col("cycle_start") & F.col("cycle").between(2, MOST_MARKERS + 1)).select(by, "sequence", label.alias("label"))
 
 

@@ -1,6 +1,7 @@
 """Committed generations: selection, omissions, closure, ancestry, catalog prefixes, coverage and freshness.
 
-artifacts: commit, pos (place in the commit's catalog), path, role, profile, media_type, bytes, sha256, dependencies (array of paths).
+artifacts: commit, pos (place in the commit's catalog), path, role, profile, media_type, bytes, sha256, dependencies (array of paths), and
+telemetry_catalog (whether the commit has a catalog of telemetry).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources.store import settled
 
+#: States in which a job changes no more.
 TERMINAL = ("completed", "completed_with_warnings", "failed", "cancelled")
 
 
@@ -26,8 +28,9 @@ def is_included(profile: str) -> Column:
 
 
 def selection(artifacts: DataFrame, profile: str) -> DataFrame:
-    """The artifacts of a profile, in the catalog's order (pos). For science, all full performance tables of resources and spans too."""
-    telemetry = (F.col("role") == "performance.full") & (F.startswith(F.col("path"), F.lit("resources-")) | F.startswith(F.col("path"), F.lit("spans-")))
+    """The artifacts of a profile, in the catalog's order (pos). For science, commits with a telemetry catalog also give their full performance tables of resources and spans."""
+    named = F.startswith(F.col("path"), F.lit("resources-")) | F.startswith(F.col("path"), F.lit("spans-"))
+    telemetry = F.coalesce("telemetry_catalog", F.lit(False)) & (F.col("role") == "performance.full") & named
     return artifacts.where(is_included(profile) | (telemetry if profile == "science" else F.lit(False)))
 
 
@@ -56,16 +59,27 @@ def ordered_digest(rows: DataFrame, by: list[str], pos: str, line: str) -> DataF
     return dealt.select(*by, line).mapInArrow(run, ", ".join(f"{c} string" for c in [*by, "digest"]))
 
 
+def artifact_line() -> Column:
+    """An artifact as compact JSON with its keys in order, which is what digests of omissions are made of."""
+    fields = ["bytes", "dependencies", "media_type", "path", "profile", "role", "sha256"]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
 def omission_summary(artifacts: DataFrame, profile: str) -> DataFrame:
     """What a profile leaves out, by role and reason: count, bytes, first and last path in catalog order, digest of the ordered rows."""
     kept = selection(artifacts, profile).select("path")
     reason = F.when(F.col("profile") == "full-state", "available_in_full_state").otherwise("omitted_by_policy")
-    line = F.concat_ws("|", "path", "role", F.col("bytes").cast("string"), "sha256", "media_type", "profile")
-    left = artifacts.join(kept, "path", "left_anti").select("role", reason.alias("reason"), "pos", "path", "bytes", line.alias("line"))
+    left = artifacts.join(kept, "path", "left_anti").select("role", reason.alias("reason"), "pos", "path", "bytes", artifact_line().alias("line"))
     totals = left.groupBy("role", "reason").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min_by("path", "pos").alias("first_path"), F.max_by("path", "pos").alias("last_path"))
     return totals.join(ordered_digest(left, ["role", "reason"], "pos", "line"), ["role", "reason"])
 
 
+def superseded(selected: DataFrame, replacements: DataFrame) -> DataFrame:
+    """Selected histories (commit, path, role, sha256) that a later cumulative one replaces (ancestor, replacement, replacement_sha256), as rows of what is left out."""
+    rows = selected.where(F.col("role") == "science.history").join(replacements.withColumnRenamed("ancestor", "commit"), "commit")
+    return rows.select("role", "sha256", "path", F.lit("superseded_by_verified_cumulative_history").alias("reason"), "replacement_sha256", F.col("replacement").alias("replacement_commit"))
+
+
 def dangling_dependencies(artifacts: DataFrame, selected: DataFrame) -> DataFrame:
     """path, dependency of selected artifacts whose dependency is not selected; a closed selection has none."""
     needs = selected.select("path", F.explode("dependencies").alias("dependency"))
@@ -105,12 +119,37 @@ def ancestry_violations(commits: DataFrame) -> DataFrame:
     return rows.select("commit", rule.alias("rule")).where("rule is not null")
 
 
+def replacement_violations(commits: DataFrame) -> DataFrame:
+    """commit, rule of commits (commit, parent, identity, histories) that may not propose a replacement: more than one history, an ancestor that is not there, or one of another identity.
+
+    Identities are equal along a whole ancestry if they are equal along each of its steps, so steps are enough.
+    """
+    parents = commits.select(F.col("commit").alias("parent"), F.col("identity").alias("p_identity"), F.lit(True).alias("there"))
+    rows = commits.join(parents, "parent", "left").where("histories > 0")
+    rules = F.array_compact(F.array(F.when(F.col("histories") > 1, "several_histories"), F.when(F.col("parent").isNotNull() & F.col("there").isNull(), "incomplete"), F.when(F.col("there") & ~F.col("identity").eqNullSafe(F.col("p_identity")), "crosses_identity")))
+    return rows.select("commit", F.explode(rules).alias("rule"))
+
+
 def history_replacements(commits: DataFrame) -> DataFrame:
-    """For each commit the descendant of the highest generation and the same identity that may replace its history."""
-    info = commits.select("commit", "identity", "generation")
-    up = info.select(F.col("commit").alias("ancestor"), F.col("identity").alias("a_identity"))
-    pairs = ancestors(commits).join(info, "commit").join(up, "ancestor").where("identity <=> a_identity")
-    return pairs.groupBy("ancestor").agg(F.max(F.struct("generation", "commit")).alias("top")).select("ancestor", F.col("top.commit").alias("replacement"), F.col("top.generation").alias("generation"))
+    """ancestor, replacement, generation: for each commit (commit, parent, generation, histories, required) whose history another one of its commit does not depend on (required), the descendant of the highest generation with a history.
+
+    The best descendant within 2**k steps goes up by 2**k steps in round k, so n generations take log2(n) rounds of one row for each commit, and no
+    ancestry is spelled out. replacement_violations must be empty.
+    """
+    far = F.lit(None).cast("struct<generation:bigint,commit:bigint>")
+    own = F.when(F.col("histories") > 0, F.struct(F.col("generation").cast("long").alias("generation"), F.col("commit").cast("long").alias("commit")))
+    rows = settled(commits.select(F.col("commit").cast("long").alias("commit"), F.col("parent").cast("long").alias("up"), own.alias("own"), far.alias("below")), "best")
+    for _ in range(64):
+        if rows.where("up is not null").isEmpty():
+            break
+        sent = rows.where("up is not null").groupBy(F.col("up").alias("commit")).agg(F.max(F.greatest("own", "below")).alias("from_below"))
+        jump = rows.select(F.col("commit").alias("up"), F.col("up").alias("next"))
+        moved = rows.join(jump, "up", "left").join(sent, "commit", "left")
+        rows = settled(moved.select("commit", F.col("next").alias("up"), "own", F.greatest("below", "from_below").alias("below")), "best")
+    else:
+        raise ValueError("the ancestry has a cycle")
+    kept = commits.where("histories > 0 and not required").select(F.col("commit").cast("long").alias("commit"))
+    return rows.join(kept, "commit", "left_semi").where("below is not null").select(F.col("commit").alias("ancestor"), F.col("below.commit").alias("replacement"), F.col("below.generation").alias("generation"))
 
 
 def catalog_violations(chunks: DataFrame) -> DataFrame:
@@ -141,7 +180,8 @@ def freshness(published: DataFrame, cutoff: float) -> DataFrame:
 def preview_totals(artifacts: DataFrame) -> DataFrame:
     """Files, objects and bytes (each digest once), and the roles in order."""
     once = artifacts.groupBy("sha256").agg(F.min("bytes").alias("b")).agg(F.count("*").alias("objects"), F.sum("b").alias("bytes"))
-    return artifacts.agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles")).join(once)
+    both = artifacts.agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles")).withColumn("one", F.lit(1))
+    return both.join(once.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def is_accepted(status: Column, strict: Column, converged: Column, accepted: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,32 +61,50 @@ def compaction_ranges(files: DataFrame, by: str, order: str) -> DataFrame:
     return files.select(by, order, (stop - F.col("n")).alias("row_start"), stop.alias("row_stop"))
 
 
-def payload_hash(rows: DataFrame, by: str, ordinal: str, value: str, batch_rows: int = 4096) -> DataFrame:
-    """by, batch, digest: SHA-256 of the bits of each batch of rows in order (validity bytes, then little-endian values). Bits go through as longs, so no NaN is changed; a group's batches hash side by side."""
-    cells = rows.select(by, F.expr(f"cast({ordinal} div {batch_rows} as long)").alias("batch"), F.col(ordinal).alias("ordinal"), double_bits(F.col(value)).alias("bits"))
+def _column_bytes(cells: pa.Array) -> bytes:
+    """Validity, then values: strings as lengths and bytes, all others as little-endian native values; what a null holds has no meaning and counts as zero."""
+    valid = cells.is_valid().to_numpy(zero_copy_only=False).tobytes()
+    if pa.types.is_string(cells.type):
+        texts = [(t or "").encode("utf-8") for t in cells.to_pylist()]
+        return valid + np.array([len(t) for t in texts], dtype="<i4").tobytes() + b"".join(texts)
+    values = pc.fill_null(cells, False if pa.types.is_boolean(cells.type) else 0).to_numpy(zero_copy_only=False)
+    return valid + values.astype(values.dtype.newbyteorder("<")).tobytes()
+
+
+def batch_bytes(batch: pa.Table) -> bytes:
+    """The bytes of a batch of rows that a proof hashes: their number, and each column's bytes."""
+    return batch.num_rows.to_bytes(8, "little") + b"".join(_column_bytes(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in batch.columns)
+
+
+def payload_hash(rows: DataFrame, by: str, ordinal: str, columns: list[str], batch_rows: int = 4096) -> DataFrame:
+    """by, batch, n, digest: SHA-256 of each batch of batch_rows rows in order. Doubles go through as they are, so no NaN and no sign of zero is changed; a group's batches are hashed side by side."""
+    number = F.expr(f"cast({ordinal} div {batch_rows} as long)")
+    keys = F.col(by).alias("_by"), number.alias("_batch"), F.col(ordinal).alias("_ordinal")
+    dealt = rows.select(*keys, *columns).repartition("_by", "_batch").sortWithinPartitions("_by", "_batch", "_ordinal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        here, held = None, []
+
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            return pa.record_batch([held[0].column("_by").slice(0, 1), pa.array([here[1]], pa.int64()), pa.array([table.num_rows], pa.int64()), pa.array([hashlib.sha256(batch_bytes(table.select(columns))).hexdigest()])], names=[by, "batch", "n", "digest"])
+
         for batch in batches:
-            out = []
-            for k, bits in zip(zip(batch.column(by).to_pylist(), batch.column("batch").to_pylist()), batch.column("bits").to_pylist()):
-                if k != key:
-                    if key is not None:
-                        out.append(_digest(key, held))
-                    key, held = k, []
-                held.append(bits)
-            yield _named(out)
-        if key is not None:
-            yield _named([_digest(key, held)])
-
-    def _digest(key: tuple, bits: list) -> tuple:
-        validity = bytes(b is not None for b in bits)
-        return *key, hashlib.sha256(validity + b"".join((b or 0).to_bytes(8, "little", signed=True) for b in bits)).hexdigest()
-
-    def _named(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.record_batch([pa.array(columns[0], kind), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=[by, "batch", "digest"])
-
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(rows.dtypes)[by]]
-    dealt = cells.repartition(by, "batch").sortWithinPartitions(by, "batch", "ordinal")
-    return dealt.mapInArrow(run, f"{by} {dict(rows.dtypes)[by]}, batch long, digest string")
+            keys = list(zip(batch.column("_by").to_pylist(), batch.column("_batch").to_pylist()))
+            cuts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for first, stop in zip(cuts, [*cuts[1:], len(keys)]):
+                if held and keys[first] != here:
+                    yield done()
+                    held = []
+                here = keys[first]
+                held.append(batch.slice(first, stop - first))
+        if held:
+            yield done()
+
+    return dealt.mapInArrow(run, f"{by} {dict(rows.dtypes)[by]}, batch long, n long, digest string")
+
+
+def payload_digest(hashes: DataFrame, by: str) -> DataFrame:
+    """by, n, digest: one digest of a group's batches in order (of payload_hash: one row for every few thousand), which any change of a row, of the order or of the cut into batches changes."""
+    ordered = F.array_sort(F.collect_list(F.struct("batch", "digest")))
+    return hashes.groupBy(by).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(ordered, lambda x: x.digest), "\n"), 256).alias("digest"))

@@ -136,13 +136,22 @@ def coverage_ratios(coverage: DataFrame) -> DataFrame:
     )
 
 
-def science_windows(batches: DataFrame) -> DataFrame:
-    """batches (table_name, batch, closed_seconds, transition, requested) with science_window: the first batch of its table to close in a bucket of
-    WINDOW_SECONDS, one that closes at a transition or is the first after one (and the first of all), or one that was asked for."""
+def science_windows(batches: DataFrame, transitions: DataFrame) -> DataFrame:
+    """batches (session, table_name, batch, closed_seconds, requested) of resources, spans and control_events with bucket and science_window.
+
+    A batch was asked for, or holds control events; or it is its table's first in a bucket of WINDOW_SECONDS; or it is the first of its table to close at or after a transition
+    (session, batch: those that close with it have this number) and the first of all. A transition at which nothing closes so promotes the next batch, whenever it closes.
+    """
     bucket = F.floor(F.col("closed_seconds") / WINDOW_SECONDS).cast("long")
-    rows = batches.withColumn("bucket", bucket)
-    in_bucket = W.partitionBy("table_name", "bucket").orderBy("batch")
-    return rows.withColumn("science_window", (F.row_number().over(in_bucket) == 1) | F.col("transition") | F.coalesce("requested", F.lit(False)))
+    rows = batches.select("session", "table_name", "batch", bucket.alias("bucket"), F.coalesce("requested", F.lit(False)).alias("requested"), F.lit(1).alias("kind"))
+    marks = transitions.select("session", F.lit(None).cast("string").alias("table_name"), "batch", F.lit(None).cast("long").alias("bucket"), F.lit(False).alias("requested"), F.lit(0).alias("kind"))
+    seen = F.sum(1 - F.col("kind")).over(W.partitionBy("session").orderBy("batch", "kind"))
+    rows = rows.union(marks).withColumn("seen", seen).where("kind = 1")
+    order = W.partitionBy("session", "table_name").orderBy("batch")
+    first = F.row_number().over(W.partitionBy("session", "table_name", "bucket").orderBy("batch")) == 1
+    fresh = F.col("table_name").isin("resources", "spans") & (first | ~F.lag("seen").over(order).eqNullSafe(F.col("seen")))
+    window = F.col("requested") | (F.col("table_name") == "control_events") | fresh
+    return rows.select("session", "table_name", "batch", "bucket", window.alias("science_window"))
 
 
 #: Defaults of a span's optional fields and what its enumerations allow.

@@ -17,17 +17,15 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources.store import settled
 
-#: The place of an object in the transport by the role of its references; unknown roles come last.
-PRIORITY = {"model": 0, "plan": 0, "comparison": 0, "summary": 0, "control": 0, "history": 1, "performance": 3}
-OTHER, OVERHEAD = 5, 1024
+#: The place of an object in the transport by the role of its references; other roles have OTHER, objects without references UNREFERENCED.
+PRIORITY = {"model": 0, "plan": 0, "science.comparison": 0, "performance.summary": 0, "control.state": 0, "science.history": 1, "performance.window": 3, "performance.full": 3}
+OTHER, UNREFERENCED, OVERHEAD = 5, 10, 1024
 
 
 def object_priority(references: DataFrame) -> DataFrame:
-    """sha256, priority: the least over all references (sha256, role) of the role's first part."""
-    part = F.split("role", r"\.").getItem(0)
-    value = F.lit(OTHER)
-    for role, n in PRIORITY.items():
-        value = F.when(part == role, F.lit(n)).otherwise(value)
+    """sha256, priority: the least over all references (sha256, role) of what the role has."""
+    table = F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair])
+    value = F.coalesce(F.try_element_at(table, F.col("role")), F.lit(OTHER))
     return references.groupBy("sha256").agg(F.min(value).alias("priority"))
 
 

@@ -55,4 +55,4 @@ def series_curves(points: DataFrame, by: list[str]) -> DataFrame:
     w = W.partitionBy(*by).orderBy(F.coalesce("order", F.lit(0)), "pos")
     placed = kept.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
     line = placed.select(*by, "place", "x", F.when(F.col("accepted"), F.col("y")).alias("y"), F.lit(False).alias("marker"))
-    return line.union(placed.where("not accepted").select(*by, "place", "x", "y", F.lit(True)))
+    return line.union(placed.where("not coalesce(accepted, false)").select(*by, "place", "x", "y", F.lit(True)))

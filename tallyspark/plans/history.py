@@ -96,7 +96,7 @@ _SPANS = """c AS (SELECT o_custkey % 50 AS series, year(o_orderdate) AS attempt,
 SQL = {
     "cycle_index": f"WITH {_CYCLES} {_CONTEXT}",
     "last_cycle": f"WITH {_CYCLES}, x AS ({_CONTEXT}) SELECT * FROM x QUALIFY cycle = max(cycle) OVER (PARTITION BY series)",
-    "cycle_markers": f"WITH {_CYCLES} SELECT series, sequence, 'μ=' || outer_iteration || '·a=' || attempt AS label FROM k WHERE start AND cycle BETWEEN 2 AND 25",
+    "cycle_markers": f"WITH {_CYCLES} SELECT series, sequence, 'μ=' || outer_iteration || ' · a=' || attempt AS label FROM k WHERE start AND cycle BETWEEN 2 AND 25",
     "sequence_holes": f"WITH {_ROWS}, l AS (SELECT series, sequence - coalesce(lag(sequence) OVER (PARTITION BY series ORDER BY sequence), 0) > 1 AS hole FROM r) SELECT series, count_if(hole)::BIGINT AS holes FROM l GROUP BY 1",
     "sequence_violations": """
         WITH b AS (SELECT user_id % 20 AS series, event_id AS place, event_id - CASE WHEN event_id % 53 = 0 THEN 500 ELSE 0 END AS sequence FROM events),

@@ -59,7 +59,8 @@ QUERIES = {
     "coordinate_agreement": lambda s, d: ops.disagreements(chosen(s, d), changed(s, d).where("o_orderkey % 3 <> 0"), "o_orderkey", "o_totalprice"),
     "marker_child_violations": lambda s, d: ops.child_violations(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), orders(s, d).where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", ["l_orderkey", "l_linenumber"], {"l_returnflag": ("A", "R")}),
     "compaction_ranges": lambda s, d: ops.compaction_ranges(days(s, d), "event_type", "day"),
-    "compaction_payload_hash": lambda s, d: ops.payload_hash(numbered(s, d), "event_type", "ordinal", "value"),
+    "compaction_payload_hash": lambda s, d: ops.payload_hash(numbered(s, d), "event_type", "ordinal", ["ordinal", "event_type", "value"]),
+    "compaction_payload_digest": lambda s, d: ops.payload_digest(ops.payload_hash(numbered(s, d), "event_type", "ordinal", ["ordinal", "event_type", "value"]), "event_type"),
     "double_bits": lambda s, d: table(s, d, "customer").select("c_custkey", bits.double_bits(F.when(F.col("c_custkey") % 7 == 0, F.lit(-0.0)).when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal"))).alias("bits")),
 }
 

@@ -89,16 +89,22 @@ COVERAGE_SQL = f"""{RESOURCES_SQL},
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event closes a batch of its user's table, 30 s after the one before."""
-    return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("t"), F.col("user_id") % 3).alias("table_name"),
+    """Events that are no errors close a batch of a table of their user's session."""
+    tables = F.array(F.lit("resources"), F.lit("spans"), F.lit("control_events"))
+    return table(spark, sf_dir, "events").where("event_type <> 'error'").select(
+        (F.col("user_id") % 5).alias("session"),
+        F.element_at(tables, F.when(F.col("event_id") % 97 == 0, 3).otherwise((F.col("user_id") % 2 + 1).cast("int"))).alias("table_name"),
         F.col("event_id").alias("batch"),
         (F.col("event_id") * 30).cast("double").alias("closed_seconds"),
-        (F.col("event_type") == "error").alias("transition"),
         (F.col("event_id") % 101 == 0).alias("requested"),
     )
 
 
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors are the transitions, half of them of a number that a batch of the session may have."""
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select((F.col("user_id") % 5).alias("session"), (F.col("event_id") + F.col("event_id") % 2).alias("batch"))
+
+
 def boundary_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_linenumber")
     return table(spark, sf_dir, "lineitem").select(
@@ -136,11 +142,11 @@ QUERIES = {
     "cpu_coverage": lambda s, d: rounded(ops.cpu_coverage(resources(s, d))),
     "cpu_coverage_excluded": lambda s, d: ops.excluded_samples(resources(s, d)),
     "cpu_coverage_ratios": lambda s, d: rounded(ops.coverage_ratios(ops.cpu_coverage(resources(s, d)))),
-    "science_windows": lambda s, d: ops.science_windows(batches(s, d)).select("table_name", "batch", "bucket", "science_window"),
+    "science_windows": lambda s, d: ops.science_windows(batches(s, d), transitions(s, d)),
     "normalise_violations": lambda s, d: ops.span_violations(checked_spans(s, d), "event_id"),
 }
 
-_ROUNDED = "valid_intervals, missing_samples, discontinuous_intervals, coarse_intervals, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("covered_wall_seconds", "cpu_seconds", "allocated_cpu_seconds", "observed_capacity_cpu_seconds", "coarse_wall_seconds", "fine_wall_seconds", "longest_interval_seconds"))
+ROUNDED = "valid_intervals, missing_samples, discontinuous_intervals, coarse_intervals, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("covered_wall_seconds", "cpu_seconds", "allocated_cpu_seconds", "observed_capacity_cpu_seconds", "coarse_wall_seconds", "fine_wall_seconds", "longest_interval_seconds"))
 
 SQL = {
     "span_phase_totals": """
@@ -167,7 +173,7 @@ SQL = {
         SELECT 'lineitem' AS table_name, count(*) AS n FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events""",
     "sources_all_consumed": """
         SELECT o_custkey, bool_and(coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus = 'F' END, false)) AS all_consumed FROM orders GROUP BY 1""",
-    "cpu_coverage": f"WITH {COVERAGE_SQL} SELECT allocation_id, samples, {_ROUNDED}, first_sample_ns, last_sample_ns FROM cov",
+    "cpu_coverage": f"WITH {COVERAGE_SQL} SELECT allocation_id, samples, {ROUNDED}, first_sample_ns, last_sample_ns FROM cov",
     "cpu_coverage_excluded": f"WITH {RESOURCES_SQL} SELECT count_if(profile)::BIGINT AS profile_samples, count_if(NOT profile AND alloc IS NULL)::BIGINT AS unidentified_samples FROM r",
     "cpu_coverage_ratios": f"""
         WITH {COVERAGE_SQL}, x AS (SELECT *, (last_sample_ns - first_sample_ns) / 1e9::DOUBLE AS w FROM cov)
@@ -175,8 +181,11 @@ SQL = {
                round(cpu_seconds / nullif(covered_wall_seconds, 0), 6) AS mean_busy_cpus, round(cpu_seconds / nullif(allocated_cpu_seconds, 0), 6) AS allocated_share,
                round(cpu_seconds / nullif(observed_capacity_cpu_seconds, 0), 6) AS capacity_share FROM x""",
     "science_windows": """
-        WITH b AS (SELECT 't' || (user_id % 3) AS table_name, event_id AS batch, event_id * 30 // 900 AS bucket, event_type = 'error' AS transition, event_id % 101 = 0 AS requested FROM events)
-        SELECT table_name, batch, bucket, row_number() OVER (PARTITION BY table_name, bucket ORDER BY batch) = 1 OR transition OR requested AS science_window FROM b""",
+        WITH b AS (SELECT user_id % 5 AS session, CASE WHEN event_id % 97 = 0 THEN 'control_events' WHEN user_id % 2 = 0 THEN 'resources' ELSE 'spans' END AS table_name, event_id AS batch, event_id * 30 // 900 AS bucket, event_id % 101 = 0 AS requested FROM events WHERE event_type <> 'error'),
+        t AS (SELECT user_id % 5 AS session, event_id + event_id % 2 AS batch FROM events WHERE event_type = 'error'),
+        p AS (SELECT *, lag(batch) OVER (PARTITION BY session, table_name ORDER BY batch) AS before, row_number() OVER (PARTITION BY session, table_name, bucket ORDER BY batch) AS place FROM b),
+        x AS (SELECT p.*, EXISTS (SELECT 1 FROM t WHERE t.session = p.session AND t.batch <= p.batch AND t.batch > p.before) AS after FROM p)
+        SELECT session, table_name, batch, bucket, requested OR table_name = 'control_events' OR (table_name IN ('resources', 'spans') AND (place = 1 OR after OR before IS NULL)) AS science_window FROM x""",
     "normalise_violations": """
         WITH b AS (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN event_type END AS phase,
                           CASE WHEN event_id % 19 = 0 THEN -value WHEN event_id % 23 = 0 THEN 'nan'::DOUBLE WHEN event_id % 29 <> 0 THEN value END AS d,

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from tallyspark.functions.bits import canonical
 from tallyspark.functions.strict_json import json_fault
 from tallyspark.operators import telemetry, transport, views
-from tallyspark.plans.telemetry import COVERAGE_SQL, as_resources, rounded, table
+from tallyspark.plans.telemetry import COVERAGE_SQL, ROUNDED, as_resources, rounded, table
 from tallyspark.streaming import coverage
 
 STEP = 500
+#: Roles that references have here: one of each place, and some that only look like one.
+ROLES = ("model", "science.comparison", "performance.summary", "control.state", "science.history", "performance.window", "performance.full", "history.x", "control.series", "physics.analysis", "science.figure")
 #: Bytes of a page of archives before compression, about.
 PAGE_BYTES = 8 << 20
 
@@ -75,7 +77,7 @@ def series_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("branch"), (F.col("o_custkey") % 5).alias("temperature"), F.when(n % 3 == 0, n % 7).alias("order"), n.alias("pos"),
-        n.cast("double").alias("x"), F.when(n % 11 != 0, F.col("o_totalprice")).alias("y"), (F.col("o_orderstatus") == "F").alias("accepted"),
+        n.cast("double").alias("x"), F.when(n % 11 != 0, F.col("o_totalprice")).alias("y"), F.when(n % 19 != 0, F.col("o_orderstatus") == "F").alias("accepted"),
     )
 
 
@@ -108,7 +110,7 @@ def stream_cpu_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "object_priority": lambda s, d: transport.object_priority(table(s, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.when(F.col("doc_id") % 4 == 0, "history.x").when(F.col("doc_id") % 4 == 1, "performance.full").when(F.col("doc_id") % 4 == 2, "model").otherwise("physics").alias("role"))),
+    "object_priority": lambda s, d: transport.object_priority(table(s, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.element_at(F.array(*map(F.lit, ROLES)), (F.col("doc_id") % len(ROLES) + 1).cast("int")).alias("role"))),
     "page_layout": lambda s, d: transport.page_layout(units(s, d), "lang", ["doc_id"], 60_000, 5_000),
     "chunk_plan": lambda s, d: transport.chunk_plan(objects(s, d), "doc_id", STEP).drop("piece"),
     "segment_contiguity": lambda s, d: transport.contiguity_violations(segments(s, d), sizes(s, d), "doc_id"),
@@ -138,8 +140,11 @@ _AXIS = "a AS (SELECT figure, coordinate, row_number() OVER (PARTITION BY figure
 _CELLS = "c AS (SELECT p_brand AS figure, p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'nan'::DOUBLE WHEN p_partkey % 17 <> 0 THEN p_retailprice - 1000 END AS value FROM part), l AS (SELECT figure, max(abs(value)) FILTER (isfinite(value)) AS lim FROM c GROUP BY 1)"
 
 SQL = {
-    "stream_cpu_coverage": f"WITH {COVERAGE_SQL} SELECT allocation_id, samples, valid_intervals, missing_samples, discontinuous_intervals, round(covered_wall_seconds, 6) AS covered_wall_seconds, round(cpu_seconds, 6) AS cpu_seconds FROM cov",
-    "object_priority": "SELECT sha256(text) AS sha256, min(CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 5 END)::INTEGER AS priority FROM documents GROUP BY 1",
+    "stream_cpu_coverage": f"WITH {COVERAGE_SQL} SELECT allocation_id, samples, {ROUNDED}, first_sample_ns, last_sample_ns FROM cov",
+    "object_priority": f"""
+        WITH r AS (SELECT sha256(text) AS sha256, {list(ROLES)}[doc_id % {len(ROLES)} + 1] AS role FROM documents)
+        SELECT sha256, min(CASE WHEN role IN ('model', 'plan', 'science.comparison', 'performance.summary', 'control.state') THEN 0 WHEN role = 'science.history' THEN 1 WHEN role IN ('performance.window', 'performance.full') THEN 3 ELSE 5 END)::INTEGER AS priority FROM r GROUP BY 1""",
+    "chunk_plan": f"WITH {_CHUNKS} SELECT doc_id, off AS \"offset\", n AS bytes, sha256(unhex(substr(hex(b), off * 2 + 1, n * 2))) AS sha256 FROM k",
     "page_layout": """
         WITH RECURSIVE u AS (SELECT lang, doc_id, n_chars + 1024 AS weight, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
         f AS (SELECT lang, doc_id, weight, rn, CASE WHEN 5000 + weight > 60000 THEN 1 ELSE 0 END AS page, CASE WHEN 5000 + weight > 60000 THEN weight ELSE 5000 + weight END AS used FROM u WHERE rn = 1
@@ -168,12 +173,12 @@ SQL = {
                CASE WHEN fine THEN floor(255 * (1 - greatest(0, s)))::INTEGER ELSE 155 END AS b FROM s""",
     "axis_violations": f"WITH {_AXIS} SELECT figure FROM a GROUP BY figure HAVING count(*) < 2 OR (figure LIKE '%3' AND count(*) > 2)",
     "series_curves": """
-        WITH p AS (SELECT o_orderpriority AS branch, o_custkey % 5 AS temperature, o_orderkey::DOUBLE AS x, o_totalprice AS y, o_orderstatus = 'F' AS accepted,
+        WITH p AS (SELECT o_orderpriority AS branch, o_custkey % 5 AS temperature, o_orderkey::DOUBLE AS x, o_totalprice AS y, CASE WHEN o_orderkey % 19 <> 0 THEN o_orderstatus = 'F' END AS accepted,
                           row_number() OVER (PARTITION BY o_orderpriority, o_custkey % 5 ORDER BY coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 END, 0), o_orderkey) - 1 AS place FROM orders WHERE o_orderkey % 11 <> 0)
-        SELECT branch, temperature, place, x, CASE WHEN accepted THEN y END AS y, false AS marker FROM p UNION ALL SELECT branch, temperature, place, x, y, true FROM p WHERE NOT accepted""",
+        SELECT branch, temperature, place, x, CASE WHEN accepted THEN y END AS y, false AS marker FROM p UNION ALL SELECT branch, temperature, place, x, y, true FROM p WHERE NOT coalesce(accepted, false)""",
     "json_strict": """
         SELECT event_id, CASE event_id % 50 WHEN 0 THEN 'repeated' WHEN 1 THEN 'number' WHEN 2 THEN 'number' WHEN 3 THEN 'syntax' WHEN 4 THEN 'syntax' WHEN 5 THEN 'root' WHEN 6 THEN 'syntax' END AS fault FROM events""",
-    "model_identity": "SELECT c_custkey, sha256('m{s3:keyi' || c_custkey || ';s7:segments' || octet_length(encode(c_mktsegment)) || ':' || c_mktsegment || '}') AS digest FROM customer",
+    "model_identity": "SELECT c_custkey, sha256('m2{s3:keyi' || length(c_custkey::VARCHAR) || ':' || c_custkey || 's7:segments' || octet_length(encode(c_mktsegment)) || ':' || c_mktsegment || '}') AS digest FROM customer",
     "stream_span_totals": "SELECT l_returnflag || ':' || l_linestatus AS phase_key, sum(l_quantity) AS duration_seconds, CAST(sum(l_linenumber) AS BIGINT) AS call_count FROM lineitem GROUP BY 1",
     "stream_tumbling": "SELECT epoch_us(ts) // 900000000 * 900000000 AS start_us, count(*) AS n FROM events GROUP BY 1",
 }

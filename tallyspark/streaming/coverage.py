@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyspark.operators.telemetry import IDENTITY_FIELDS
+from tallyspark.operators.telemetry import COARSE_SECONDS, IDENTITY_FIELDS
 from tallyspark.sources.store import shared_folder
 
 
@@ -22,18 +22,32 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str, files_each: int = 1)
 
 
 def committed(stream: DataFrame, mode: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs what is there to the end. Each micro-batch replaces (complete) or adds (append, update) its own folder, named by its number, so a repeated one changes nothing."""
+    """Runs what is there to the end. Each micro-batch writes a folder of its own, named by its number, so a repeated one changes nothing; where a batch has the whole result (complete), the last whole folder counts."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(commit_to(base)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = committed_rows(spark, base)
+    if mode == "complete":
+        rows = rows.where(F.col("epoch") == rows.agg(F.max("epoch")).first()[0])
+    return keep(rows) if keep else rows.drop("epoch")
+
+
+def commit_to(base: str) -> Callable[[DataFrame, int], None]:
+    """The sink of a micro-batch: its rows first, then its name in the list of commits. Done again, both are replaced by the same."""
 
     def commit(batch: DataFrame, epoch: int) -> None:
-        where = f"{base}/data/epoch=0" if mode == "complete" else f"{base}/data/epoch={epoch}"
-        batch.write.mode("overwrite").parquet(where)
+        batch.write.mode("overwrite").parquet(f"{base}/data/epoch={epoch}")
+        batch.sparkSession.createDataFrame([(epoch,)], "committed long").coalesce(1).write.mode("overwrite").parquet(f"{base}/commits/batch={epoch}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(commit).trigger(availableNow=True).start()
-    query.awaitTermination()
+    return commit
+
+
+def committed_rows(spark: SparkSession, base: str, until: int | None = None) -> DataFrame:
+    """The rows of committed batches, up to batch `until` if given: a reader sees a fixed prefix while others append, and nothing of a batch that did not end."""
+    commits = spark.read.parquet(f"{base}/commits").select("committed").where(F.lit(True) if until is None else F.col("committed") <= until)
     rows = spark.read.option("basePath", f"{base}/data").parquet(f"{base}/data")
-    return keep(rows) if keep else rows.drop("epoch")
+    return rows.join(F.broadcast(commits), rows.epoch == commits.committed, "left_semi")
 
 
 def tumbling_counts(stream: DataFrame, time: str, minutes: int = 15) -> DataFrame:
@@ -41,52 +55,69 @@ def tumbling_counts(stream: DataFrame, time: str, minutes: int = 15) -> DataFram
     return stream.groupBy(F.window(F.col(time).cast("timestamp"), f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("start_us"), "n")
 
 
-STATE = "previous string, samples long, valid long, missing long, discontinuous long, wall double, cpu double"
-RESULT = "allocation_id string, samples long, valid_intervals long, missing_samples long, discontinuous_intervals long, covered_wall_seconds double, cpu_seconds double"
+#: What the state keeps of an allocation, as JSON: whole numbers keep all their digits there.
+STATE = "state string"
+COUNTS = ("samples", "valid_intervals", "missing_samples", "discontinuous_intervals", "coarse_intervals")
+SUMS = ("covered_wall_seconds", "cpu_seconds", "allocated_cpu_seconds", "observed_capacity_cpu_seconds", "coarse_wall_seconds", "fine_wall_seconds")
+RESULT = "allocation_id string, " + ", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in SUMS]) + ", longest_interval_seconds double, first_sample_ns long, last_sample_ns long"
+#: Whole numbers that go to the fold as text: beside a null pandas would make them doubles, which do not hold nanoseconds.
+WHOLE = ("sample_sequence", "monotonic_ns", "cpu_count", "pid", "process_start_ticks")
+FIRST = {**dict.fromkeys(COUNTS, 0), **dict.fromkeys(SUMS, 0.0), "longest_interval_seconds": None, "first_sample_ns": None, "last_sample_ns": None, "before": None}
+
+
+def fold(s: dict, row: dict) -> None:
+    """One sample, in order of arrival, by the batch operator's rules; s["before"] is the latest sample of the run."""
+    stamp, cpu, width = row["monotonic_ns"], row["cpu_time_seconds"], row["cpu_count"]
+    s["samples"] += 1
+    if stamp is not None:
+        s["first_sample_ns"] = stamp if s["first_sample_ns"] is None else s["first_sample_ns"]
+        s["last_sample_ns"] = stamp
+    if cpu is None or stamp is None or not width or row["missing_reason"]:
+        s["missing_samples"] += 1
+        s["before"] = None
+        return
+    before, now = s["before"], {n: row[n] for n in ("monotonic_ns", "cpu_time_seconds", *IDENTITY_FIELDS)}
+    if before is not None and stamp <= before["monotonic_ns"]:
+        s["discontinuous_intervals"] += 1
+        s["last_sample_ns"] = before["monotonic_ns"]
+        return
+    s["before"] = now
+    if before is None:
+        return
+    if cpu < before["cpu_time_seconds"] or any(now[n] != before[n] for n in IDENTITY_FIELDS):
+        s["discontinuous_intervals"] += 1
+        return
+    wall, used, quota = (stamp - before["monotonic_ns"]) / 1e9, cpu - before["cpu_time_seconds"], row["cpu_quota_cores"]
+    s["valid_intervals"] += 1
+    s["coarse_intervals"] += wall > COARSE_SECONDS
+    s["coarse_wall_seconds" if wall > COARSE_SECONDS else "fine_wall_seconds"] += wall
+    s["covered_wall_seconds"] += wall
+    s["cpu_seconds"] += used
+    s["allocated_cpu_seconds"] += wall * width
+    s["observed_capacity_cpu_seconds"] += wall * (width if quota is None else min(width, quota))
+    s["longest_interval_seconds"] = max(wall, s["longest_interval_seconds"] or wall)
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The batch operator's rules for one allocation: what the state keeps is the latest sample of the run, and totals."""
-    previous, samples, valid, missing, broken, wall, cpu = state.get if state.exists else (None, 0, 0, 0, 0, 0.0, 0.0)
-    before = eval_row(previous)
-    rows = pd.concat(frames).sort_values("sample_sequence").astype(object)
-    for row in rows.where(rows.notna(), None).to_dict("records"):
-        samples += 1
-        if row["cpu_time_seconds"] is None or row["monotonic_ns"] is None or not row["cpu_count"] or row["missing_reason"]:
-            missing, before = missing + 1, None
-            continue
-        now = {n: row[n] for n in ("monotonic_ns", "cpu_time_seconds", *IDENTITY_FIELDS)}
-        if before is not None:
-            if now["monotonic_ns"] <= before["monotonic_ns"]:
-                broken += 1
-                continue
-            if now["cpu_time_seconds"] < before["cpu_time_seconds"] or any(now[n] != before[n] for n in IDENTITY_FIELDS):
-                broken += 1
-            else:
-                valid += 1
-                wall += (int(now["monotonic_ns"]) - int(before["monotonic_ns"])) / 1e9
-                cpu += now["cpu_time_seconds"] - before["cpu_time_seconds"]
-        before = now
-    state.update((row_text(before), samples, valid, missing, broken, wall, cpu))
-    yield pd.DataFrame([(key[0], samples, valid, missing, broken, wall, cpu)], columns=[c.split()[0] for c in RESULT.split(", ")])
-
-
-def row_text(row: dict | None) -> str | None:
-    import json
-
-    return None if row is None else json.dumps(row, default=float)
-
-
-def eval_row(text: str | None) -> dict | None:
     import json
 
-    return None if text is None else json.loads(text)
+    s = json.loads(state.get[0]) if state.exists else dict(FIRST)
+    rows = pd.concat([f.astype(object) for f in frames])
+    rows = rows.where(rows.notna(), None).to_dict("records")
+    for row in rows:
+        row.update({c: None if row[c] is None else int(row[c]) for c in WHOLE})
+    for row in sorted(rows, key=lambda r: r["sample_sequence"]):
+        fold(s, row)
+    state.update((json.dumps(s),))
+    yield pd.DataFrame([[key[0], *(s[c.split()[0]] for c in RESULT.split(", ")[1:])]], columns=[c.split()[0] for c in RESULT.split(", ")], dtype=object)
 
 
 def coverage_stream(resources: DataFrame) -> DataFrame:
-    """cpu_coverage's totals of each allocation after each micro-batch."""
+    """cpu_coverage of each allocation after each micro-batch: all its fields."""
     kept = resources.where(~F.col("sampling_mode").eqNullSafe("profile_window") & (F.coalesce("allocation_id", F.lit("")) != ""))
-    return kept.groupBy("allocation_id").applyInPandasWithState(_fold, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+    names = ["allocation_id", "sample_sequence", "monotonic_ns", "cpu_time_seconds", "missing_reason", *IDENTITY_FIELDS]
+    sent = kept.select(*[F.col(c).cast("string").alias(c) if c in WHOLE else F.col(c) for c in dict.fromkeys(names)])
+    return sent.groupBy("allocation_id").applyInPandasWithState(_fold, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def latest(rows: DataFrame) -> DataFrame:
