@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import history, lineage, proofs, telemetry, transport
+from tallyspark.plans import history, lineage, proofs, snapshot, telemetry, transport
 
 #: The modules that hold queries: each has QUERIES and SQL.
-MODULES = (telemetry, history, lineage, proofs, transport)
+MODULES = (telemetry, history, lineage, snapshot, proofs, transport)
 FLAGSHIP = "span_phase_totals"
 
 
