@@ -38,6 +38,10 @@ class NearDuplicates:
     block_rows: int = 2048
     block_bytes: int = 1 << 24
 
+    def __post_init__(self):
+        if not 0 < self.bands <= 64:
+            raise ValueError("the bands' numbers must fit their keys")
+
     @property
     def threshold(self) -> float:
         return self.percent / 100
@@ -99,6 +103,8 @@ def digests(sets: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+#: The bits of a band's key that hold the band's number.
+PLACES = np.uint64(63)
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, compared binary, bands array<long>"
 
 
@@ -123,7 +129,8 @@ def sketcher(p: NearDuplicates):
                     for i in range(k):
                         values[some, i] = np.minimum.reduceat(short * scale[i] + shift[i], at)
                 wide = values.astype(np.uint64).reshape(len(n), p.bands, p.rows)
-                keys = mixed((wide * seeds[:, :-1]).sum(axis=2, dtype=np.uint64) + seeds[:, -1]).view(np.int64)
+                keys = mixed((wide * seeds[:, :-1]).sum(axis=2, dtype=np.uint64) + seeds[:, -1])
+                keys = ((keys & ~PLACES) | np.arange(p.bands, dtype=np.uint64)).view(np.int64)
                 cells = values[:, : p.compared].astype("<u2").tobytes()
                 yield pa.record_batch(
                     [
@@ -307,22 +314,26 @@ def _compared(dealt: DataFrame, near: DataFrame, p: NearDuplicates) -> DataFrame
     return written(full.repartition(spread(dealt.sparkSession), *PLACE).sortWithinPartitions(*PLACE, "kind").mapInArrow(comparer(p), "src long, dst long"), "links")
 
 
+#: Whether a band is one of the first so many.
+IS_EARLY = f"((band & {int(PLACES)}) < {{}})"
+
+
 def _first_links(members: DataFrame, near: DataFrame, p: NearDuplicates) -> DataFrame:
     """Links within the blocks of the first bands' groups."""
-    rows = members.where(F.col("place") < p.early)
+    rows = members.where(IS_EARLY.format(p.early))
     own = F.expr("pmod(xxhash64(doc_id, d1, band), blocks)").cast("int")
     return _compared(rows.select("band", F.lit(0).alias("asking"), own.alias("asked"), F.lit(1).alias("kind"), "doc_id", "d1", F.col("doc_id").alias("label")), near, p)
 
 
 def _other_links(members: DataFrame, near: DataFrame, labels: DataFrame, p: NearDuplicates) -> DataFrame:
     """Links within groups that the first round left apart: of one block, or rows outside the largest label against all rows, block by block."""
-    rows = members.where((F.col("place") >= p.early) | (F.col("blocks") > 1))
+    rows = members.where(f"not {IS_EARLY.format(p.early)} or blocks > 1")
     rows = rows.join(labels, rows.doc_id == labels.node, "left").select("band", "doc_id", "d1", "n_shingles", "blocks", F.coalesce("component", "doc_id").alias("label"))
     rows = written(rows, "placed")
     sizes = rows.groupBy("band", "label").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("size"))
     groups = sizes.groupBy("band").agg(F.max(F.struct("many", "label", "size")).alias("top"), F.sum("many").alias("n"), F.sum("size").alias("all")).where("n > top.many")
     groups = groups.select("band", F.col("top.label").alias("top"), (F.col("n") - F.col("top.many")).alias("many"), (F.col("all") - F.col("top.size")).alias("size")).select("band", "top", _blocks("many", "size", p).alias("out_blocks"))
-    rows = rows.join(groups, "band")
+    rows = rows.join(written(groups, "apart"), "band")  # written, so that the join can split a hot band
     hashed = lambda n: F.expr(f"pmod(xxhash64(doc_id, d1, band), {n})").cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     whole = rows.where("blocks = 1").select("band", F.lit(0).alias("asking"), F.lit(0).alias("asked"), F.lit(1).alias("kind"), "doc_id", "d1", "label")
@@ -352,11 +363,13 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     classes = written(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id", *key])
     reps = written(reps, "reps")
-    banded = reps.select("doc_id", "d1", "n_shingles", F.posexplode("bands").alias("place", "band"))
-    same = [F.bit_xor(F.xxhash64("doc_id", "d1")).alias("x0"), F.bit_xor(F.xxhash64("d1", "doc_id")).alias("x1")]
-    groups = banded.groupBy("band").agg(F.min("place").alias("place"), F.count("*").alias("many"), F.sum("n_shingles").alias("size"), *same).where("many > 1")
-    groups = groups.groupBy("many", "size", "x0", "x1").agg(F.min(F.struct("place", "band")).alias("one")).select("one.band", _blocks("many", "size", p).alias("blocks"))
-    members = written(banded.join(groups, "band").select("band", "place", "blocks", "doc_id", "d1", "n_shingles"), "members")
+    banded = reps.select("doc_id", "d1", "n_shingles", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band")
+    rows = written(banded.join(shared, "band"), "banded")
+    groups = rows.groupBy("band").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("size"), F.min("doc_id").alias("low"), F.bit_xor(F.xxhash64("doc_id", "d1")).alias("same"))
+    groups = groups.groupBy("many", "size", "low", "same").agg(F.min(F.struct((F.col("band").bitwiseAND(int(PLACES))).alias("place"), "band")).alias("one"))
+    groups = written(groups.select("one.band", _blocks("many", "size", p).alias("blocks")), "groups")
+    members = written(rows.join(groups, "band").select("band", "blocks", "doc_id", "d1", "n_shingles"), "members")
     involved = members.select("doc_id").distinct()
     sets = source.join(involved, "doc_id", "left_semi").mapInArrow(set_maker(p), SET).dropDuplicates(["doc_id", "d1"])
     near = written(reps.select("doc_id", "d1", "n_shingles", "compared").join(sets, ["doc_id", "d1"]), "near")
