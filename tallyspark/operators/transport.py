@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyspark.operators.snapshot import MOST_PART_BYTES
 from tallyspark.sources.store import settled
 
 #: The place of an object in the transport by the role of its references; other roles have OTHER, objects without references UNREFERENCED.
@@ -33,6 +34,118 @@ def page_budget(most_bytes: int) -> int:
     return max(1024, int(0.9 * most_bytes) - 2048)
 
 
+def check_part_limit(most_bytes: int) -> None:
+    """Refuses a limit of a part that is no whole number from 1 to MOST_PART_BYTES."""
+    if isinstance(most_bytes, bool) or not isinstance(most_bytes, int) or not 0 < most_bytes <= MOST_PART_BYTES:
+        raise ValueError(f"a part of {most_bytes} bytes is out of bounds")
+
+
+def object_order(objects: DataFrame, priorities: DataFrame, by: str) -> DataFrame:
+    """by, name, priority, place of objects (by, name, sha256) in a snapshot's transport: by priority and name; objects without references come last."""
+    rows = objects.join(priorities, "sha256", "left").withColumn("priority", F.coalesce("priority", F.lit(UNREFERENCED)))
+    return rows.select(by, "name", "priority", (F.row_number().over(W.partitionBy(by).orderBy("priority", "name")) - 1).cast("long").alias("place"))
+
+
+def packed_size(rows: list[tuple[str, int, bytes]]) -> int:
+    return len(_packed(rows))
+
+
+def transport_units(objects: DataFrame, key: str, budget: int) -> DataFrame:
+    """key, offset, bytes, weight, kind of the units that carry objects (key, content): an object whose bytes and OVERHEAD fit the budget is whole; a larger one is compressed, and whole if that fits, with what it takes as weight;
+    else it goes in chunks of the budget less OVERHEAD. Only objects above the budget are compressed."""
+    step = max(1, budget - OVERHEAD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch.column(key).to_pylist(), batch.column("content").to_pylist()):
+                size = len(data)
+                weight = size + OVERHEAD
+                if weight > budget:
+                    taken = packed_size([(str(name), 0, data)])
+                    if taken > budget:
+                        rows += [(name, at, min(step, size - at), min(step, size - at) + OVERHEAD, "chunk") for at in range(0, size, step)]
+                        continue
+                    weight = taken + OVERHEAD
+                rows.append((name, 0, size, weight, "whole"))
+            cells = list(zip(*rows)) or [()] * 5
+            yield pa.record_batch([pa.array(cells[0], batch.schema.field(key).type), *(pa.array(c, pa.int64()) for c in cells[1:4]), pa.array(cells[4], pa.string())], names=[key, "offset", "bytes", "weight", "kind"])
+
+    return objects.select(key, "content").mapInArrow(run, f"{key} {dict(objects.dtypes)[key]}, offset long, bytes long, weight long, kind string")
+
+
+def refined_layout(units: DataFrame, overflowed: DataFrame, by: str) -> DataFrame:
+    """by, page, place, name, offset, bytes after the pages named by overflowed (by, page) have turned out too large: one of several units is halved; the first page gives up its only unit to a page of its own, and
+    stays for the metadata; any other page of one unit becomes two of half its bytes. Pages are numbered anew, in order.
+
+    units: by, page, place (in its page), name, offset, bytes.
+    """
+    marked = units.join(overflowed.select(by, "page", F.lit(True).alias("over")), [by, "page"], "left").withColumn("over", F.coalesce("over", F.lit(False)))
+    rows = marked.withColumn("n", F.count("*").over(W.partitionBy(by, "page")))
+    half = F.greatest(F.lit(1), F.expr("n div 2"))
+    middle = F.greatest(F.lit(1), F.expr("bytes div 2")).cast("long")
+    alone = F.col("over") & (F.col("n") == 1)
+    whole = F.array(F.struct(F.when(F.col("over") & (F.col("n") > 1) & (F.col("place") >= half), 1).when(alone & (F.col("page") == 0), 1).otherwise(0).alias("part"), F.col("offset").cast("long").alias("offset"), F.col("bytes").cast("long").alias("bytes")))
+    chunks = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)).cast("long"), middle), lambda at: F.struct((at / middle).cast("int").alias("part"), (F.col("offset") + at).alias("offset"), F.least(middle, F.col("bytes") - at).alias("bytes")))
+    cut = rows.select(by, "page", "place", "name", F.explode(F.when(alone & (F.col("page") > 0), chunks).otherwise(whole)).alias("u"))
+    cut = cut.select(by, "page", "place", "name", "u.part", "u.offset", "u.bytes")
+    # The first page keeps its number even where it has given up its unit.
+    kept = cut.select(by, "page", "part").union(units.select(by, F.lit(0).cast("long").alias("page"), F.lit(0).alias("part"))).distinct()
+    numbered = kept.withColumn("new", (F.row_number().over(W.partitionBy(by).orderBy("page", "part")) - 1).cast("long"))
+    placed = cut.join(numbered, [by, "page", "part"])
+    order = W.partitionBy(by, "new").orderBy("place", "offset")
+    return placed.select(by, F.col("new").alias("page"), (F.row_number().over(order) - 1).cast("long").alias("place"), "name", "offset", "bytes")
+
+
+def part_headers(parts: DataFrame, snapshots: DataFrame, by: str) -> DataFrame:
+    """by, index, header of each part (by, index) of a snapshot (by, snapshot_identity, index_sha256, maximum_part_bytes): compact JSON that names the snapshot, the index and the part's place."""
+    counts = parts.groupBy(by).agg(F.count("*").alias("count"))
+    fields = ["count", "index", "index_sha256", "maximum_part_bytes", "snapshot_identity"]
+    return parts.join(counts, by).join(snapshots, by).select(by, "index", F.to_json(F.struct(*fields)).alias("header"))
+
+
+def header_violations(headers: DataFrame, snapshots: DataFrame, by: str) -> DataFrame:
+    """by, index, rule of parts' headers (by, index, count, bytes, maximum_part_bytes, snapshot_identity, index_sha256) that are out of bounds, above their own limit, or of another snapshot, index, count or limit than the set's (snapshots)."""
+    own = snapshots.select(by, F.col("count").alias("s_count"), F.col("maximum_part_bytes").alias("s_most"), F.col("snapshot_identity").alias("s_identity"), F.col("index_sha256").alias("s_index"))
+    rows = headers.join(own, by)
+    other = (F.col("count") != F.col("s_count")) | (F.col("maximum_part_bytes") != F.col("s_most")) | (F.col("snapshot_identity") != F.col("s_identity")) | (F.col("index_sha256") != F.col("s_index"))
+    rules = {"place": ~F.col("index").between(F.lit(1), F.col("count")), "limit": ~F.col("maximum_part_bytes").between(1, MOST_PART_BYTES), "size": F.col("bytes") > F.col("maximum_part_bytes"), "other_set": other}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]))
+    return rows.select(by, "index", F.explode(found).alias("rule"))
+
+
+def metadata_fits(metadata: DataFrame, by: str, most_bytes: int) -> DataFrame:
+    """by, bytes, fits: whether a snapshot's metadata (by, name, content: a few small files) alone, as an archive, is within most_bytes."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("name").to_pylist(), table.column("content").to_pylist()))
+        taken = packed_size([(name, 0, data) for name, data in rows])
+        return pa.table([[key[0].as_py()], [taken], [taken <= most_bytes]], names=[by, "bytes", "fits"])
+
+    return metadata.select(by, "name", "content").groupBy(by).applyInArrow(run, f"{by} {dict(metadata.dtypes)[by]}, bytes long, fits boolean")
+
+
+def compaction_groups(items: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """record, table_name, segments, bytes of tables of which a record (record, table_name, object, bytes) has at least two segments that nothing depends on (object): those that are written anew as one."""
+    free = items.join(dependencies.select("object").distinct(), "object", "left_anti")
+    return free.groupBy("record", "table_name").agg(F.count("*").alias("segments"), F.sum("bytes").alias("bytes")).where("segments >= 2")
+
+
+def archive_members(parts: DataFrame, key: str) -> DataFrame:
+    """key, member, bytes, sha256 of all members of parts (key, archive), each archive read to its end, so that its footer is checked too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(key), batch.column("archive").to_pylist()):
+                plain = lzma.decompress(data)
+                with tarfile.open(fileobj=io.BytesIO(plain)) as archive:
+                    rows = [(m.name, m.size, hashlib.sha256(archive.extractfile(m).read()).hexdigest()) for m in archive.getmembers()]
+                cells = list(zip(*rows)) or [()] * 3
+                yield pa.record_batch([pa.array([name.as_py()] * len(rows), name.type), pa.array(cells[0], pa.string()), pa.array(cells[1], pa.int64()), pa.array(cells[2], pa.string())], names=[key, "member", "bytes", "sha256"])
+
+    return parts.select(key, "archive").mapInArrow(run, f"{key} {dict(parts.dtypes)[key]}, member string, bytes long, sha256 string")
+
+
 def page_layout(units: DataFrame, by: str, order: list[str], budget: int, first_weight: int) -> DataFrame:
     """units (by, order, weight) with `page`, next-fit in order within each snapshot: a unit that no longer fits opens a page.
 
@@ -182,5 +295,5 @@ def restore(parts: DataFrame) -> DataFrame:
 
     rows = parts.select("archive", "sha256").mapInArrow(run, "path string, offset long, piece binary")
     whole = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", "piece"))).alias("all"))
-    content = F.aggregate("all.piece", F.lit(b""), lambda a, x: F.concat(a, x))
+    content = F.unhex(F.array_join(F.transform("all.piece", F.hex), ""))
     return whole.select("path", content.alias("content")).withColumn("sha256", F.sha2("content", 256))

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions.bits import canonical
 from tallyspark.functions.strict_json import json_fault
-from tallyspark.operators import telemetry, transport, views
+from tallyspark.operators import snapshot, telemetry, transport, views
 from tallyspark.plans.telemetry import COVERAGE_SQL, ROUNDED, as_resources, rounded, table
 from tallyspark.streaming import coverage
 
@@ -55,10 +56,50 @@ def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "path", F.sha2("content", 256).alias("sha256")).join(restored, "path", "left").select("doc_id", F.col("sha256").eqNullSafe(F.col("restored")).alias("same"))
 
 
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"), F.element_at(F.array(*map(F.lit, ROLES)), (F.col("doc_id") % len(ROLES) + 1).cast("int")).alias("role"))
+
+
+def placed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as units: their order is the snapshot, four parts share a page."""
+    w = F.row_number().over(W.partitionBy("l_orderkey", "page").orderBy("name")) - 1
+    n = F.col("l_partkey") * 10 + F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", n.alias("name")).agg(F.max("l_quantity").cast("long").alias("bytes"))
+    return rows.withColumn("page", F.expr("name % 4").cast("long")).withColumn("place", w.cast("long")).select("l_orderkey", "page", "place", "name", F.lit(0).cast("long").alias("offset"), "bytes")
+
+
+def set_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(n.alias("snapshot"), F.lit(40).cast("long").alias("count"), (n * 1000 + 1000).alias("maximum_part_bytes"), F.sha2(n.cast("string"), 256).alias("snapshot_identity"), F.sha2(F.concat(F.lit("i"), n), 256).alias("index_sha256"))
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as parts of their nation's snapshot."""
+    n, k = F.col("c_custkey"), F.col("c_nationkey")
+    most = F.when(n % 17 == 1, 0).otherwise(k * 1000 + 1000)
+    identity = F.sha2((k + F.when(n % 19 == 2, 1).otherwise(0)).cast("string"), 256)
+    return table(spark, sf_dir, "customer").select(k.alias("snapshot"), (n % 42).alias("index"), F.lit(40).cast("long").alias("count"), (n * 20).alias("bytes"), most.alias("maximum_part_bytes"), identity.alias("snapshot_identity"), F.sha2(F.concat(F.lit("i"), k), 256).alias("index_sha256"))
+
+
+def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks of documents against the members of the archives that carry them, with a fault in each: none but those may be found."""
+    docs = objects(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string"))
+    pieces = transport.chunk_plan(docs, "path", 4096).withColumn("snapshot", F.lit("s"))
+    dealt = transport.deal_pages(pieces, "snapshot", PAGE_BYTES)
+    archives = transport.build_parts(dealt.where("path <> '5'"), "snapshot", "page", 200_000_000)
+    found = transport.archive_members(archives.withColumn("part", F.concat_ws("-", "page", "split")), "part").withColumnRenamed("member", "path")
+    index = pieces.select(F.concat_ws("@", "path", "offset").alias("path"), F.when(F.col("path") == "7", F.sha2(F.lit("x"), 256)).otherwise(F.col("sha256")).alias("sha256"), F.when(F.col("path") == "9", F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"))
+    return snapshot.differences(index, found.where("path not like '11@%'"), "path", ["sha256", "bytes"], ("index", "archives"))
+
+
+def compacting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = F.col("l_partkey") * 10 + F.col("l_linenumber")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_returnflag").alias("table_name"), n.alias("object"), F.col("l_quantity").cast("long").alias("bytes"))
+    return items, items.where("object % 7 = 0").select("object")
+
+
 def axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part sizes of each brand as a non-uniform axis."""
-    from pyspark.sql import Window as W
-
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("figure"), F.col("p_size").cast("double").alias("coordinate")).distinct()
     return rows.withColumn("i", F.row_number().over(W.partitionBy("figure").orderBy("coordinate")) - 1)
 
@@ -111,6 +152,14 @@ def stream_cpu_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "object_priority": lambda s, d: transport.object_priority(table(s, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.element_at(F.array(*map(F.lit, ROLES)), (F.col("doc_id") % len(ROLES) + 1).cast("int")).alias("role"))),
+    "object_order": lambda s, d: transport.object_order(table(s, d, "documents").select("lang", F.concat(F.lit("objects/"), "doc_id").alias("name"), F.sha2(F.concat("text", F.when(F.col("doc_id") % 9 == 2, "?").otherwise("")), 256).alias("sha256")), transport.object_priority(roles(s, d)), "lang"),
+    "transport_units": lambda s, d: transport.transport_units(objects(s, d), "doc_id", 3_000),
+    "refined_layout": lambda s, d: transport.refined_layout(placed_units(s, d), placed_units(s, d).where("(l_orderkey + page) % 3 = 0").select("l_orderkey", "page").distinct(), "l_orderkey"),
+    "part_headers": lambda s, d: transport.part_headers(table(s, d, "customer").select(F.col("c_nationkey").alias("snapshot"), F.col("c_custkey").alias("index")), set_of(s, d).drop("count"), "snapshot"),
+    "header_violations": lambda s, d: transport.header_violations(headers(s, d), set_of(s, d), "snapshot"),
+    "metadata_fits": lambda s, d: transport.metadata_fits(table(s, d, "pages").select((F.col("page_id") % 20).alias("snapshot"), F.concat(F.lit("m"), "page_id").alias("name"), F.encode("html", "UTF-8").alias("content")), "snapshot", 3_000),
+    "compaction_groups": lambda s, d: transport.compaction_groups(*compacting(s, d)),
+    "archive_verification": verified,
     "page_layout": lambda s, d: transport.page_layout(units(s, d), "lang", ["doc_id"], 60_000, 5_000),
     "chunk_plan": lambda s, d: transport.chunk_plan(objects(s, d), "doc_id", STEP).drop("piece"),
     "segment_contiguity": lambda s, d: transport.contiguity_violations(segments(s, d), sizes(s, d), "doc_id"),
@@ -145,6 +194,30 @@ SQL = {
         WITH r AS (SELECT sha256(text) AS sha256, {list(ROLES)}[doc_id % {len(ROLES)} + 1] AS role FROM documents)
         SELECT sha256, min(CASE WHEN role IN ('model', 'plan', 'science.comparison', 'performance.summary', 'control.state') THEN 0 WHEN role = 'science.history' THEN 1 WHEN role IN ('performance.window', 'performance.full') THEN 3 ELSE 5 END)::INTEGER AS priority FROM r GROUP BY 1""",
     "chunk_plan": f"WITH {_CHUNKS} SELECT doc_id, off AS \"offset\", n AS bytes, sha256(unhex(substr(hex(b), off * 2 + 1, n * 2))) AS sha256 FROM k",
+    "object_order": f"""
+        WITH r AS (SELECT sha256(text) AS sha256, {list(ROLES)}[doc_id % {len(ROLES)} + 1] AS role FROM documents),
+        p AS (SELECT sha256, min(CASE WHEN role IN ('model', 'plan', 'science.comparison', 'performance.summary', 'control.state') THEN 0 WHEN role = 'science.history' THEN 1 WHEN role IN ('performance.window', 'performance.full') THEN 3 ELSE 5 END)::INTEGER AS priority FROM r GROUP BY 1),
+        o AS (SELECT lang, 'objects/' || doc_id AS name, sha256(text || CASE WHEN doc_id % 9 = 2 THEN '?' ELSE '' END) AS sha256 FROM documents)
+        SELECT lang, name, coalesce(priority, 10)::INTEGER AS priority, row_number() OVER (PARTITION BY lang ORDER BY coalesce(priority, 10), name) - 1 AS place FROM o LEFT JOIN p USING (sha256)""",
+    "refined_layout": """
+        WITH u AS (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS name, max(l_quantity)::BIGINT AS bytes FROM lineitem GROUP BY 1, 2), p AS (SELECT *, name % 4 AS page FROM u),
+        q AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, page ORDER BY name) - 1 AS place, count(*) OVER (PARTITION BY l_orderkey, page) AS n, (l_orderkey + page) % 3 = 0 AS over FROM p),
+        c AS (SELECT l_orderkey, page, place, name, CASE WHEN over AND n > 1 AND place >= greatest(1, n // 2) THEN 1 WHEN over AND n = 1 AND page = 0 THEN 1 ELSE 0 END AS part, 0 AS off, bytes FROM q WHERE NOT (over AND n = 1 AND page > 0)
+              UNION ALL SELECT l_orderkey, page, place, name, k, k * greatest(1, bytes // 2), least(greatest(1, bytes // 2), bytes - k * greatest(1, bytes // 2)) FROM q, LATERAL (SELECT unnest(range(0, ceil(bytes / greatest(1, bytes // 2))::BIGINT)) AS k) WHERE over AND n = 1 AND page > 0),
+        d AS (SELECT DISTINCT l_orderkey, page, part FROM c UNION SELECT DISTINCT l_orderkey, 0, 0 FROM c), e AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY page, part) - 1 AS new FROM d)
+        SELECT l_orderkey, new AS page, row_number() OVER (PARTITION BY l_orderkey, new ORDER BY place, off) - 1 AS place, name, off AS "offset", bytes FROM c JOIN e USING (l_orderkey, page, part)""",
+    "part_headers": """
+        WITH c AS (SELECT c_nationkey AS snapshot, count(*) AS n FROM customer GROUP BY 1)
+        SELECT snapshot, c_custkey AS "index", to_json({'count': n, 'index': c_custkey, 'index_sha256': sha256('i' || snapshot), 'maximum_part_bytes': snapshot * 1000 + 1000, 'snapshot_identity': sha256(snapshot::VARCHAR)})::VARCHAR AS header FROM customer JOIN c ON c_nationkey = snapshot""",
+    "header_violations": """
+        WITH h AS (SELECT c_nationkey AS snapshot, c_custkey % 42 AS "index", c_custkey * 20 AS bytes, CASE WHEN c_custkey % 17 = 1 THEN 0 ELSE c_nationkey * 1000 + 1000 END AS most, c_custkey % 19 = 2 OR c_custkey % 17 = 1 AS other FROM customer)
+        SELECT snapshot, "index", 'place' AS rule FROM h WHERE "index" NOT BETWEEN 1 AND 40 UNION ALL SELECT snapshot, "index", 'limit' FROM h WHERE most = 0 UNION ALL SELECT snapshot, "index", 'size' FROM h WHERE bytes > most UNION ALL SELECT snapshot, "index", 'other_set' FROM h WHERE other""",
+    "compaction_groups": """
+        SELECT l_orderkey AS record, l_returnflag AS table_name, count(*) AS segments, sum(l_quantity::BIGINT)::BIGINT AS bytes FROM lineitem
+        WHERE l_partkey * 10 + l_linenumber NOT IN (SELECT l_partkey * 10 + l_linenumber FROM lineitem WHERE (l_partkey * 10 + l_linenumber) % 7 = 0) GROUP BY 1, 2 HAVING count(*) >= 2""",
+    "archive_verification": """
+        WITH k AS (SELECT doc_id, unnest(range(0, greatest(octet_length(encode(text)), 1), 4096)) AS off FROM documents)
+        SELECT doc_id || '@' || off AS path, CASE doc_id WHEN 7 THEN 'sha256' WHEN 9 THEN 'bytes' ELSE 'only_in_index' END AS rule FROM k WHERE doc_id IN (5, 7, 9, 11)""",
     "page_layout": """
         WITH RECURSIVE u AS (SELECT lang, doc_id, n_chars + 1024 AS weight, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
         f AS (SELECT lang, doc_id, weight, rn, CASE WHEN 5000 + weight > 60000 THEN 1 ELSE 0 END AS page, CASE WHEN 5000 + weight > 60000 THEN weight ELSE 5000 + weight END AS used FROM u WHERE rn = 1
