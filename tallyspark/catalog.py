@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import history, ingest, lineage, native, proofs, snapshot, telemetry, transport
+from tallyspark.plans import files, history, ingest, lineage, native, proofs, snapshot, telemetry, transport
 
 #: The modules that hold queries: each has QUERIES and SQL.
-MODULES = (telemetry, ingest, history, lineage, snapshot, proofs, native, transport)
+MODULES = (telemetry, ingest, history, lineage, snapshot, proofs, native, transport, files)
 FLAGSHIP = "span_phase_totals"
 
 

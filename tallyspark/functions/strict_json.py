@@ -61,3 +61,11 @@ def json_fault(data: Column, most_bytes: int | None = None) -> Column:
             yield pa.array([fault(x, most_bytes) for x in cells.to_pylist()], pa.string())
 
     return F.arrow_udf(run, "string")(data)
+
+
+def contract_fault(data: Column, schema: str, contract_set: str, most_bytes: int | None = None) -> Column:
+    """What makes a column no JSON of a contract: a fault of its own, or another `schema` or `contract_set` than asked for; null where nothing does."""
+    text = data.cast("string")
+    strict = json_fault(data, most_bytes)
+    other = F.when(~F.get_json_object(text, "$.schema").eqNullSafe(F.lit(schema)), "schema").when(~F.get_json_object(text, "$.contract_set").eqNullSafe(F.lit(contract_set)), "contract_set")
+    return F.coalesce(strict, other)

@@ -161,3 +161,45 @@ def tails(rows: DataFrame, by: str, order: list[str], most: int = 32) -> DataFra
 def as_text(v: Column) -> Column:
     """A double as JSON text that keeps what JSON cannot hold: NaN and the infinities by name."""
     return F.when(F.isnan(v), "NaN").when(v == float("inf"), "Infinity").when(v == float("-inf"), "-Infinity").otherwise(v.cast("string"))
+
+
+def metric_columns(names: list[str]) -> list[str]:
+    """The columns of a history that are drawn: residuals by their prefix, and the current."""
+    return [c for c in names if c == "J" or c.startswith("r_")]
+
+
+def metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, y: one row for each drawn column of each row; a column that a segment lacks is null there, and so no point of it can be drawn."""
+    return rows.unpivot(keys, metric_columns(rows.columns), "metric", "y")
+
+
+def history_view(rows: DataFrame, monitor: bool, by: str = "series", bins: int = BINS) -> DataFrame:
+    """by, metric, bin, invalid, place, x, y: the envelope of every drawn column of a history (by, attempt, phase, sequence, iteration, outer_iteration, columns); residuals are drawn on a logarithmic axis.
+
+    The whole history is drawn by sequence, and broken where a cycle begins or a sequence is missing; the monitor is the last cycle alone, by iteration, broken where a sequence is missing.
+    """
+    found = sequence_holes(cycles(rows, by), by)
+    if monitor:
+        latest = F.max("cycle").over(W.partitionBy(by))
+        found = found.withColumn("latest", latest).where("cycle = latest").withColumn("ordinal", F.row_number().over(W.partitionBy(by).orderBy("sequence")) - 1)
+    x = F.col("iteration" if monitor else "sequence").cast("double")
+    breaks = F.col("hole") if monitor else F.col("hole") | F.col("cycle_start")
+    long = metrics(found.select(by, F.col("ordinal").cast("long").alias("ordinal"), x.alias("x"), breaks.alias("breaks"), *metric_columns(rows.columns)), [by, "ordinal", "x", "breaks"])
+    curve = long.withColumn("curve", F.struct(by, "metric"))
+    parts = [envelope_points(envelope(curve.where((F.col("metric") == "J") == current), not current, "curve", bins), "curve") for current in (False, True)]
+    return parts[0].union(parts[1]).select(F.col(f"curve.{by}").alias(by), "curve.metric", "bin", "invalid", "place", "x", "y")
+
+
+def column_tails(cells: DataFrame, by: str, most_rows: int = 32, most_columns: int = 256) -> DataFrame:
+    """by, column, start_row, rows, values: the last rows of the first columns by name of each table (by, column, ordinal, value: text, which may be null); each list has most_rows entries at most."""
+    lasts = cells.groupBy(by, "column").agg((F.max("ordinal") + 1).alias("rows"))
+    kept = lasts.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy("column"))).where(F.col("rank") <= most_columns).drop("rank")
+    ends = cells.join(kept, [by, "column"]).where(F.col("ordinal") >= F.col("rows") - most_rows)
+    ends = ends.groupBy(by, "column", "rows").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("value", F.lit("null")).alias("value")))).alias("v"))
+    return ends.select(by, "column", F.greatest(F.lit(0), F.col("rows") - most_rows).cast("long").alias("start_row"), F.col("rows").cast("long").alias("rows"), F.array_join("v.value", ",").alias("values"))
+
+
+def omitted_columns(cells: DataFrame, by: str, most_columns: int = 256) -> DataFrame:
+    """by, columns, omitted: how many columns of each table its tails leave out."""
+    found = cells.groupBy(by).agg(F.count_distinct("column").alias("columns"))
+    return found.withColumn("omitted", F.greatest(F.lit(0).cast("long"), F.col("columns") - most_columns))

@@ -158,6 +158,16 @@ def catalog_violations(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("expected", before + F.col("n")).where("expected <> entries").select("catalog", "entries", "expected")
 
 
+def chain_violations(chunks: DataFrame) -> DataFrame:
+    """catalog, sha256, rule of a catalog's hash-linked chunks (catalog, sha256, previous, entries, n): a digest that stands twice, a previous chunk that is not there, entries other than those of the previous chunk and its own number, or two chunks that follow the same one."""
+    before = chunks.select("catalog", F.col("sha256").alias("previous"), F.col("entries").alias("before")).dropDuplicates(["catalog", "previous"])
+    rows = chunks.join(before, ["catalog", "previous"], "left")
+    rows = rows.withColumn("times", F.count("*").over(W.partitionBy("catalog", "sha256"))).withColumn("followers", F.count("*").over(W.partitionBy("catalog", F.coalesce("previous", F.lit("")))))
+    has = F.col("previous").isNotNull()
+    rules = F.array_compact(F.array(F.when(F.col("times") > 1, "repeated"), F.when(has & F.col("before").isNull(), "missing"), F.when(F.coalesce("before", F.lit(0)) + F.col("n") != F.col("entries"), "entries"), F.when(F.col("followers") > 1, "fork")))
+    return rows.select("catalog", "sha256", F.explode(rules).alias("rule")).distinct()
+
+
 def coverage(points: DataFrame, commits: DataFrame) -> DataFrame:
     """points with a status: committed, or what is missing. commits: point_id, sha256."""
     found = points.join(commits.select("point_id", F.col("sha256").alias("commit_sha256")), "point_id", "left")

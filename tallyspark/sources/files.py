@@ -38,3 +38,28 @@ def contract_violations(df: DataFrame, schema) -> list[str]:
     """How a table's columns differ from the contract's, in both directions."""
     want, have = {f.name: f.dataType for f in schema}, {f.name: f.dataType for f in df.schema}
     return sorted([f"missing {n}" for n in want.keys() - have.keys()] + [f"unknown {n}" for n in have.keys() - want.keys()] + [f"type of {n}" for n in want.keys() & have.keys() if want[n] != have[n]])
+
+
+def footers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, footer_rows: what the footers of Parquet files say that they hold; only the ends of files are read, by tasks."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, where = fs.FileSystem.from_uri(path)
+                yield pa.record_batch([pa.array([path]), pa.array([pq.read_metadata(where, filesystem=store).num_rows], pa.int64())], names=["path", "footer_rows"])
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    return listed.repartition(max(1, min(len(paths), 1000))).mapInArrow(run, "path string, footer_rows long")
+
+
+def footer_violations(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """segment, rows, footer_rows of segments (telemetry_segments) of which another number of rows was decoded than the footer (path, footer_rows) says."""
+    found = rows.groupBy("segment").agg(F.count("*").alias("rows"))
+    both = expected.withColumnRenamed("path", "segment").join(found, "segment", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return both.where("rows <> footer_rows").select("segment", "rows", "footer_rows")
