@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import written
 from tallyspark.llm.text import blocks, byte_hashes, byte_spans, row_sums, word_bounds
-from tallyspark.llm.worker import forget, kept
+from tallyspark.llm.worker import forget, kept, lean
 
 UNKNOWN = "und"
 
@@ -250,10 +250,10 @@ def fit(docs: DataFrame, m: LanguageModels) -> tuple[list[str], np.ndarray]:
         return langs, p
     share = rows.sparkSession.createDataFrame([(lang, float(min(1.0, m.documents / sizes[lang]))) for lang in langs], "lang string, share double")
     sample = rows.join(F.broadcast(share), "lang").where((F.xxhash64("text") / F.lit(2.0**64) + 0.5) < F.col("share")).select("lang", "text").distinct()
-    words = sample.mapInArrow(_words(m), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = sample.mapInArrow(lean(_words(m)), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(words, "words")
     for _ in range(m.rounds):
-        found = words.mapInArrow(_expect(m, langs, p), "piece long, lang_no long, n double").groupBy("piece", "lang_no").agg(F.sum("n").alias("n")).toPandas()
+        found = words.mapInArrow(lean(_expect(m, langs, p)), "piece long, lang_no long, n double").groupBy("piece", "lang_no").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros_like(p)
         counts[found["piece"], found["lang_no"]] = found["n"]
         p = (1 - m.blend) * counts / np.maximum(counts.sum(axis=0), 1e-300) + m.blend / len(p)
@@ -297,5 +297,5 @@ def identify(docs: DataFrame, m: LanguageModels, train: Column, with_text: bool
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
     base = docs.select(row, F.col("text").cast("string").alias("text"))
     schema = f"row {base.schema['row'].dataType.simpleString()}, {'text string, ' * with_text}lang_pred string, score double"
-    out = base.mapInArrow(_predict(m, langs, p, uuid.uuid4().hex, with_text), schema)
+    out = base.mapInArrow(lean(_predict(m, langs, p, uuid.uuid4().hex, with_text)), schema)
     return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], "lang_pred", "score")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.graph import components
 from tallyspark.llm.scratch import spread, written
 from tallyspark.llm.text import mixed, row_words
-from tallyspark.llm.worker import forget
+from tallyspark.llm.worker import forget, lean
 
 
 @dataclass(frozen=True)
@@ -311,7 +311,7 @@ def _blocks(rows: str, size: str, p: NearDuplicates):
 def _compared(dealt: DataFrame, near: DataFrame, p: NearDuplicates) -> DataFrame:
     """Links of the rows dealt to blocks: PLACE, kind, doc_id, d1, label."""
     full = dealt.join(near, ["doc_id", "d1"]).select(*PLACE, *CELLS)
-    return written(full.repartition(spread(dealt.sparkSession), *PLACE).sortWithinPartitions(*PLACE, "kind").mapInArrow(comparer(p), "src long, dst long"), "links")
+    return written(full.repartition(spread(dealt.sparkSession), *PLACE).sortWithinPartitions(*PLACE, "kind").mapInArrow(lean(comparer(p)), "src long, dst long"), "links")
 
 
 #: Whether a band is one of the first so many.
@@ -357,7 +357,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     and link with nothing. Other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketches = written(source.mapInArrow(sketcher(p), SKETCH), "sketches")
+    sketches = written(source.mapInArrow(lean(sketcher(p)), SKETCH), "sketches")
     key = ["n_shingles", "d1", "d2"]
     full = sketches.where("doc_id is not null and n_shingles > 0")
     classes = written(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
@@ -371,7 +371,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     groups = written(groups.select("one.band", _blocks("many", "size", p).alias("blocks")), "groups")
     members = written(rows.join(groups, "band").select("band", "blocks", "doc_id", "d1", "n_shingles"), "members")
     involved = members.select("doc_id").distinct()
-    sets = source.join(involved, "doc_id", "left_semi").mapInArrow(set_maker(p), SET).dropDuplicates(["doc_id", "d1"])
+    sets = source.join(involved, "doc_id", "left_semi").mapInArrow(lean(set_maker(p)), SET).dropDuplicates(["doc_id", "d1"])
     near = written(reps.select("doc_id", "d1", "n_shingles", "compared").join(sets, ["doc_id", "d1"]), "near")
 
     first = _first_links(members, near, p)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import key_ranges, spread, written
 from tallyspark.llm.text import blocks, word_bounds
-from tallyspark.llm.worker import forget
+from tallyspark.llm.worker import forget, lean
 
 #: Sources whose table goes to every task; more are joined by a shuffle. Blocks of an output shard, about.
 MOST_BROADCAST, SHARD_BLOCKS = 100_000, 8192
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     """
     spark = docs.sparkSession
     sizes = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    sizes = written(sizes.mapInArrow(_sizes, "doc_id long, source string, size long"), "sizes")
+    sizes = written(sizes.mapInArrow(lean(_sizes), "doc_id long, source string, size long"), "sizes")
     known = sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()
     known.sort(key=lambda r: (r.source is None, r.source or ""))
     target = targets([r.n for r in known], [weights[i % len(weights)] for i in range(len(known))], share, most)
@@ -144,8 +144,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     pieces = cut.withColumn("first", low - F.col("start")).withColumn("words", high - low)
 
     drawn = table.where("slots > 0").select("source_no", "slots", "blocks", F.lit(shards).alias("shards")).repartition(spread(spark))
-    rows = drawn.mapInArrow(_shards(seed), "source_no long, shard long, first long, n long, blocks long").repartition(spread(spark), "source_no", "shard")
-    slots = written(rows.mapInArrow(_draw(seed), "source_no long, shard long, k long, block long"), "slots")
+    rows = drawn.mapInArrow(lean(_shards(seed)), "source_no long, shard long, first long, n long, blocks long").repartition(spread(spark), "source_no", "shard")
+    slots = written(rows.mapInArrow(lean(_draw(seed)), "source_no long, shard long, k long, block long"), "slots")
     return Mix(pieces, named.where("size = 0"), slots, block)
 
 

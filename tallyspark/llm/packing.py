@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import written
 from tallyspark.llm.tokens import WordBPE, made
+from tallyspark.llm.worker import lean
 
 
 def _encode(path: str, end_id: int):
@@ -45,7 +46,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     Each text's ids are followed by end_id; a null text counts as empty.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return written(rows.mapInArrow(_encode(tokenizer, end_id), ENCODED), "encoded")
+    return written(rows.mapInArrow(lean(_encode(tokenizer, end_id)), ENCODED), "encoded")
 
 
 def ids_of(cell: bytes, width: int) -> np.ndarray:
@@ -110,7 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2) -
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     places = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("place"))
     based = ids.join(F.broadcast(places), "part").select("doc_id", (F.col("place") + F.col("at")).alias("base"), "width", "ids")
-    return based.mapInArrow(_cut(length), PIECES)
+    return based.mapInArrow(lean(_cut(length)), PIECES)
 
 
 def sequences(pieces: DataFrame, length: int = 4096, pad_id: int = 0) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import written
 from tallyspark.llm.text import Spans, blocks, byte_hashes, column_bytes, word_bounds
-from tallyspark.llm.worker import forget
+from tallyspark.llm.worker import forget, lean
 
 
 @dataclass(frozen=True)
@@ -161,7 +161,7 @@ def _lead(data: bytes) -> int:
 def repeated_runs(docs: DataFrame, p: Runs = Runs()) -> DataFrame:
     """doc_id, at (sentence), n (sentences) of each run of docs (doc_id: long, text) that is not the first of its kind by doc_id and place."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    runs = rows.mapInArrow(_runs(p), "run long, doc_id long, at long, n long")
+    runs = rows.mapInArrow(lean(_runs(p)), "run long, doc_id long, at long, n long")
     found = runs.groupBy("run").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "at")).alias("first")).where("many > 1").select("run", "first")
     firsts = written(found, "firsts")  # on its own, so that the join below reads both sides from exchanges and a hot run is split
     return runs.join(firsts, "run").where("struct(doc_id, at) <> first").select("doc_id", "at", "n")
@@ -181,5 +181,5 @@ def substring_dedup(docs: DataFrame, p: Runs = Runs()) -> DataFrame:
     base = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = base.join(hits, "doc_id", "left").select("row", "text", "gone")
     schema = f"row {joined.schema['row'].dataType.simpleString()}, text string, n_sentences long, n_removed long, removed_words long"
-    out = joined.mapInArrow(_clean(p), schema)
+    out = joined.mapInArrow(lean(_clean(p)), schema)
     return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], "n_sentences", "n_removed", "removed_words")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.tokens import PieceCounts, WordBPE, made
+from tallyspark.llm.worker import lean
 
 
 def _count(path: str):
@@ -38,4 +39,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096) -> DataFram
     an empty text has no bytes and no tokens. Null and repeated doc_ids stay as they are; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_count(tokenizer), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(lean(_count(tokenizer)), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

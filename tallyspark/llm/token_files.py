@@ -16,6 +16,7 @@ from tallyspark.llm.files import manifest, new_file, opened, read_whole, write_m
 from tallyspark.llm.packing import encoded, ids_of
 from tallyspark.llm.rans import Model, Writer, read_file
 from tallyspark.llm.scratch import new_folder, spread, written
+from tallyspark.llm.worker import lean
 
 #: Ids of a file, about.
 FILE_IDS = 1 << 24
@@ -35,7 +36,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_model(ids: DataFrame) -> Model:
     """Frequencies of the ids of all documents; what comes to the driver is one row for each id of the vocabulary that occurs."""
-    rows = ids.select("width", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = ids.select("width", "ids").mapInArrow(lean(_counts), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, dtype=np.int64)
     counts[rows["id"]] = rows["n"]
     return Model.of_counts(counts)
@@ -104,7 +105,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n = max(1, min(spread(spark), -(-total // (FILE_IDS // 16))), -(-total // FILE_IDS))
     dealt = ids.select("doc_id", "n", "width", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
-    files = written(dealt.mapInArrow(_write(folder, model), FILES), "files")
+    files = written(dealt.mapInArrow(lean(_write(folder, model)), FILES), "files")
     data = model.table()
     with new_file(f"{folder}/{TABLE_NAME}") as stream:
         stream.write(data)
@@ -116,7 +117,7 @@ def read_token_files(files: DataFrame, model: Model) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), from the files."""
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     placed = files.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("place"))
-    return placed.repartition(spread(files.sparkSession)).mapInArrow(_read(model), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(spread(files.sparkSession)).mapInArrow(lean(_read(model)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_token_folder(spark: SparkSession, folder: str) -> DataFrame:
