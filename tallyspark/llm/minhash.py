@@ -202,7 +202,7 @@ class Block:
         self.kind = np.array(columns["kind"], dtype=np.int64)
         self.size = np.array(columns["n_shingles"], dtype=np.int64)
         self.cells = np.frombuffer(b"".join(columns["compared"]), dtype="<u2").reshape(-1, p.compared)
-        self.sets = [np.frombuffer(x, dtype=np.uint64) for x in columns["shingles"]]
+        self.sets = [np.frombuffer(x, dtype=np.uint64) for x in columns.get("shingles", ())]
         self.apart, self.links = Apart(np.array(columns["label"], dtype=np.int64)), []
 
     def survivors(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,13 +237,18 @@ class Block:
                     new += 1
         return new
 
-    def against(self, asked: np.ndarray, others: np.ndarray) -> int:
-        """Compares rows of different labels, each of asked with each of others; how many labels that joined."""
-        new, step = 0, max(1, self.PAIRS // max(1, len(others)))
+    def kept(self, asked: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The survivors of all pairs of different labels, one of asked and one of others, in steps."""
+        step = max(1, self.PAIRS // max(1, len(others)))
         for at in range(0, len(asked), step):
             rows, roots = asked[at : at + step], self.apart.roots()
             x, y = np.nonzero(roots[rows][:, None] != roots[others][None, :])
-            i, j, equal = self.survivors(rows[x], others[y])
+            yield self.survivors(rows[x], others[y])
+
+    def against(self, asked: np.ndarray, others: np.ndarray) -> int:
+        """Compares rows of different labels, each of asked with each of others; how many labels that joined."""
+        new = 0
+        for i, j, equal in self.kept(asked, others):
             order = np.lexsort((j, -equal, i))
             i, j = i[order], j[order]
             starts = np.flatnonzero(np.diff(i, prepend=-1))
@@ -258,9 +263,21 @@ class Block:
         for leader in every[:: max(1, n // 8)] if n > 32 else ():
             if self.against(np.array([leader]), every) * 32 < n:
                 break
+        self.against(self.outside(), every)
+
+    def outside(self) -> np.ndarray:
+        """The rows outside the largest label."""
         roots = self.apart.roots()
-        outside = np.flatnonzero(roots != np.bincount(roots).argmax())
-        self.against(outside, every)
+        return np.flatnonzero(roots != np.bincount(roots).argmax())
+
+    def sifted(self) -> np.ndarray:
+        """Whether each row is in a pair that the signatures keep."""
+        asked = np.flatnonzero(self.kind == 0)
+        sides = (asked, np.flatnonzero(self.kind == 1)) if len(asked) else (self.outside(), np.arange(len(self.ids)))
+        out = np.zeros(len(self.ids), dtype=bool)
+        for i, j, _ in self.kept(*sides):
+            out[i] = out[j] = True
+        return out
 
     def found(self) -> list[tuple[int, int]]:
         asked = np.flatnonzero(self.kind == 0)
@@ -272,35 +289,54 @@ class Block:
 
 
 PLACE = ["band", "asking", "asked"]
-CELLS = ["kind", "doc_id", "label", "n_shingles", "compared", "shingles"]
+SIGNED = ["kind", "doc_id", "label", "n_shingles", "compared"]
+DEALT = "band long, asking int, asked int, kind int, doc_id long, d1 long, label long"
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The blocks of batches sorted by PLACE."""
+    here, held = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in PLACE])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for first, stop in zip([0, *cuts], [*cuts, len(batch)]):
+            if held and tuple(keys[:, first]) != here:
+                yield pa.Table.from_batches(held)
+                held = []
+            here = tuple(keys[:, first])
+            held.append(batch.slice(first, stop - first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def sifter(p: NearDuplicates):
+    """Of blocks, sorted by PLACE, the rows that are in a pair that the signatures keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_blocks(batches):
+            keep = Block(p, {c: table.column(c).to_pylist() for c in SIGNED}).sifted()
+            yield from table.select([c.split()[0] for c in DEALT.split(", ")]).filter(pa.array(keep)).to_batches()
+
+    return run
 
 
 def comparer(p: NearDuplicates):
-    """Reads blocks, sorted by PLACE; gives links between rows of different labels, no more than join them. Rows of kind 0 are compared with those of kind 1; where there are none, all with each other."""
+    """Of blocks, sorted by PLACE, links between rows of different labels, no more than join them. Rows of kind 0 are compared with those of kind 1; where there are none, all with each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, []
+        for table in whole_blocks(batches):
+            links = Block(p, {c: table.column(c).to_pylist() for c in [*SIGNED, "shingles"]}).found()
+            yield pa.record_batch([pa.array([int(x[k]) for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
-        def done() -> pa.RecordBatch:
-            links = Block(p, {c: [v for part in held for v in part.column(c).to_pylist()] for c in CELLS}).found()
-            return pa.record_batch([pa.array([int(x[k]) for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+    return run
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in PLACE])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for first, stop in zip([0, *cuts], [*cuts, len(batch)]):
-                key = tuple(keys[:, first])
-                if held and key != here:
-                    yield done()
-                    held = []
-                here = key
-                held.append(batch.select(CELLS).slice(first, stop - first))
-        if held:
-            yield done()
 
-    return run
+def _in_blocks(dealt: DataFrame, beside: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows dealt to blocks (DEALT) with columns of `beside`, sorted by block."""
+    full = dealt.join(beside.select("doc_id", "d1", *columns), ["doc_id", "d1"]).select(*PLACE, "kind", "doc_id", "d1", "label", *columns)
+    return full.repartition(spread(dealt.sparkSession), *PLACE).sortWithinPartitions(*PLACE, "kind")
 
 
 def _blocks(rows: str, size: str, p: NearDuplicates):
@@ -309,9 +345,8 @@ def _blocks(rows: str, size: str, p: NearDuplicates):
 
 
 def _compared(dealt: DataFrame, near: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Links of the rows dealt to blocks: PLACE, kind, doc_id, d1, label."""
-    full = dealt.join(near, ["doc_id", "d1"]).select(*PLACE, *CELLS)
-    return written(full.repartition(spread(dealt.sparkSession), *PLACE).sortWithinPartitions(*PLACE, "kind").mapInArrow(lean(comparer(p)), "src long, dst long"), "links")
+    """Links of the rows dealt to blocks."""
+    return written(_in_blocks(dealt, near, ["n_shingles", "compared", "shingles"]).mapInArrow(lean(comparer(p)), "src long, dst long"), "links")
 
 
 #: Whether a band is one of the first so many.
@@ -325,8 +360,8 @@ def _first_links(members: DataFrame, near: DataFrame, p: NearDuplicates) -> Data
     return _compared(rows.select("band", F.lit(0).alias("asking"), own.alias("asked"), F.lit(1).alias("kind"), "doc_id", "d1", F.col("doc_id").alias("label")), near, p)
 
 
-def _other_links(members: DataFrame, near: DataFrame, labels: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Links within groups that the first round left apart: of one block, or rows outside the largest label against all rows, block by block."""
+def _other_links(members: DataFrame, reps: DataFrame, near: DataFrame, labels: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Links within groups that the first round left apart: of one block, or rows outside the largest label against all rows, block by block. Signatures alone go first; only rows that they keep are joined by their sets."""
     rows = members.where(f"not {IS_EARLY.format(p.early)} or blocks > 1")
     rows = rows.join(labels, rows.doc_id == labels.node, "left").select("band", "doc_id", "d1", "n_shingles", "blocks", F.coalesce("component", "doc_id").alias("label"))
     rows = written(rows, "placed")
@@ -339,7 +374,8 @@ def _other_links(members: DataFrame, near: DataFrame, labels: DataFrame, p: Near
     whole = rows.where("blocks = 1").select("band", F.lit(0).alias("asking"), F.lit(0).alias("asked"), F.lit(1).alias("kind"), "doc_id", "d1", "label")
     asking = rows.where("blocks > 1 and label <> top").select("band", hashed("out_blocks").alias("asking"), each("blocks").alias("asked"), F.lit(0).alias("kind"), "doc_id", "d1", "label")
     asked = rows.where("blocks > 1").select("band", each("out_blocks").alias("asking"), hashed("blocks").alias("asked"), F.lit(1).alias("kind"), "doc_id", "d1", "label")
-    return _compared(whole.union(asking).union(asked), near, p)
+    dealt = _in_blocks(whole.union(asking).union(asked), reps, ["n_shingles", "compared"])
+    return _compared(written(dealt.mapInArrow(lean(sifter(p)), DEALT), "sifted"), near, p)
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -371,12 +407,13 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     groups = written(groups.select("one.band", _blocks("many", "size", p).alias("blocks")), "groups")
     members = written(rows.join(groups, "band").select("band", "blocks", "doc_id", "d1", "n_shingles"), "members")
     involved = members.select("doc_id").distinct()
-    sets = source.join(involved, "doc_id", "left_semi").mapInArrow(lean(set_maker(p)), SET).dropDuplicates(["doc_id", "d1"])
+    # A merge join at every size: texts of groups grow with the input, and so would a broadcast list of them.
+    sets = source.join(involved.hint("merge"), "doc_id", "left_semi").mapInArrow(lean(set_maker(p)), SET).dropDuplicates(["doc_id", "d1"])
     near = written(reps.select("doc_id", "d1", "n_shingles", "compared").join(sets, ["doc_id", "d1"]), "near")
 
     first = _first_links(members, near, p)
     labels = written(components(first), "labels")
-    links = first.union(_other_links(members, near, labels, p))
+    links = first.union(_other_links(members, reps, near, labels, p))
     labels = written(components(links), "labels")
     component = classes.join(labels, classes.rep == labels.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", *key).join(component, key, "left")

@@ -72,14 +72,32 @@ def test_components_are_those_of_all_pairs(spark, width):
     assert {r.n_shingles for r in got if r.doc_id in (n, n + 1, n + 2)} == {0}
 
 
-def test_a_chain_in_one_large_group_is_followed(spark):
+@pytest.mark.parametrize("rows_each", [2048, 16])
+def test_a_chain_in_one_large_group_is_followed(spark, rows_each):
     """Neighbours are alike, far ones are not, and all share most of their words: leaders alone would not find all links."""
     words = [f"w{i}" for i in range(900)]
     rows = [(k, " ".join(words[4 * k : 4 * k + 100])) for k in range(120)]
-    got = near_duplicates(made(spark, rows), NearDuplicates(width=2)).collect()
+    got = near_duplicates(made(spark, rows), NearDuplicates(width=2, block_rows=rows_each)).collect()
     assert {r.component_id for r in got} == {0}
 
 
+def test_groups_of_many_blocks_lose_no_link(spark):
+    """Templates that share most words, in several families: rows of one band stand in several blocks, and links lie between and within them."""
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(60)]
+    rows = []
+    for family in range(6):
+        own = base[:46] + [f"f{family}x{i}" for i in range(14)]
+        for _ in range(25):
+            copy = list(own)
+            for _ in range(rng.randrange(0, 7)):
+                copy[rng.randrange(60)] = f"r{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    want = plain_components(rows, 2)
+    got = {r.doc_id: r.component_id for r in near_duplicates(made(spark, rows), NearDuplicates(width=2, block_rows=8)).collect()}
+    assert got == {i: want(i, t) for i, t in rows} and len(set(got.values())) > 6
+
+
 def test_no_documents(spark):
     empty = made(spark, [])
     assert near_duplicates(empty).collect() == []
