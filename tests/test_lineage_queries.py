@@ -19,8 +19,8 @@ def test_all_chains_get_ancestors_replacements_and_checks(spark, tmp_path):
     assert found["ancestry"] == up
     last = {}
     for c in chains.values():
-        for j, b in enumerate(c, 1):
-            last.update({a: (a, b, j) for a in c[: j - 1] if identity[a] == identity[b]})
+        having = [(j, k) for j, k in enumerate(c, 1) if k % 5]
+        last.update({k: (k, having[-1][1], having[-1][0]) for j, k in having[:-1] if k % 6})
     assert found["history_replacement"] == set(last.values())
     parents = {b: a for b, a, depth in up if depth == 1 and b % 40}
     rules = {(b, "unknown_parent" if a % 40 == 0 else "other_identity") for b, a in parents.items() if a % 40 == 0 or identity[a] != identity[b]}

@@ -99,7 +99,7 @@ def test_cycles_of_two_loops(spark):
     rows = spark.createDataFrame([("s", "scba", 1, 100 + i, it, o) for i, (it, o) in enumerate([(1, 1), (2, 1), (3, 1), (1, 2), (2, 2)])], "series string, phase string, attempt int, sequence long, iteration long, outer_iteration long")
     last = history.last_cycles(history.cycles(rows)).first()
     assert (last.cycle, last.outer_iteration, last.first_iteration, last.last_iteration, last.first_sequence, last.last_sequence, last.n) == (2, 2, 1, 2, 103, 104, 2)
-    assert [tuple(r)[1:] for r in history.cycle_markers(history.cycles(rows)).collect()] == [(103, "μ=2·a=1")]
+    assert [tuple(r)[1:] for r in history.cycle_markers(history.cycles(rows)).collect()] == [(103, "μ=2 · a=1")]
 
 
 def test_an_invalid_point_parts_the_line_into_dots(spark):
@@ -160,11 +160,19 @@ def test_a_prefix_differs_by_the_sign_of_zero_and_by_nan_payload(spark):
 def test_a_payload_hash_depends_on_order_signs_and_nulls(spark):
     def digest(values):
         rows = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, i long, v double")
-        return [r.digest for r in proofs.payload_hash(rows, "g", "i", "v").orderBy("batch").collect()]
+        return [r.digest for r in proofs.payload_hash(rows, "g", "i", ["v"]).orderBy("batch").collect()]
 
     values = [0.0, -0.0, float("nan"), None] * 1300
     assert len(digest(values)) == 2 and digest(values) == digest(values)
     assert len({digest(v)[0] for v in ([0.0, 1.0], [1.0, 0.0], [-0.0, 1.0], [None, 1.0])}) == 4
+    bits = lambda v: struct.pack("<d", v)
+    assert digest([2.5, None])[0] == hashlib.sha256((2).to_bytes(8, "little") + b"\x01\x00" + bits(2.5) + bits(0.0)).hexdigest()
+
+
+def test_a_payload_hash_takes_texts_by_lengths_and_bytes(spark):
+    rows = spark.createDataFrame([("g", 0, "é", True), ("g", 1, None, None), ("g", 2, "ab", False)], "g string, i long, t string, f boolean")
+    want = (3).to_bytes(8, "little") + b"\x01\x00\x01" + struct.pack("<3i", 2, 0, 2) + "éab".encode() + b"\x01\x00\x01" + b"\x01\x00\x00"
+    assert proofs.payload_hash(rows, "g", "i", ["t", "f"]).first().digest == hashlib.sha256(want).hexdigest()
 
 
 def test_an_omission_digest_is_that_of_its_lines_in_order(spark):
@@ -190,6 +198,9 @@ def test_canonical_bytes_tell_types_apart():
     assert canonical({"a": 1, "b": 2}) == canonical({"b": 2, "a": 1})
     with pytest.raises(ValueError):
         canonical(float("nan"))
+    with pytest.raises(TypeError):
+        canonical({1: 2})
+    assert canonical({"b": [1, -0.0, None], "a": "é"}) == b"m2{s1:as2:\xc3\xa9s1:ba3[i1:1f16:8000000000000000n;]}"
 
 
 def test_colours_and_nearest_cells(spark):
