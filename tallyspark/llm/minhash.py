@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.graph import components
-from tallyspark.llm.scratch import spread, written
+from tallyspark.llm.scratch import Passing, spread, written
 from tallyspark.llm.text import mixed, row_words
 from tallyspark.llm.worker import forget, lean
 
@@ -392,29 +392,31 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     smallest of several classes are these linked through it. Texts without words are empty sets
     and link with nothing. Other columns are ignored.
     """
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketches = written(source.mapInArrow(lean(sketcher(p)), SKETCH), "sketches")
-    key = ["n_shingles", "d1", "d2"]
-    full = sketches.where("doc_id is not null and n_shingles > 0")
-    classes = written(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id", *key])
-    reps = written(reps, "reps")
-    banded = reps.select("doc_id", "d1", "n_shingles", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band")
-    rows = written(banded.join(shared, "band"), "banded")
-    groups = rows.groupBy("band").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("size"), F.min("doc_id").alias("low"), F.bit_xor(F.xxhash64("doc_id", "d1")).alias("same"))
-    groups = groups.groupBy("many", "size", "low", "same").agg(F.min(F.struct((F.col("band").bitwiseAND(int(PLACES))).alias("place"), "band")).alias("one"))
-    groups = written(groups.select("one.band", _blocks("many", "size", p).alias("blocks")), "groups")
-    members = written(rows.join(groups, "band").select("band", "blocks", "doc_id", "d1", "n_shingles"), "members")
-    involved = members.select("doc_id").distinct()
-    # A merge join at every size: texts of groups grow with the input, and so would a broadcast list of them.
-    sets = source.join(involved.hint("merge"), "doc_id", "left_semi").mapInArrow(lean(set_maker(p)), SET).dropDuplicates(["doc_id", "d1"])
-    near = written(reps.select("doc_id", "d1", "n_shingles", "compared").join(sets, ["doc_id", "d1"]), "near")
-
-    first = _first_links(members, near, p)
-    labels = written(components(first), "labels")
-    links = first.union(_other_links(members, reps, near, labels, p))
-    labels = written(components(links), "labels")
+    with Passing() as scope:
+        source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        sketches = written(source.mapInArrow(lean(sketcher(p)), SKETCH), "sketches")
+        key = ["n_shingles", "d1", "d2"]
+        full = sketches.where("doc_id is not null and n_shingles > 0")
+        classes = written(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
+        reps = full.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id", *key])
+        reps = written(reps, "reps")
+        banded = reps.select("doc_id", "d1", "n_shingles", F.explode("bands").alias("band"))
+        shared = banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band")
+        # Merge joins at every size: lists of bands and of texts of groups grow with the input, and so would their broadcasts.
+        rows = written(banded.join(shared.hint("merge"), "band"), "banded")
+        groups = rows.groupBy("band").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("size"), F.min("doc_id").alias("low"), F.bit_xor(F.xxhash64("doc_id", "d1")).alias("same"))
+        groups = groups.groupBy("many", "size", "low", "same").agg(F.min(F.struct((F.col("band").bitwiseAND(int(PLACES))).alias("place"), "band")).alias("one"))
+        groups = written(groups.select("one.band", _blocks("many", "size", p).alias("blocks")), "groups")
+        members = written(rows.join(groups, "band").select("band", "blocks", "doc_id", "d1", "n_shingles"), "members")
+        involved = members.select("doc_id").distinct()
+        sets = source.join(involved.hint("merge"), "doc_id", "left_semi").mapInArrow(lean(set_maker(p)), SET).dropDuplicates(["doc_id", "d1"])
+        near = written(reps.select("doc_id", "d1", "n_shingles", "compared").join(sets, ["doc_id", "d1"]), "near")
+
+        first = _first_links(members, near, p)
+        labels = written(components(first), "labels")
+        links = first.union(_other_links(members, reps, near, labels, p))
+        labels = written(components(links), "labels")
+        scope.keep(sketches, classes, labels)
     component = classes.join(labels, classes.rep == labels.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", *key).join(component, key, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

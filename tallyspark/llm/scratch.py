@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +17,40 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_open: list[list[str]] = []
+
+
+class Passing:
+    """A scope of written tables: what is written inside goes at its end, unless it is kept for the scope around it. Only what the result still reads has to be kept."""
+
+    def __enter__(self) -> Passing:
+        self.paths: list[str] = []
+        _open.append(self.paths)
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        for table in tables:
+            self.paths.remove(table.written_path)
+            if len(_open) > 1:
+                _open[-2].append(table.written_path)
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self.paths)
+        for path in self.paths:
+            store, where = fs.FileSystem.from_uri(path)
+            store.delete_dir(where)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df, written once and read again: nothing above it is computed twice, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    if _open:
+        _open[-1].append(path)
+    return out
 
 
 def key_ranges(df: DataFrame, key: str, parts: int, null_by: Column) -> Column:
