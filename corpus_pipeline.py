@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import language_id, minhash, mixing, packing, substring_dedup
 from tallyspark.llm.queries import PIECES, WORDS, fold
-from tallyspark.llm.scratch import written
+from tallyspark.llm.scratch import Passing, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,12 +25,15 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word similarity 0.8 or more: that of the smallest doc_id (null last), one row of it. Texts without words are in no group and stay."""
-    rows = keyed(docs)
-    found = written(minhash.near_duplicates(rows).select("doc_id", "component_id"), "components")
-    group = found.join(found.groupBy("component_id").agg(F.count("*").alias("many")).where("many > 1"), "component_id").select("doc_id", "component_id")
-    named = group.join(rows.select("doc_id", "own_id"), "doc_id")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", "doc_id")).alias("first"))
-    gone = group.join(first.select(F.col("first.doc_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+    with Passing() as scope:
+        rows = keyed(docs)
+        found = written(minhash.near_duplicates(rows).select("doc_id", "component_id"), "components")
+        many = written(found.groupBy("component_id").agg(F.count("*").alias("many")).where("many > 1"), "many")
+        group = found.join(many, "component_id").select("doc_id", "component_id")
+        named = written(group.join(rows.select("doc_id", "own_id"), "doc_id"), "named")
+        first = named.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", "doc_id")).alias("first"))
+        gone = written(named.join(first.select(F.col("first.doc_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id"), "gone")
+        scope.keep(rows, gone)
     return rows.join(gone, "doc_id", "left_anti").withColumn("doc_id", F.col("own_id")).select(COLUMNS)
 
 
