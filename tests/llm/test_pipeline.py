@@ -59,8 +59,8 @@ def test_stages_take_odd_rows(spark, tmp_path):
         assert stage(spark, docs.where("false"), str(tmp_path)).collect() == [], name
         assert stage(spark, docs, str(tmp_path)).columns[:1] == ["doc_id"], name
     near = stages["near_dedup"](spark, docs, str(tmp_path))
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, (r.text or "")[:40])
-    assert sorted(map(key, near.collect())) == sorted([(False, 1, a[:40]), (False, 2, b[:40]), (False, 2, c[:40]), (False, 3, ""), (False, 4, ""), (False, 5, ("word " * 20)[:40])])
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, (r.text or "")[:20])
+    assert sorted(map(key, near.collect())) == sorted([(False, 1, a[:20]), (False, 2, b[:20]), (False, 2, c[:20]), (False, 3, ""), (False, 4, ""), (False, 5, ("word " * 20)[:20])])
     clean = stages["substring_dedup"](spark, near, str(tmp_path)).collect()
     assert sorted(map(key, clean)) == sorted(map(key, near.collect())) and {r.text for r in clean if r.doc_id == 2} == {b, c}
 
