@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language_id, minhash, mixing, multi_index, packing, substring_dedup, token_counts, token_files, topk, warc
+from tallyspark.llm import language_id, minhash, mixing, multi_index, packing, substring_dedup, suffixes, token_counts, token_files, topk, warc
 from tallyspark.llm.scratch import new_folder
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -67,8 +67,13 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_language_id, op3_packing, op4_mixing, op5_minhash, op6_token_counts, op7_top_k, op8_token_files, op9_warc, op10_nearest)
+    found = (op1_substring_dedup, op2_language_id, op3_packing, op4_mixing, op5_minhash, op6_token_counts, op7_top_k, op8_token_files, op9_warc, op10_nearest, op13_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
