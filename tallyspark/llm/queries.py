@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language_id, minhash, mixing, multi_index, packing, substring_dedup, suffixes, token_counts, token_files, topk, warc
+from tallyspark.llm import language_id, minhash, mixing, multi_index, packing, spelling, substring_dedup, suffixes, token_counts, token_files, topk, warc
 from tallyspark.llm.scratch import new_folder
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -67,18 +67,58 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), noise=31)
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_language_id, op3_packing, op4_mixing, op5_minhash, op6_token_counts, op7_top_k, op8_token_files, op9_warc, op10_nearest, op13_suffix_dedup)
+    found = (op1_substring_dedup, op2_language_id, op3_packing, op4_mixing, op5_minhash, op6_token_counts, op7_top_k, op8_token_files, op9_warc, op10_nearest, op11_spelling, op13_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_spelling": """
+            WITH RECURSIVE bits AS (
+                SELECT i AS byte, 0 AS turn, CAST(i AS UINTEGER) AS r FROM range(256) t(i)
+                UNION ALL SELECT byte, turn + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UINTEGER) ELSE r >> 1 END FROM bits WHERE turn < 8
+            ), crc AS (SELECT list(r ORDER BY byte) AS tab FROM bits WHERE turn = 8
+            ), found AS (
+                SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents
+            ), runs AS (
+                SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS many FROM found GROUP BY ALL
+            ), coded AS (
+                SELECT run, many, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run)), '..'),
+                    lambda b: CAST(16 * (position(b[1] IN '0123456789ABCDEF') - 1) + position(b[2] IN '0123456789ABCDEF') - 1 AS UINTEGER)) AS bytes FROM runs
+            ), hashed AS (
+                SELECT run, many, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, tab[CAST(xor(c & 255, b) AS BIGINT) + 1]), 4294967295::UINTEGER), 4294967295::UINTEGER) AS h FROM coded, crc
+            ), noisy AS (
+                SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, many FROM hashed
+            ), words AS (
+                SELECT word, CAST(sum(many) AS BIGINT) AS n FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING sum(many) >= 2
+            ), cuts AS (
+                SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+            ), near AS (
+                SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+                UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.rest = w.word
+                UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.rest = w.word
+            ), ranked AS (
+                SELECT near.word, v.word AS near, v.n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, v.word) AS place
+                FROM near JOIN words v ON v.word = near.near
+            ), forms AS (
+                SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 10 * w.n THEN r.near END AS form, CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n
+                FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1
+            ), way AS (
+                SELECT word, word AS root, 0 AS steps FROM forms
+                UNION ALL SELECT way.word, f.form, steps + 1 FROM way JOIN forms f ON f.word = way.root WHERE f.form IS NOT NULL
+            )
+            SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n
+            FROM forms f JOIN (SELECT word, max_by(root, steps) AS root FROM way GROUP BY word) w ON w.word = f.word""",
         "op7_top_k": """
             WITH v AS (
                 SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
