@@ -53,6 +53,30 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str, dealt: bool, codec: str = "zstd") -> DataFrame:
+    """df, written once in buckets of key and read again: what joins or groups by key later moves the other side alone. dealt: whether a task has all rows of its keys already, as behind a grouping
+    by key. The table has no name any more once it can be read."""
+    spark, n = df.sparkSession, spread(df.sparkSession)
+    path, called = new_folder(spark, name), f"bucketed_{uuid.uuid4().hex}"
+    (df if dealt else df.repartition(n, key)).write.format("parquet").option("path", path).option("compression", codec).bucketBy(n, key).saveAsTable(called)
+    out = spark.table(called)
+    out.schema  # noqa: B018  resolved before the name goes; the files of a table with a path stay
+    spark.sql(f"DROP TABLE {called}")
+    out.written_path = path
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    for paths in _open:
+        if table.written_path in paths:
+            paths.remove(table.written_path)
+    store, where = fs.FileSystem.from_uri(table.written_path)
+    store.delete_dir(where)
+
+
 def key_ranges(df: DataFrame, key: str, parts: int, null_by: Column) -> Column:
     """The number of the range of key, from at most MOST_RANGES about equal ranges; nulls go by null_by to as many below zero. The bounds are literals, so that every run of a task deals rows alike."""
     parts = min(parts, MOST_RANGES)

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.scratch import written
+from tallyspark.llm.scratch import bucketed
 from tallyspark.llm.text import column_bytes
 from tallyspark.llm.worker import forget, lean
 
@@ -52,16 +52,20 @@ def _packed(limit: int):
 
 
 def text_shards(docs: DataFrame, limit: int) -> DataFrame:
-    """The rows of docs (doc_id: long, text) in shards of about `limit` bytes (a longer text fills one alone), written once: shard, ids, none (whether the id is null), bounds and data (compressed). A null text is empty."""
+    """The rows of docs (doc_id: long, text) in shards of about `limit` bytes (a longer text fills one alone), written once in buckets of shards: shard, ids, none (whether the id is null), bounds and data (compressed). A null text is empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(lean(_packed(limit)), TEXTS), "shards")
+    return bucketed(rows.mapInArrow(lean(_packed(limit)), TEXTS), "shard", "shards", dealt=False)
 
 
-def texts_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+def texts_of(data: bytes, bounds: np.ndarray) -> np.ndarray:
+    """The bytes of a shard's texts."""
+    return np.frombuffer(pa.decompress(data, int(bounds[-1]), codec="zstd", asbytes=True) if bounds[-1] else b"", np.uint8)
+
+
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and bounds of a shard."""
     bounds = np.frombuffer(row["bounds"], "<i8")
-    data = pa.decompress(row["data"], int(bounds[-1]), codec="zstd", asbytes=True) if bounds[-1] else b""
-    return np.frombuffer(data, np.uint8), bounds
+    return texts_of(row["data"], bounds), bounds
 
 
 def rows_of(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
@@ -115,12 +119,10 @@ def _named(keys: list[str], step: int):
 NAMED = "shard long, k long, name long, first boolean"
 
 
-def named_groups(rows: DataFrame, keys: list[str], order: list[str], step: int, by_range: bool) -> DataFrame:
+def named_groups(rows: DataFrame, keys: list[str], order: list[str] = [], step: int = 0) -> DataFrame:
     """shard, k, name, first of the rows (keys, n, shard, k, and order) whose group of equal keys counts more than one by the sum of n.
 
-    Groups are read one after another from sorted partitions; name is the place of the group among all members (n) of its partition and `first` marks the
-    first row of a group in `order`. With one row for each shard and key, a group is never larger than the number of shards. by_range: whole ranges of keys
-    go to a task (rows must be a written table, which is sampled), else keys are dealt by hash.
+    The order of groups is that of the partition to which their key is dealt by hash, then that of keys; name is the place of the group among all members (n) in that
+    order (step sets its highest bits), and `first` marks the first row of a group in `order`. With one row for each shard and key, a group is never larger than the number of shards.
     """
-    dealt = rows.repartitionByRange(*keys) if by_range else rows.repartition(*keys)
-    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(lean(_named(keys, step)), NAMED)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(lean(_named(keys, step)), NAMED)

@@ -15,19 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.scratch import Passing, written
-from tallyspark.llm.shards import cells, named_groups, rows_of, text_shards, texts_of
+from tallyspark.llm.scratch import Passing, bucketed, dropped, written
+from tallyspark.llm.shards import cells, named_groups, rows_of, text_shards, texts_of, unpacked
 from tallyspark.llm.text import byte_hashes, byte_spans, mixed
 from tallyspark.llm.worker import lean
 
 
 @dataclass(frozen=True)
 class Repeats:
-    """length: bytes of a string that counts (4 at least); shard: bytes of text of a shard; strip: bytes worked on at once."""
+    """length: bytes of a string that counts (4 at least); shard: bytes of text of a shard; strip: bytes worked on at once; few: rounds end
+    when only this part of the suffixes is neither settled nor alone, whose strings are then compared one by one."""
 
     length: int = 100
     shard: int = 1 << 23
     strip: int = 1 << 19
+    few: float = 0.01
 
     @property
     def window(self) -> int:
@@ -113,7 +115,7 @@ def _symbols(p: Repeats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                keys, n = np.unique(anchors(*texts_of(row), p)[1], return_counts=True)
+                keys, n = np.unique(anchors(*unpacked(row), p)[1], return_counts=True)
                 yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n), pa.array(np.full(len(keys), row["shard"])), pa.array(np.arange(len(keys)))], names=["key", "n", "shard", "k"])
 
     return run
@@ -122,9 +124,17 @@ def _symbols(p: Repeats):
 #: A shard's state: for each suffix whose first symbol is repeated its place, number among the shard's anchors, text, first block, block (-1: no other suffix is
 #: alike any more), bytes that its block shares (depth) and needs to share for all strings up to the next anchor (need), and where the strings of its anchor
 #: start; whether those strings start earlier too (hit), are still open, and are to be compared one by one.
-STATE = {"at": "<i4", "ord": "<i4", "text": "<i4", "origin": "<i8", "block": "<i8", "depth": "<i4", "need": "<i4", "low": "<u1", "high": "<u1", "hit": "<u1", "open": "<u1", "compare": "<u1", "ids": "<i8", "none": "<u1"}
-STATES = "shard long, " + ", ".join(f"{c} binary" for c in STATE)
-_SCHEMA = pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in STATE]])
+STATE = {"at": "<i4", "ord": "<i4", "origin": "<i8", "block": "<i8", "depth": "<i4", "need": "<i4", "low": "<u1", "high": "<u1", "hit": "<u1", "open": "<u1", "compare": "<u1", "ids": "<i8", "none": "<u1", "bounds": "<i8"}
+STATES = "shard long, suffixes long, active long, " + ", ".join(f"{c} binary" for c in STATE)
+_SCHEMA = pa.schema([("shard", pa.int64()), ("suffixes", pa.int64()), ("active", pa.int64()), *[(c, pa.binary()) for c in STATE]])
+
+
+def _row(shard: int, arrays: dict[str, np.ndarray]) -> pa.Table:
+    """A state as a row; places are kept as differences, which take little room."""
+    active = int(((arrays["block"] >= 0) & (arrays["depth"] < arrays["need"])).sum())
+    arrays = {c: np.diff(a, prepend=0) if c in ("at", "ord", "bounds") else a for c, a in arrays.items()}
+    row = cells(**{c: arrays[c].astype(kind) for c, kind in STATE.items()})
+    return pa.Table.from_pylist([row | {"shard": shard, "suffixes": len(arrays["at"]), "active": active}], schema=_SCHEMA)
 
 
 class State:
@@ -133,10 +143,14 @@ class State:
     def __init__(self, row: dict):
         self.shard = row["shard"]
         self.__dict__.update({c: np.frombuffer(row[c], kind) for c, kind in STATE.items()})
+        self.at, self.ord, self.bounds = np.cumsum(self.at), np.cumsum(self.ord), np.cumsum(self.bounds)
+        self.text = np.searchsorted(self.bounds, self.at, side="right") - 1
 
     def row(self, **new: np.ndarray) -> pa.Table:
-        arrays = {c: new.get(c, getattr(self, c)).astype(kind) for c, kind in STATE.items()}
-        return pa.Table.from_pylist([cells(**arrays) | {"shard": self.shard}], schema=_SCHEMA)
+        return _row(self.shard, {c: getattr(self, c) for c in STATE} | new)
+
+    def settled(self) -> np.ndarray:
+        return (self.block >= 0) & (self.need > 0) & (self.depth >= self.need)
 
     def ordered(self, places: np.ndarray, text: np.ndarray) -> np.ndarray:
         """The order of places by whether the id is null, id and place."""
@@ -147,7 +161,7 @@ class State:
 
     def windows(self, p: Repeats) -> tuple[np.ndarray, np.ndarray]:
         """Start and end (exclusive) of the strings that begin before the next anchor."""
-        return self.at.astype(np.int64), np.where(self.need > 0, self.at.astype(np.int64) + self.need - p.length + 1, self.at)
+        return self.at, np.where(self.need > 0, self.at + self.need - p.length + 1, self.at)
 
     def hits_before(self, places: np.ndarray, p: Repeats) -> np.ndarray:
         """Strings that start before these places and are known to start earlier too."""
@@ -165,7 +179,7 @@ class State:
         if n:
             fine &= (self.ord[to] == self.ord + step) & (self.text[to] == self.text) & (self.block[to] >= 0)
         who = np.flatnonzero(fine)
-        return who, to[who], self.at[to[who]].astype(np.int64) - self.at[who]
+        return who, to[who], self.at[to[who]] - self.at[who]
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +205,7 @@ def _begun(p: Repeats):
 
     def run(_, texts: pa.Table, names: pa.Table) -> pa.Table:
         row = next(rows_of(texts))
-        buf, bounds = texts_of(row)
+        buf, bounds = unpacked(row)
         at, key, first, last = anchors(buf, bounds, p)
         symbols, k = np.unique(key, return_inverse=True)
         block = _names(names, len(symbols))[k]
@@ -201,9 +215,9 @@ def _begun(p: Repeats):
         need = np.where(end > at, end - 1 - at + p.length, 0)
         keep = np.flatnonzero(block >= 0)
         low, high = at - first, np.where(first <= last, at - last, 255)
-        arrays = {"at": at, "ord": np.arange(len(at)), "text": text, "origin": block, "block": block, "depth": np.full(len(at), p.symbol), "need": need, "low": np.where(first <= last, low, 0), "high": high, **{c: np.zeros(len(at)) for c in ("hit", "open", "compare")}}
-        out = {c: a[keep].astype(STATE[c]) for c, a in arrays.items()}
-        return pa.Table.from_pylist([cells(**out) | {"shard": row["shard"], "ids": row["ids"], "none": row["none"]}], schema=_SCHEMA)
+        arrays = {"at": at, "ord": np.arange(len(at)), "origin": block, "block": block, "depth": np.full(len(at), p.symbol), "need": need, "low": np.where(first <= last, low, 0), "high": high, **{c: np.zeros(len(at)) for c in ("hit", "open", "compare")}}
+        texts = {"ids": np.frombuffer(row["ids"], "<i8"), "none": np.frombuffer(row["none"], "<u1"), "bounds": bounds}
+        return _row(row["shard"], {c: a[keep] for c, a in arrays.items()} | texts)
 
     return run
 
@@ -240,11 +254,11 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first suffix of each block in each shard."""
     for batch in batches:
         for state in map(State, rows_of(batch)):
-            mine = np.flatnonzero((state.block >= 0) & (state.need > 0))
+            mine = np.flatnonzero(state.settled())
             mine = mine[state.ordered(state.at[mine], state.text[mine])]
             blocks, first, n = np.unique(state.block[mine], return_index=True, return_counts=True)
             who = mine[first]
-            yield pa.record_batch([pa.array(blocks), pa.array(n), *state.position(state.text[who]), pa.array(state.at[who].astype(np.int64))], names=["block", "n", "none", "id", "shard", "k"])
+            yield pa.record_batch([pa.array(blocks), pa.array(n), *state.position(state.text[who]), pa.array(state.at[who])], names=["block", "n", "none", "id", "shard", "k"])
 
 
 def _hits(p: Repeats):
@@ -255,10 +269,9 @@ def _hits(p: Repeats):
         own = names.column("k").to_numpy()
         firsts = own[names.column("first").to_numpy(zero_copy_only=False)]
         repeated = state.block[np.searchsorted(state.at, own)]  # blocks of which another settled suffix stands here or elsewhere
-        hit = (state.need > 0) & np.isin(state.block, repeated) & ~np.isin(state.at, firsts)
-        state = State(next(rows_of(state.row(hit=hit))))
-        at = state.at.astype(np.int64)
-        low, high = at - state.low, at - state.high
+        hit = state.settled() & np.isin(state.block, repeated) & ~np.isin(state.at, firsts)
+        state.hit = hit.astype(np.uint8)
+        low, high = state.at - state.low, state.at - state.high
         some = state.high < 255
         inside = state.hits_before(high + 1, p) - state.hits_before(low, p)
         return state.row(open=some & (inside < high - low + 1))
@@ -280,9 +293,10 @@ def _compared(_, states: pa.Table, names: pa.Table) -> pa.Table:
 
 def _strings(row: dict, p: Repeats) -> tuple[State, np.ndarray, np.ndarray, np.ndarray]:
     """The open strings that are compared one by one: start, group number, and the first of each group."""
-    state, (buf, _) = State(row), texts_of(row)
+    state = State(row)
+    buf = texts_of(row["data"], state.bounds)
     who = np.flatnonzero(state.compare)
-    at = state.at[who].astype(np.int64)
+    at = state.at[who]
     low, size = at - state.low[who], state.low[who].astype(np.int64) - state.high[who] + 1
     start = np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
     anchor = np.repeat(who, size)
@@ -320,11 +334,12 @@ def _cleaned(p: Repeats):
     def run(_, texts: pa.Table, names: pa.Table) -> pa.Table:
         row = next(rows_of(texts))
         state, start, number, (some, *_) = _strings(row, p)
-        buf, bounds = texts_of(row)
+        bounds = state.bounds
+        buf = texts_of(row["data"], bounds)
         verdict = np.zeros(len(some), dtype=np.int8)  # 1: starts first here, 2: elsewhere
-        place = {int(s): i for i, s in enumerate(start[some])}
-        for k, first in zip(names.column("k").to_pylist(), names.column("first").to_pylist()):
-            verdict[place[k]] = 1 if first else 2
+        order = np.argsort(start[some])
+        who = order[np.searchsorted(start[some], names.column("k").to_numpy(), sorter=order)]
+        verdict[who] = np.where(names.column("first").to_numpy(zero_copy_only=False), 1, 2)
         gone = verdict[number] > 0
         gone[some[verdict == 1]] = False
         begin, end = (x[state.hit > 0] for x in state.windows(p))
@@ -357,15 +372,17 @@ def merged_blocks(texts: DataFrame, p: Repeats) -> DataFrame:
     counts, those of a range are named by their places in order, and a suffix whose pair stands only once leaves. A suffix that shares all that it needs keeps its block.
     Only what still stands more than once is sorted, and no more than its pair of blocks.
     """
-    names = named_groups(texts.select("shard", "bounds", "data").mapInArrow(lean(_symbols(p)), "key long, n long, shard long, k long"), ["key"], [], 0, False)
-    states, depth, step, number = written(_met(texts, names, _begun(p), STATES), "begun"), 1, 1, 1
+    symbols = texts.select("shard", "bounds", "data").mapInArrow(lean(_symbols(p)), "key long, n long, shard long, k long")
+    states, depth, step, number = bucketed(_met(texts, named_groups(symbols, ["key"]), _begun(p), STATES), "shard", "begun", dealt=True), 1, 1, 1
     while True:
-        pairs = written(states.mapInArrow(lean(_pairs(step)), "block long, gap long, next long, n long, shard long, k long"), "pairs")
-        names = named_groups(pairs, ["block", "gap", "next"], [], number, True)
-        states = written(_met(states, names, _refined(step), STATES), "refined")
-        if not pairs.head(1):
+        size, active = states.agg(F.sum("suffixes"), F.sum("active")).first()
+        if (active or 0) <= p.few * (size or 0):
             return states
-        depth += step
+        pairs = states.mapInArrow(lean(_pairs(step)), "block long, gap long, next long, n long, shard long, k long")
+        names = named_groups(pairs, ["block", "gap", "next"], step=number)
+        refined = bucketed(_met(states, names, _refined(step), STATES), "shard", "refined", dealt=True)
+        dropped(states)
+        states, depth = refined, depth + step
         step, number = (2 if depth < 6 else depth), number + 1
 
 
@@ -384,11 +401,13 @@ def without_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
         states = merged_blocks(texts, p)
         at = ["none", "id", "shard", "k"]
         settled = states.mapInArrow(lean(_settled), "block long, n long, none boolean, id long, shard long, k long")
-        states = written(_met(states, named_groups(settled, ["block"], at, 0, False), _hits(p), STATES), "hits")
-        several = named_groups(states.mapInArrow(lean(_open), "origin long, n long, shard long, k long"), ["origin"], [], 0, False)
-        states = written(_met(states, several, _compared, STATES), "compared")
-        both = texts.select("shard", "bounds", "data").join(states, "shard")
+        hits = bucketed(_met(states, named_groups(settled, ["block"], at), _hits(p), STATES), "shard", "hits", dealt=True)
+        dropped(states)
+        several = named_groups(hits.mapInArrow(lean(_open), "origin long, n long, shard long, k long"), ["origin"])
+        states = bucketed(_met(hits, several, _compared, STATES), "shard", "compared", dealt=True)
+        dropped(hits)
+        both = texts.select("shard", "data").join(states, "shard")
         strings = both.mapInArrow(lean(_emitted(p)), "origin long, hash long, n long, none boolean, id long, shard long, k long")
-        named = written(named_groups(strings, ["origin", "hash"], at, 0, False), "strings")
+        named = written(named_groups(strings, ["origin", "hash"], at), "strings")
         scope.keep(texts, states, named)
     return _met(both, named, _cleaned(p), OUT)
