@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language_id, minhash, mixing, multi_index, packing, spelling, substring_dedup, suffixes, token_counts, token_files, topk, warc
+from tallyspark.llm import alignment, language_id, minhash, mixing, multi_index, packing, spelling, substring_dedup, suffixes, token_counts, token_files, topk, warc
 from tallyspark.llm.scratch import new_folder
 
-WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+WORDS, PIECES, BYTES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,13 +71,17 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"), noise=31)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), alignment.Alignment(BYTES, PIECES))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_language_id, op3_packing, op4_mixing, op5_minhash, op6_token_counts, op7_top_k, op8_token_files, op9_warc, op10_nearest, op11_spelling, op13_suffix_dedup)
+    found = (op1_substring_dedup, op2_language_id, op3_packing, op4_mixing, op5_minhash, op6_token_counts, op7_top_k, op8_token_files, op9_warc, op10_nearest, op11_spelling, op12_alignment, op13_suffix_dedup)
     return {f.__name__: f for f in found}
 
 

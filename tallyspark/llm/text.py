@@ -89,8 +89,8 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, bounds
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The column in blocks of about limit bytes: whole rows, or parts of one long row that are cut before a space that follows a non-space."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, after: np.ndarray = ~SPACE) -> Iterator[Block]:
+    """The column in blocks of about limit bytes: whole rows, or parts of one long row that are cut before a space that follows a byte of `after` (any non-space)."""
     if not len(column):
         return
     buf, bounds = column_bytes(column)
@@ -99,7 +99,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         if bounds[row + 1] - bounds[row] > limit:
             at, stop = int(bounds[row]), int(bounds[row + 1])
             while at < stop:
-                cut = _cut(buf, at, stop, limit)
+                cut = _cut(buf, at, stop, limit, after)
                 yield Block(row, buf[at:cut], np.array([0, cut - at]), at == bounds[row], cut == stop)
                 at = cut
             row += 1
@@ -109,15 +109,15 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         row = last
 
 
-def _cut(buf: np.ndarray, at: int, stop: int, limit: int) -> int:
+def _cut(buf: np.ndarray, at: int, stop: int, limit: int, after: np.ndarray) -> int:
     if stop - at <= limit:
         return stop
     window = buf[at + limit // 2 : at + limit]
-    found = np.flatnonzero((window[1:] == 0x20) & ~SPACE[window[:-1]])
+    found = np.flatnonzero((window[1:] == 0x20) & after[window[:-1]])
     if len(found):
         return at + limit // 2 + int(found[-1]) + 1
     rest = buf[at + limit - 1 : stop]
-    found = np.flatnonzero((rest[1:] == 0x20) & ~SPACE[rest[:-1]])
+    found = np.flatnonzero((rest[1:] == 0x20) & after[rest[:-1]])
     return at + limit + int(found[0]) if len(found) else stop
 
 
