@@ -149,11 +149,15 @@ def long_totals(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray
 class Scorer:
     """Log-likelihoods of words for each language, remembered in a worker up to a bound."""
 
-    #: Bytes of what is remembered, and of a table of prefix sums; bytes of a word above which only a window of them is kept.
-    MEMO, TABLE, LONG = 1 << 25, 1 << 24, 96
+    #: Bytes of what is remembered, and of a table of prefix sums; bytes of a word above which only a window of them is kept, which is rescaled; and the least
+    #: power of ten that a product without rescaling may reach.
+    MEMO, TABLE, LONG, LEAST = 1 << 25, 1 << 24, 48, -250
 
     def __init__(self, m: LanguageModels, pieces: Pieces, p: np.ndarray):
         self.m, self.pieces, self.p = m, pieces, scaled(p, pieces)
+        least = self.p[[len(x) == 1 for x in pieces.all]].min() if self.p.size else 1.0
+        #: A word of so many bytes cannot underflow even if each is a piece of its own.
+        self.short = min(self.LONG, int(self.LEAST / np.log10(least)) if least < 1 else self.LONG)
         self.keys, self.values = np.zeros(0, dtype=np.uint64), np.zeros((0, p.shape[1]))
 
     def score(self, marked: list[bytes]) -> np.ndarray:
@@ -161,7 +165,7 @@ class Scorer:
         out = np.zeros((len(marked), self.p.shape[1]))
         order = np.argsort([len(w) for w in marked], kind="stable")
         lens, at = np.array([len(marked[i]) for i in order], dtype=np.int64), 0
-        short = int(np.searchsorted(lens, self.LONG, side="right"))
+        short = int(np.searchsorted(lens, self.short, side="right"))
         fits = lambda n: max(1, self.TABLE // (8 * self.p.shape[1] * (n + 1)))
         while at < len(order):
             if at < short:

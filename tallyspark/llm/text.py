@@ -155,7 +155,9 @@ def row_words(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.n
 
 
 def row_sums(values: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Sums of values by row; before as given by word_bounds."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=values.dtype)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[before[1:]] - total[before[:-1]]
+    """Sums of values by row, each row's from its own values alone; before as given by word_bounds."""
+    out = np.zeros((len(before) - 1, *values.shape[1:]), dtype=values.dtype)
+    some = np.diff(before) > 0
+    if some.any():
+        out[some] = np.add.reduceat(values[: before[-1]], before[:-1][some], axis=0)
+    return out
