@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import written
-from tallyspark.llm.vectors import CANDIDATES, QUERIES, Part, against_all, best, packed, top_places, usable
+from tallyspark.llm.vectors import CANDIDATES, QUERIES, Part, against_all, best, packed, query_rows, top_places, usable
 
 SUBSTRING = 8
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -110,7 +110,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     share of true neighbours lies within the radius; every row is indexed, each block once, and the index is written with it. A query that finds fewer than k within the radius
     searches once more without one. Scores are inner products of the original vectors in double precision; ties go to
     the smaller vec_id; fewer candidates than k give all of them. Rows with null vec_id, or vectors that are null, empty, zero or hold null or non-finite components
-    take no part. Rows of another dimension are no candidates. Rows that share a vec_id each take part, but none
+    take no part. Rows of another dimension are no candidates. Rows that share a vec_id each take part, as queries each with k of their own, but none
     is a candidate of its own id.
     """
     rows = usable(vectors, zero_too=False)
@@ -122,23 +122,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
         codes, radius = learned(np.stack(sample["v"]).astype(np.float64), k, recall)
         candidates, (queries, _) = packed(own, CANDIDATES, "candidates", substring_index(codes)), packed(own.where(is_query), QUERIES, "queries")
         hits = written(against_all(candidates, queries, mih(k, codes, radius), "double"), "hits")
-        few = own.where(is_query).join(hits.groupBy("query_id").agg(F.count("*").alias("got")), F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("got", F.lit(0)) < min(k, many - 1)).select("vec_id", "v")
-        few, _ = packed(few, QUERIES, "few")
-        more = against_all(candidates, few, mih(k, codes, 8 * (-(-dim // 8))), "double")
-        part = best(hits.join(few_ids(few), "query_id", "left_anti").union(more), k)
+        got = hits.groupBy("query").agg(F.count("*").alias("got"))
+        few = written(query_rows(queries).join(got, "query", "left").where(F.coalesce("got", F.lit(0)) < min(k, many - 1)).select("query", "vec_id", "v"), "few")
+        again, _ = packed(few.select("vec_id", "v"), QUERIES, "again")
+        more = against_all(candidates, again, mih(k, codes, 8 * (-(-dim // 8))), "double").withColumn("query", -1 - F.col("query"))
+        part = best(hits.join(few.select("query"), "query", "left_anti").unionByName(more), k)
         out = part if out is None else out.union(part)
     return out if out is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-
-def few_ids(few: DataFrame) -> DataFrame:
-    """The ids in packed blocks."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cell in batch.column("ids"):
-                yield pa.record_batch([pa.array(np.frombuffer(cell.as_py(), "<i8"))], names=["query_id"])
-
-    return few.select("ids").mapInArrow(run, "query_id long")

@@ -31,9 +31,9 @@ def sorted_lists(scale: float):
 
 
 def exact_kind(x: np.ndarray, q: np.ndarray) -> type:
-    """A type that holds all sums of products: doubles where they stay whole numbers, else 64 bits, else Python's integers."""
+    """A type that holds all sums of products and all differences of them, which reach twice as far: doubles where they stay whole numbers, else 64 bits, else Python's integers."""
     most = x.shape[1] * max(1, int(np.abs(x).max())) * max(1, int(np.abs(q).max()))
-    return np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
+    return np.float64 if most < 1 << 52 else np.int64 if most < 1 << 61 else object
 
 
 class Reader:
@@ -126,7 +126,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     get their final scores. The blocks' k best then meet. Ties go to the smaller vec_id; fewer candidates than
     k give all of them. Sums too large for 64 bits are made of Python's integers; a score beyond a long is given as the largest or smallest long. Rows with null vec_id, or vectors that
     are null, empty, or hold nulls or non-finite components take no part; a zero vector does. Rows of another dimension are no candidates. Rows that share a vec_id
-    each take part, but none is a candidate of its own id.
+    each take part, as queries each with k of their own, but none is a candidate of its own id.
     """
     rows = usable(vectors, zero_too=True)
     candidates, (queries, _) = packed(rows, CANDIDATES, "candidates", sorted_lists(scale)), packed(rows.where(is_query), QUERIES, "queries")

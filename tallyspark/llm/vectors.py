@@ -69,7 +69,9 @@ class Part(NamedTuple):
     lists: bytes
 
 
-HITS = "query_id long, vec_id long"
+HITS = "query long, query_id long, vec_id long"
+#: A query row goes by its block and its place there.
+PLACES = 10
 #: Blocks of queries of which a task remembers the scores to beat.
 REMEMBERED = 256
 
@@ -97,16 +99,29 @@ def against_all(candidates: tuple[DataFrame, int], queries: DataFrame, search: C
                 if len(least) >= REMEMBERED:
                     least.clear()
                 least[q_block] = beat
-                yield pa.record_batch([pa.array(q_ids[q]), pa.array(ids[c]), pa.array(score)], names=["query_id", "vec_id", "score"])
+                yield pa.record_batch([pa.array((q_block << PLACES) + q), pa.array(q_ids[q]), pa.array(ids[c]), pa.array(score)], names=["query", "query_id", "vec_id", "score"])
 
     return pairs.mapInArrow(run, f"{HITS}, score {kind}")
 
 
+def query_rows(queries: DataFrame) -> DataFrame:
+    """query, vec_id, v of the rows of packed queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, dim, ids, cells in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                ids, cells = np.frombuffer(ids, "<i8"), np.frombuffer(cells, "<f8")
+                v = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * dim, pa.int32()), pa.array(cells))
+                yield pa.record_batch([pa.array((block << PLACES) + np.arange(len(ids))), pa.array(ids), v], names=["query", "vec_id", "v"])
+
+    return queries.select("block", "dim", "ids", "cells").mapInArrow(run, "query long, vec_id long, v array<double>")
+
+
 def best(hits: DataFrame, k: int) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of each query's k highest scores, ties to the smaller vec_id."""
+    """query_id, rank (from 1), vec_id, score of each query row's k highest scores, ties to the smaller vec_id."""
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = W.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
