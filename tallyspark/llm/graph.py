@@ -11,12 +11,13 @@ from tallyspark.llm.scratch import written
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
+    least = written(least, "least")  # on its own, so that the join reads both sides from exchanges and a hub's edges are split
     moved = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     return moved.where("src <> dst").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("src").agg(F.min("dst").alias("low"))
+    least = written(edges.groupBy("src").agg(F.min("dst").alias("low")), "least")
     moved = edges.join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     return moved.union(least.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct()
 

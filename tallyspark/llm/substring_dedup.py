@@ -176,10 +176,12 @@ def substring_dedup(docs: DataFrame, p: Runs = Runs()) -> DataFrame:
     text stays null; an empty table gives no rows. A column of docs that has an added one's name gives way to it; n_chars is left as it is.
     """
     hits = repeated_runs(docs, p).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
+    hits = written(hits, "gone")
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed_words")]
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
     base = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = base.join(hits, "doc_id", "left").select("row", "text", "gone")
+    found = base.where("doc_id is not null").join(hits, "doc_id", "left").select("row", "text", "gone")
+    joined = found.union(base.where("doc_id is null").select("row", "text", F.lit(None).cast(hits.schema["gone"].dataType).alias("gone")))
     schema = f"row {joined.schema['row'].dataType.simpleString()}, text string, n_sentences long, n_removed long, removed_words long"
     out = joined.mapInArrow(lean(_clean(p)), schema)
     return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], "n_sentences", "n_removed", "removed_words")

@@ -104,7 +104,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     model = shared_model(ids)
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n = max(1, min(spread(spark), -(-total // (FILE_IDS // 16))), -(-total // FILE_IDS))
-    dealt = ids.select("doc_id", "n", "width", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
+    dealt = ids.select("doc_id", "n", "width", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "n", F.substring("ids", 1, 8)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
     files = written(dealt.mapInArrow(lean(_write(folder, model)), FILES), "files")
     data = model.table()
     with new_file(f"{folder}/{TABLE_NAME}") as stream:

@@ -96,6 +96,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = 1
     rows = rows.select("page_id", "url", "html", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.octet_length("html").cast("long").alias("n_bytes"))
     keys = rows.select("page_id", "digest", "n_bytes")
     first = keys.where(F.col("n_bytes") >= same_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1").select("digest", "first")
+    first = written(first, "first")  # on its own, so that the join reads both sides from exchanges and a hot payload is split
     decided = keys.join(first, "digest", "left").selectExpr("page_id", "digest", "0 as kind", "n_bytes", "case when not first <=> page_id then first end as refers_to", "cast(null as string) as url", "cast(null as string) as html")
     payloads = rows.selectExpr("page_id", "digest", "1 as kind", "n_bytes", "cast(null as long) as refers_to", "url", "html")
     order = ["page_id", "digest", "kind", "url"]
