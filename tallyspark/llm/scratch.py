@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_open: list[list[str]] = []
+#: The scopes that are open in this thread.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 class Passing:
@@ -25,17 +27,17 @@ class Passing:
 
     def __enter__(self) -> Passing:
         self.paths: list[str] = []
-        _open.append(self.paths)
+        self.token = _open.set((*_open.get(), self.paths))
         return self
 
     def keep(self, *tables: DataFrame) -> None:
         for table in tables:
             self.paths.remove(table.written_path)
-            if len(_open) > 1:
-                _open[-2].append(table.written_path)
+            if len(_open.get()) > 1:
+                _open.get()[-2].append(table.written_path)
 
     def __exit__(self, *_) -> None:
-        _open.remove(self.paths)
+        _open.reset(self.token)
         for path in self.paths:
             store, where = fs.FileSystem.from_uri(path)
             store.delete_dir(where)
@@ -48,8 +50,8 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
-    if _open:
-        _open[-1].append(path)
+    if _open.get():
+        _open.get()[-1].append(path)
     return out
 
 
@@ -63,14 +65,14 @@ def bucketed(df: DataFrame, key: str, name: str, dealt: bool, codec: str = "zstd
     out.schema  # noqa: B018  resolved before the name goes; the files of a table with a path stay
     spark.sql(f"DROP TABLE {called}")
     out.written_path = path
-    if _open:
-        _open[-1].append(path)
+    if _open.get():
+        _open.get()[-1].append(path)
     return out
 
 
 def dropped(table: DataFrame) -> None:
     """Deletes a written table that nothing reads any more."""
-    for paths in _open:
+    for paths in _open.get():
         if table.written_path in paths:
             paths.remove(table.written_path)
     store, where = fs.FileSystem.from_uri(table.written_path)
