@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import language_id, minhash, mixing, packing, substring_dedup
 from tallyspark.llm.queries import PIECES, WORDS, fold
-from tallyspark.llm.scratch import Passing, written
+from tallyspark.llm.scratch import Passing, dropped, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,5 +68,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "written_path"):
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
