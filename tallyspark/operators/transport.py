@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyspark.operators.folds import next_fit
 from tallyspark.operators.snapshot import MOST_PART_BYTES
 from tallyspark.sources.store import settled
 
@@ -149,26 +150,10 @@ def archive_members(parts: DataFrame, key: str) -> DataFrame:
 def page_layout(units: DataFrame, by: str, order: list[str], budget: int, first_weight: int) -> DataFrame:
     """units (by, order, weight) with `page`, next-fit in order within each snapshot: a unit that no longer fits opens a page.
 
-    The first page already holds first_weight of metadata and may stay without units; any other empty page takes one unit,
-    however large. Units stream through a fold with two numbers of state; snapshots are worked on side by side.
+    The first page already holds first_weight of metadata and may stay without units; any other empty page takes one unit, however large. Order is that of (order), which must not repeat in a snapshot. A snapshot is
+    split over many tasks (folds.next_fit); no task sees it whole.
     """
-    kinds = dict(units.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, page, used, empty = None, 0, 0, True
-        for batch in batches:
-            pages = []
-            for snapshot, weight in zip(batch.column(by).to_pylist(), batch.column("weight").to_pylist()):
-                if here is None or snapshot != here[0]:
-                    here, page, used, empty = (snapshot,), 0, first_weight, False
-                if not empty and used + weight > budget:
-                    page, used = page + 1, 0
-                used, empty = used + weight, False
-                pages.append(page)
-            yield pa.record_batch([*batch.columns, pa.array(pages, pa.int64())], names=[*batch.schema.names, "page"])
-
-    rows = units.select(by, *order, "weight").repartition(by).sortWithinPartitions(by, *order)
-    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in [by, *order, "weight"]) + ", page long")
+    return next_fit(units.select(by, *order, "weight"), by, order, "weight", budget, first_weight)
 
 
 def chunk_plan(objects: DataFrame, key: str, step: int) -> DataFrame:
