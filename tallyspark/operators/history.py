@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyspark.functions.canonical_json import json_number
+
 MOST_MARKERS, BINS = 24, 400
 
 
@@ -111,8 +113,9 @@ def envelope(points: DataFrame, logarithmic: bool, by: str = "series", bins: int
 
 
 def envelope_points(bins: DataFrame, by: str = "series") -> DataFrame:
-    """The envelope as rows: by, bin, invalid, place, x, y. Whoever draws an invalid bin breaks the line around each of its points."""
-    return bins.select(by, "bin", "invalid", F.posexplode("points").alias("place", "p")).select(by, "bin", "invalid", F.col("place").cast("long").alias("place"), "p.x", "p.y")
+    """The envelope as rows: by, bin, invalid, place, x, y. Whoever draws an invalid bin breaks the line around each of its points; one without a point that can be drawn is a row without x and y, which breaks the line too."""
+    rows = bins.select(by, "bin", "invalid", F.posexplode_outer("points").alias("place", "p"))
+    return rows.select(by, "bin", "invalid", F.coalesce("place", F.lit(0)).cast("long").alias("place"), "p.x", "p.y")
 
 
 def curve_limits(points: DataFrame, logarithmic: bool, by: str = "series") -> DataFrame:
@@ -160,7 +163,7 @@ def tails(rows: DataFrame, by: str, order: list[str], most: int = 32) -> DataFra
 
 def as_text(v: Column) -> Column:
     """A double as JSON text that keeps what JSON cannot hold: NaN and the infinities by name."""
-    return F.when(F.isnan(v), "NaN").when(v == float("inf"), "Infinity").when(v == float("-inf"), "-Infinity").otherwise(v.cast("string"))
+    return F.when(F.isnan(v), "NaN").when(v == float("inf"), "Infinity").when(v == float("-inf"), "-Infinity").otherwise(json_number(v))
 
 
 def metric_columns(names: list[str]) -> list[str]:

@@ -129,7 +129,8 @@ def _view_sql(monitor: bool, bins: int) -> str:
         i AS (SELECT series, metric, bin, bool_or(NOT ok OR (breaks AND place0 > 0)) AS invalid, min(y) FILTER (ok) AS lo, max(y) FILTER (ok) AS hi, min(x) FILTER (ok) AS x0, max(x) FILTER (ok) AS x1 FROM g GROUP BY ALL),
         t AS (SELECT g.*, i.invalid, g.x = i.x0 OR g.x = i.x1 AS ends, g.y = i.lo AS is_lo, g.y = i.hi AS is_hi FROM g JOIN i USING (series, metric, bin) WHERE g.ok),
         e AS (SELECT *, is_lo AND row_number() OVER (PARTITION BY series, metric, bin, is_lo ORDER BY x) = 1 AS lo1, is_hi AND row_number() OVER (PARTITION BY series, metric, bin, is_hi ORDER BY x) = 1 AS hi1 FROM t)
-        SELECT series, metric, bin, invalid, row_number() OVER (PARTITION BY series, metric, bin ORDER BY x, y) - 1 AS place, x, y FROM e WHERE ends OR lo1 OR hi1"""
+        SELECT series, metric, bin, invalid, row_number() OVER (PARTITION BY series, metric, bin ORDER BY x, y) - 1 AS place, x, y FROM e WHERE ends OR lo1 OR hi1
+        UNION ALL SELECT series, metric, bin, true, 0, NULL, NULL FROM i WHERE x0 IS NULL"""
 
 
 _TAILS = """r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS ordinal, count(*) OVER (PARTITION BY event_type) AS n,

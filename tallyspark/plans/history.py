@@ -85,7 +85,8 @@ def _envelope_sql(points_sql: str, source: str, logarithmic: bool, bins: int) ->
     i AS (SELECT series, bin, bool_or(NOT ok OR (breaks AND ordinal > 0)) AS invalid, min(y) FILTER (ok) AS lo, max(y) FILTER (ok) AS hi, min(x) FILTER (ok) AS x0, max(x) FILTER (ok) AS x1 FROM g GROUP BY series, bin),
     t AS (SELECT g.series, g.bin, i.invalid, g.x, g.y, g.x = i.x0 OR g.x = i.x1 AS ends, g.y = i.lo AS is_lo, g.y = i.hi AS is_hi FROM g JOIN i ON g.series = i.series AND g.bin = i.bin WHERE g.ok),
     e AS (SELECT *, is_lo AND row_number() OVER (PARTITION BY series, bin, is_lo ORDER BY x) = 1 AS lo1, is_hi AND row_number() OVER (PARTITION BY series, bin, is_hi ORDER BY x) = 1 AS hi1 FROM t)
-    SELECT series, bin, invalid, row_number() OVER (PARTITION BY series, bin ORDER BY x, y) - 1 AS place, x, y FROM e WHERE ends OR lo1 OR hi1"""
+    SELECT series, bin, invalid, row_number() OVER (PARTITION BY series, bin ORDER BY x, y) - 1 AS place, x, y FROM e WHERE ends OR lo1 OR hi1
+    UNION ALL SELECT series, bin, true, 0, NULL, NULL FROM i WHERE x0 IS NULL"""
 
 
 _MONITOR = f"""{_POINTS}, z AS (SELECT *, max(cycle) OVER (PARTITION BY series) AS top FROM p),
