@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyspark.functions.canonical_json import canonical_json
+
 #: Bounds of a batch's rows, bytes and age that a writer may be given, and what it has without.
 BATCH_ROWS, MOST_BATCH_ROWS, BATCH_BYTES, LEAST_BATCH_BYTES, BUFFER_SECONDS, MOST_BUFFER_SECONDS = 256, 65_536, 4 << 20, 1024, 15.0, 60.0
 #: What a hardware passport should tell.
@@ -134,4 +136,4 @@ def summary_documents(spans: DataFrame, resources: DataFrame, control: DataFrame
         F.coalesce("intervals_and_delays", F.create_map().cast("map<string,struct<count:bigint,max_seconds:double,total_seconds:double>>")).alias("intervals_and_delays"), "max_observed_rss_bytes",
         none("phase_calls", "bigint"), none("phase_seconds", "double"), F.struct(zero("n_control", "control_events"), zero("n_resources", "resources"), zero("n_spans", "spans")).alias("rows"), zero("samples_dropped", "samples_dropped"), none("warmup_seconds", "double"),
     ]
-    return rows.select("session", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document"))
+    return rows.select("session", canonical_json(F.struct(*fields)).alias("document"))
