@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyspark.functions.canonical_json import canonical_json
+from tallyspark.sources.store import settled
+
 #: The suffix of an object's name by its media type; other types cannot be taken into a snapshot.
 SUFFIXES = {"application/x-hdf5": ".h5", "application/vnd.apache.parquet": ".parquet", "application/json": ".json", "text/markdown": ".md", "text/plain": ".txt"}
 #: The largest part of a transport in bytes, and the roles of which a snapshot of science needs one.
@@ -57,15 +60,35 @@ REFERENCE_KINDS = ("campaign", "point", "standalone", "session", "ancestor")
 
 
 def reference_set(references: DataFrame) -> DataFrame:
-    """commit, kind, place: each commit once, where it is first referred to (kind, pos, commit), in the order of REFERENCE_KINDS and pos. The order enters a snapshot's identity.
-
-    The place is a number of its kind, so that no window runs over all references.
+    """commit, kind, place: each commit once, where it is first referred to (kind, pos, commit). The order, which enters a snapshot's identity, is that of (REFERENCE_KINDS, place); a place alone is a number of its kind,
+    so that no window runs over all references. reference_walk follows ancestors too.
     """
     order = F.array_position(F.array(*map(F.lit, REFERENCE_KINDS)), F.col("kind")).cast("int")
     first = references.groupBy("commit").agg(F.min(F.struct(order.alias("o"), "pos", "kind")).alias("first"))
     return first.select("commit", F.col("first.kind").alias("kind"), F.col("first.pos").alias("place"))
 
 
+def reference_walk(references: DataFrame, parents: DataFrame) -> DataFrame:
+    """commit, kind, level, kind_no, place: every commit that is referred to (references: kind, pos, commit) or is an ancestor of one (parents: commit, parent; one parent at most), once.
+
+    (level, kind_no, place) is the order in which references are followed: first those given, by kind and position, then level by level the parents of the commits of the level before, as
+    they are met. An ancestor takes kind_no and place of the first commit that leads to it, so the numbers differ within a level and no window runs over all commits. A level is a frontier: parents
+    of the one before without what has been seen; the walk ends with an empty one, so a cycle ends too.
+    """
+    order = F.array_position(F.array(*map(F.lit, REFERENCE_KINDS)), F.col("kind")).cast("int")
+    first = references.groupBy("commit").agg(F.min(F.struct(order.alias("kind_no"), F.col("pos").cast("long").alias("place"), "kind")).alias("f"))
+    level, number = settled(first.select("commit", "f.kind", F.lit(0).alias("level"), "f.kind_no", "f.place"), "level"), 0
+    seen = level
+    while True:
+        number += 1
+        met = level.join(parents.select("commit", "parent"), "commit").where("parent is not null").groupBy("parent").agg(F.min(F.struct("kind_no", "place")).alias("f"))
+        met = met.select(F.col("parent").alias("commit"), F.lit("ancestor").alias("kind"), F.lit(number).alias("level"), "f.kind_no", "f.place")
+        level = settled(met.join(seen.select("commit"), "commit", "left_anti"), "level")
+        if not level.head(1):
+            return seen
+        seen = settled(seen.union(level), "seen")
+
+
 def appended(catalog: DataFrame, own: DataFrame) -> DataFrame:
     """A commit's artifacts (commit, pos, path): those of its catalog before its own, with a new pos."""
     both = catalog.select("commit", F.lit(0).alias("part"), "pos", "path").union(own.select("commit", F.lit(1), "pos", "path"))
@@ -117,8 +140,7 @@ def completeness(coverage: DataFrame, missing: DataFrame, jobs: DataFrame, by: s
 def snapshot_identity(fields: DataFrame, by: str) -> DataFrame:
     """by, identity: SHA-256 of a snapshot's fields as compact JSON with keys in order; lists keep their order, so it pins the order of references."""
     names = sorted(c for c in fields.columns if c != by)
-    text = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-    return fields.select(by, F.sha2(text.cast("binary"), 256).alias("identity"))
+    return fields.select(by, F.sha2(canonical_json(F.struct(*names)).cast("binary"), 256).alias("identity"))
 
 
 def analysis_freshness(commits: DataFrame, selected: DataFrame, cutoff: float) -> DataFrame:

@@ -6,7 +6,7 @@ import hashlib
 import io
 import lzma
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyspark.functions.canonical_json import canonical_json
 from tallyspark.operators.folds import next_fit
 from tallyspark.operators.snapshot import MOST_PART_BYTES
 from tallyspark.sources.store import settled
@@ -77,7 +78,7 @@ def transport_units(objects: DataFrame, key: str, budget: int) -> DataFrame:
 
 def refined_layout(units: DataFrame, overflowed: DataFrame, by: str) -> DataFrame:
     """by, page, place, name, offset, bytes after the pages named by overflowed (by, page) have turned out too large: one of several units is halved; the first page gives up its only unit to a page of its own, and
-    stays for the metadata; any other page of one unit becomes two of half its bytes. Pages are numbered anew, in order.
+    stays for the metadata; any other page of one unit becomes two of half its bytes. Pages are numbered anew, in order. Pages that cannot be made smaller are named by layout_faults.
 
     units: by, page, place (in its page), name, offset, bytes.
     """
@@ -98,11 +99,31 @@ def refined_layout(units: DataFrame, overflowed: DataFrame, by: str) -> DataFram
     return placed.select(by, F.col("new").alias("page"), (F.row_number().over(order) - 1).cast("long").alias("place"), "name", "offset", "bytes")
 
 
+def layout_faults(units: DataFrame, overflowed: DataFrame, by: str) -> DataFrame:
+    """by, page, fault of pages of overflowed (by, page) that cannot be made smaller: the first one where it holds metadata alone, and any other whose only unit is of one byte or none."""
+    sizes = units.groupBy(by, "page").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"))
+    rows = overflowed.select(by, "page").join(sizes, [by, "page"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    fault = F.when(F.col("n") == 0, "metadata").when((F.col("page") > 0) & (F.col("n") == 1) & (F.col("bytes") <= 1), "headers")
+    return rows.select(by, "page", fault.alias("fault")).where("fault is not null")
+
+
+def fitted_layout(units: DataFrame, by: str, too_large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """units (see refined_layout) on pages of which too_large(units) names none (by, page) any more. Each round refines the pages that overflow, all of them at once; one that cannot be made smaller ends it with an error."""
+    while True:
+        over = settled(too_large(units).select(by, "page").distinct(), "overflowed")
+        if not over.head(1):
+            return units
+        fault = layout_faults(units, over, by).first()
+        if fault:
+            raise ValueError(f"page {fault.page} of {fault[by]!r} cannot be made smaller: {fault.fault}")
+        units = settled(refined_layout(units, over, by), "layout")
+
+
 def part_headers(parts: DataFrame, snapshots: DataFrame, by: str) -> DataFrame:
     """by, index, header of each part (by, index) of a snapshot (by, snapshot_identity, index_sha256, maximum_part_bytes): compact JSON that names the snapshot, the index and the part's place."""
     counts = parts.groupBy(by).agg(F.count("*").alias("count"))
     fields = ["count", "index", "index_sha256", "maximum_part_bytes", "snapshot_identity"]
-    return parts.join(counts, by).join(snapshots, by).select(by, "index", F.to_json(F.struct(*fields)).alias("header"))
+    return parts.join(counts, by).join(snapshots, by).select(by, "index", canonical_json(F.struct(*fields)).alias("header"))
 
 
 def header_violations(headers: DataFrame, snapshots: DataFrame, by: str) -> DataFrame:

@@ -110,11 +110,25 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CUTOFF = 5_000.5
+def ancestries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Some orders are referred to; every order's science parent is the customer's order before, but for some without one, and some whose parent is one far back that others lead to as well."""
+    from pyspark.sql import Window as W
+
+    n, w = F.col("o_orderkey"), W.partitionBy("o_custkey").orderBy("o_orderkey")
+    kind = F.when(n % 7 == 0, "campaign").when(n % 11 == 0, "session").when(n % 13 == 0, "point")
+    orders = table(spark, sf_dir, "orders")
+    roots = orders.select(kind.alias("kind"), (n % 1009 * 1000003 + n).alias("pos"), n.alias("commit")).where("kind is not null")
+    again = roots.where("commit % 2 = 1").withColumn("kind", F.lit("standalone")).withColumn("pos", F.col("commit"))
+    before = F.when(n % 17 == 3, None).when(n % 5 == 2, F.first(n).over(w)).otherwise(F.lag(n).over(w))
+    return roots.union(again), orders.select(n.alias("commit"), F.when(before < n, before).alias("parent"))
+
+
 QUERIES = {
     "manifest_inventory_diff": lambda s, d: ops.manifest_inventory_diff(manifest(s, d), inventory(s, d)),
     "receipt_parts": lambda s, d: ops.receipt_violations(receipt(s, d), parts(s, d), 10_000_000),
     "pointer_violations": lambda s, d: ops.pointer_violations(pointers(s, d), commits(s, d)),
     "reference_set": lambda s, d: ops.reference_set(references(s, d)),
+    "reference_walk": lambda s, d: ops.reference_walk(*ancestries(s, d)),
     "appended_artifacts": lambda s, d: ops.appended(artifacts(s, d).where("pos % 3 = 0").select("commit", "pos", "path"), artifacts(s, d).where("pos % 3 = 1").select("commit", "pos", "path")).groupBy("commit").agg(F.max("pos").alias("last"), F.min_by("path", "pos").alias("first_path")),
     "repeated_paths": lambda s, d: ops.repeated_paths(artifacts(s, d)),
     "recovery_violations": lambda s, d: ops.recovery_violations(recovery(s, d), artifacts(s, d)),
@@ -152,6 +166,15 @@ SQL = {
         WITH {_COMMITS}, p AS (SELECT c_custkey AS root, CASE WHEN c_custkey % 13 = 1 THEN 'short' ELSE sha256((c_custkey + CASE WHEN c_custkey % 17 = 2 THEN 1 ELSE 0 END)::VARCHAR) END AS sha, c_custkey % 7 + CASE WHEN c_custkey % 19 = 3 THEN 1 ELSE 0 END AS gen FROM customer),
         j AS (SELECT p.*, c.sha256, c.generation FROM p LEFT JOIN c ON c.commit_id = p.root)
         SELECT root, 'missing' AS rule FROM j WHERE sha256 IS NULL UNION ALL SELECT root, 'digest' FROM j WHERE sha <> sha256 UNION ALL SELECT root, 'generation' FROM j WHERE gen <> generation UNION ALL SELECT root, 'digest_form' FROM j WHERE length(sha) <> 64""",
+    "reference_walk": """
+        WITH RECURSIVE o AS (SELECT o_orderkey AS k, first_value(o_orderkey) OVER w AS oldest, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+        p AS (SELECT k, CASE WHEN k % 17 = 3 THEN NULL WHEN k % 5 = 2 THEN oldest ELSE before END AS parent FROM o),
+        r AS (SELECT k, CASE WHEN k % 7 = 0 THEN 'campaign' WHEN k % 11 = 0 THEN 'session' ELSE 'point' END AS kind, k % 1009 * 1000003 + k AS pos FROM o WHERE k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0),
+        a AS (SELECT * FROM r UNION ALL SELECT k, 'standalone', k FROM r WHERE k % 2 = 1),
+        s AS (SELECT k, min({'no': list_position(['campaign', 'point', 'standalone', 'session', 'ancestor'], kind), 'pos': pos, 'kind': kind}) AS f FROM a GROUP BY k),
+        w AS (SELECT k, 0 AS level, f.no AS no, f.pos AS pos FROM s UNION ALL SELECT p.parent, level + 1, no, pos FROM w JOIN p USING (k) WHERE p.parent IS NOT NULL AND p.parent < p.k),
+        m AS (SELECT k, min({'level': level, 'no': no, 'pos': pos}) AS f FROM w GROUP BY k)
+        SELECT m.k AS "commit", CASE WHEN m.f.level = 0 THEN s.f.kind ELSE 'ancestor' END AS kind, m.f.level AS level, m.f.no AS kind_no, m.f.pos AS place FROM m LEFT JOIN s USING (k)""",
     "reference_set": """
         WITH r AS (SELECT 2 AS o, 'point' AS kind, o_orderkey AS pos, o_orderkey % 700 AS k FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 4, 'session', o_orderkey, o_orderkey % 900 FROM orders WHERE o_orderkey % 3 = 0
         UNION ALL SELECT 5, 'ancestor', o_orderkey, o_orderkey FROM orders UNION ALL SELECT 1, 'campaign', o_orderkey, o_orderkey FROM orders WHERE o_orderkey = 4)

@@ -155,6 +155,7 @@ QUERIES = {
     "object_order": lambda s, d: transport.object_order(table(s, d, "documents").select("lang", F.concat(F.lit("objects/"), "doc_id").alias("name"), F.sha2(F.concat("text", F.when(F.col("doc_id") % 9 == 2, "?").otherwise("")), 256).alias("sha256")), transport.object_priority(roles(s, d)), "lang"),
     "transport_units": lambda s, d: transport.transport_units(objects(s, d), "doc_id", 3_000),
     "refined_layout": lambda s, d: transport.refined_layout(placed_units(s, d), placed_units(s, d).where("(l_orderkey + page) % 3 = 0").select("l_orderkey", "page").distinct(), "l_orderkey"),
+    "layout_faults": lambda s, d: transport.layout_faults(placed_units(s, d), placed_units(s, d).where("l_orderkey % 3 = 0").select("l_orderkey", "page").union(placed_units(s, d).where("l_orderkey % 5 = 0").select("l_orderkey", F.lit(0).cast("long"))).distinct(), "l_orderkey"),
     "part_headers": lambda s, d: transport.part_headers(table(s, d, "customer").select(F.col("c_nationkey").alias("snapshot"), F.col("c_custkey").alias("index")), set_of(s, d).drop("count"), "snapshot"),
     "header_violations": lambda s, d: transport.header_violations(headers(s, d), set_of(s, d), "snapshot"),
     "metadata_fits": lambda s, d: transport.metadata_fits(table(s, d, "pages").select((F.col("page_id") % 20).alias("snapshot"), F.concat(F.lit("m"), "page_id").alias("name"), F.encode("html", "UTF-8").alias("content")), "snapshot", 3_000),
@@ -206,6 +207,10 @@ SQL = {
               UNION ALL SELECT l_orderkey, page, place, name, k, k * greatest(1, bytes // 2), least(greatest(1, bytes // 2), bytes - k * greatest(1, bytes // 2)) FROM q, LATERAL (SELECT unnest(range(0, ceil(bytes / greatest(1, bytes // 2))::BIGINT)) AS k) WHERE over AND n = 1 AND page > 0),
         d AS (SELECT DISTINCT l_orderkey, page, part FROM c UNION SELECT DISTINCT l_orderkey, 0, 0 FROM c), e AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY page, part) - 1 AS new FROM d)
         SELECT l_orderkey, new AS page, row_number() OVER (PARTITION BY l_orderkey, new ORDER BY place, off) - 1 AS place, name, off AS "offset", bytes FROM c JOIN e USING (l_orderkey, page, part)""",
+    "layout_faults": """
+        WITH u AS (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS name, max(l_quantity)::BIGINT AS bytes FROM lineitem GROUP BY 1, 2), p AS (SELECT l_orderkey, name % 4 AS page, count(*) AS n, max(bytes) AS bytes FROM u GROUP BY 1, 2),
+        v AS (SELECT l_orderkey, page FROM p WHERE l_orderkey % 3 = 0 UNION SELECT l_orderkey, 0 FROM u WHERE l_orderkey % 5 = 0)
+        SELECT l_orderkey, page, CASE WHEN n IS NULL THEN 'metadata' ELSE 'headers' END AS fault FROM v LEFT JOIN p USING (l_orderkey, page) WHERE n IS NULL OR (page > 0 AND n = 1 AND bytes <= 1)""",
     "part_headers": """
         WITH c AS (SELECT c_nationkey AS snapshot, count(*) AS n FROM customer GROUP BY 1)
         SELECT snapshot, c_custkey AS "index", to_json({'count': n, 'index': c_custkey, 'index_sha256': sha256('i' || snapshot), 'maximum_part_bytes': snapshot * 1000 + 1000, 'snapshot_identity': sha256(snapshot::VARCHAR)})::VARCHAR AS header FROM customer JOIN c ON c_nationkey = snapshot""",
