@@ -34,7 +34,7 @@ class Alignment:
     byte_level: str
     pieces: str
     shard: int = 1 << 24
-    units: int = 200_000
+    units: int = 400_000
     batch: int = 50_000
     memory: str = "256MB"
 
@@ -54,10 +54,12 @@ CREATE TEMP TABLE gb AS SELECT b.i, b.u, b.id, b.s, b.e, coalesce(sum(CAST(a.e I
     FROM b LEFT JOIN a ON a.e = b.e;
 CREATE TEMP TABLE spans AS SELECT f.i, f.u, f.id, f.low, l.i AS high
     FROM (SELECT ga.i, ga.u, ga.id, ga.e, gb.i AS low FROM ga ASOF JOIN gb ON ga.s >= gb.s) f ASOF JOIN gb l ON f.e > l.s;
-CREATE TEMP TABLE links AS SELECT spans.u, spans.id AS a, gb.id AS b, count(*) AS n FROM spans JOIN gb ON gb.i BETWEEN spans.low AND spans.high GROUP BY ALL;
-CREATE TEMP TABLE groups AS SELECT x.u, x.g, x.ids || '|' || y.ids AS shown, x.n AS n_a, y.n AS n_b
-    FROM (SELECT u, g, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n FROM ga GROUP BY ALL) x JOIN (SELECT u, g, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n FROM gb GROUP BY ALL) y USING (u, g);
+CREATE TEMP TABLE links AS SELECT u, a, b, count(*) AS n FROM (
+    SELECT spans.u, spans.id AS a, gb.id AS b FROM spans JOIN gb ON gb.i = spans.low WHERE spans.low = spans.high
+    UNION ALL SELECT spans.u, spans.id, gb.id FROM spans JOIN gb ON gb.i BETWEEN spans.low AND spans.high WHERE spans.low < spans.high) GROUP BY ALL;
 """
+#: Units that go to a tokenizer as one text.
+TOGETHER = 128
 
 
 class Aligner:
@@ -81,6 +83,8 @@ class Aligner:
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         if any(" " in x.decode("utf-8", "ignore").lstrip(" ") for x in self.b_bytes):
             raise ValueError("this model joins words; its texts have no safe boundaries at spaces")
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.numerals = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.lone = self.b.piece_to_id("▁")
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": p.memory, "temp_directory": ""})
         self.clear()
@@ -110,37 +114,68 @@ class Aligner:
 
     def add(self, units: list[bytes]) -> None:
         """Aligns further units."""
-        texts = [u.decode("utf-8") for u in units]
-        a_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b_ids = self.b.encode([t[1:] for t in texts], num_threads=1)
-        b_ids = [[self.lone] if t == " " else ids for t, ids in zip(texts, b_ids)]
-        valid = [b"".join(map(self.a_bytes.__getitem__, x)) == u == b"".join(map(self.b_bytes.__getitem__, y)) for u, x, y in zip(units, a_ids, b_ids)]
-        base = np.append(0, np.cumsum([len(u) if v else 0 for u, v in zip(units, valid)]))
-        for name, ids, table in (("a", a_ids, self.a_bytes), ("b", b_ids, self.b_bytes)):
-            unit = np.repeat(np.arange(len(units)), [len(x) if v else 0 for x, v in zip(ids, valid)])
-            flat = np.array([i for x, v in zip(ids, valid) if v for i in x], dtype=np.int32)
-            ends = np.cumsum([len(table[i]) for i in flat], dtype=np.int64)
-            sizes = np.diff(ends, prepend=0)
-            self.db.register(name, pa.table({"i": np.arange(len(flat)), "u": unit, "s": ends - sizes, "e": ends, "id": flat}))
-            if len(ends) and ends[-1] != base[-1]:
-                raise ValueError("token intervals leave a gap")
+        encode = lambda texts: [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        pieces = lambda texts: [[self.lone] if t == " " else ids for t, ids in zip(texts, self.b.encode([t[1:] for t in texts], num_threads=1))]
+        (a_ids, n_a), (b_ids, n_b) = self.tokens(units, encode, self.a_bytes), self.tokens(units, pieces, self.b_bytes)
+        valid = (n_a > 0) & (n_b > 0)
+        self.db.register("a", self.intervals(a_ids, n_a, valid, self.a_sizes))
+        self.db.register("b", self.intervals(b_ids, n_b, valid, self.b_sizes))
         self.db.execute(SQL)
-        rows = self.db.execute("SELECT u, string_agg(shown, ';' ORDER BY g) AS text, sum(n_a), sum(n_b), count(*) FROM groups GROUP BY u").fetchnumpy()
         links = self.db.execute("SELECT u, a, b, n FROM links ORDER BY u").fetchnumpy()
-        for name in ("ga", "gb", "spans", "links", "groups"):
+        sides = [self.db.execute(f"SELECT u, id, g FROM {name} ORDER BY i").fetchnumpy() for name in ("ga", "gb")]
+        for name in ("ga", "gb", "spans", "links"):
             self.db.execute(f"DROP TABLE {name}")
-        u, text, n_a, n_b, n_groups = rows.values()
-        counts = np.zeros((len(units), 4), np.int64)
-        counts[u, 0], counts[u, 1], counts[u, 2] = n_a, n_b, n_groups
-        counts[:, 3] = np.bincount(links["u"], weights=links["n"], minlength=len(units))
-        strings = np.full(len(units), b"", dtype=object)
-        strings[u] = [t.encode() for t in text]
-        self.groups += strings.tolist()
-        self.counts = np.concatenate([self.counts, counts])
+        strings, n_groups = self.shown(sides, len(units))
+        n_links = np.bincount(links["u"], weights=links["n"], minlength=len(units)).astype(np.int64)
+        self.groups += strings
+        self.counts = np.concatenate([self.counts, np.stack([np.where(valid, n_a, 0), np.where(valid, n_b, 0), n_groups, n_links], axis=1)])
         sizes = np.bincount(links["u"], minlength=len(units))
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
         self.pairs = np.concatenate([self.pairs, np.stack([links["a"], links["b"], links["n"]], axis=1).astype(np.int64)])
 
+    def tokens(self, units: list[bytes], encode, table: list[bytes]) -> tuple[list[list[int]], np.ndarray]:
+        """The ids of each unit, and their number, 0 where their bytes are not the unit's. Units that end with a plain character go to the tokenizer many at a time: it cuts their text where they end."""
+        ids: list[list[int]] = [[]] * len(units)
+        plain = [i for i, u in enumerate(units) if PLAIN[u[-1]]]
+        alone = [i for i, u in enumerate(units) if not PLAIN[u[-1]]]
+        sets = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for own, found in zip(sets, encode([b"".join([units[i] for i in own]).decode("utf-8") for own in sets])):
+            parts = list(map(table.__getitem__, found))
+            ends = np.cumsum(list(map(len, parts)))
+            want = np.cumsum([len(units[i]) for i in own])
+            at = np.searchsorted(ends, want)
+            if b"".join(parts) != b"".join([units[i] for i in own]) or not np.array_equal(ends[at], want):
+                alone += own
+                continue
+            begin = 0
+            for i, stop in zip(own, (at + 1).tolist()):
+                ids[i] = found[begin:stop]
+                begin = stop
+        for i, found in zip(alone, encode([units[i].decode("utf-8") for i in alone])):
+            ids[i] = found if b"".join(map(table.__getitem__, found)) == units[i] else []
+        return ids, np.array([len(x) for x in ids], dtype=np.int64)
+
+    def intervals(self, ids: list[list[int]], n: np.ndarray, valid: np.ndarray, sizes: np.ndarray) -> pa.Table:
+        """The tokens of valid units one after another, with the bytes that they stand for."""
+        flat = np.array([i for x, v in zip(ids, valid.tolist()) if v for i in x], dtype=np.int32)
+        ends = np.cumsum(sizes[flat])
+        return pa.table({"i": np.arange(len(flat)), "u": np.repeat(np.arange(len(ids)), np.where(valid, n, 0)), "s": ends - sizes[flat], "e": ends, "id": flat})
+
+    def shown(self, sides: list[dict], n_units: int) -> tuple[list[bytes], np.ndarray]:
+        """Each unit's groups as text, and their number: both sides' ids in the order of group and side, with the mark that follows each."""
+        unit, ids, key = (np.concatenate([np.asarray(x[c]) for x in sides]).astype(np.int64) for c in ("u", "id", "g"))
+        key = 2 * key + (np.arange(len(key)) >= len(sides[0]["u"]))
+        order = np.argsort(key, kind="stable")
+        unit, ids, key = unit[order], ids[order], key[order]
+        same, last = np.append(key[1:] == key[:-1], False), np.append(unit[1:] != unit[:-1], True)
+        mark = np.where(same, 0, np.where(key % 2 == 0, 1, np.where(last, 3, 2)))
+        parts: list[str] = [""] * (2 * len(ids))
+        parts[0::2], parts[1::2] = map(self.numerals.__getitem__, ids.tolist()), map((",", "|", ";", "").__getitem__, mark.tolist())
+        text = "".join(parts).encode()
+        size = np.searchsorted(10 ** np.arange(1, 7), ids, side="right") + 1 + (mark < 3)
+        stops = np.append(0, np.cumsum(size))[np.searchsorted(unit, np.arange(n_units + 1))].tolist()
+        return [text[x:y] for x, y in zip(stops, stops[1:])], np.bincount(unit[mark >= 2], minlength=n_units)
+
 
 def unit_bounds(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the units of rows."""
