@@ -13,6 +13,7 @@ from tallyspark.plans.proofs import numbered
 from tallyspark.plans.telemetry import rounded, table
 from tallyspark.plans.transport import axis, cells
 from tallyspark.sources import files
+from tallyspark.sources import segments as commits
 from tallyspark.sources.store import shared_folder
 
 
@@ -45,6 +46,36 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.telemetry_segments(spark, [path], spark.read.parquet(path).schema)
 
 
+def committed(spark: SparkSession, sf_dir: str) -> str:
+    """Events as segments of their types, in two commits: those of even ids, then those of odd ones."""
+    base = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    for odd in (0, 1):
+        rows = events.where(F.col("event_id") % 2 == odd).repartition("event_type").sortWithinPartitions("event_type", "event_id")
+        commits.write_segments(rows, base, by="event_type", cursor="event_id", source="event_type", rows=str(1 << 40), contract="events")
+    return base
+
+
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read from committed segments, by their entries, with the committed cursor of each type."""
+    base = committed(spark, sf_dir)
+    named = spark.createDataFrame([(f"{base}/{e['path']}", e["label"], e["epoch"]) for e in commits.entries(base)], "path string, label string, epoch long")
+    rows = commits.committed_segments(spark, base, table(spark, sf_dir, "events").select("event_id", "event_type", "value").schema)
+    found = rows.groupBy(F.regexp_extract("segment", "[^/]+$", 0).alias("name"), "event_type").agg(F.count("*").alias("rows"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    cursors = spark.createDataFrame(list(commits.pointer(base)["cursors"].items()), "event_type string, cursor long")
+    both = named.join(found, F.regexp_extract("path", "[^/]+$", 0) == F.col("name")).where("label = event_type")
+    return both.join(cursors, "event_type").select("label", "epoch", "rows", "first", "last", "cursor")
+
+
+def short_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Committed segments whose footers hold another number of rows than their entries say: one file has been replaced by another type's."""
+    base = committed(spark, sf_dir)
+    found = {(e["label"], e["epoch"]): f"{base}/{e['path']}" for e in commits.entries(base)}
+    labels = sorted(label for label, _ in found)
+    commits.replace_file(found[labels[-1], 1], found[labels[0], 0])
+    return commits.segment_footers(spark, base).where("rows <> footer_rows").select("label", "epoch", "rows", "footer_rows")
+
+
 def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events, with NaNs and signed zeros, written anew by their type and read again: faults of the proof, and one row for each file."""
     folder = f"{shared_folder(spark)}/compacted-{uuid.uuid4().hex}"
@@ -99,7 +130,8 @@ QUERIES = {
     "container_faults": lambda s, d: files.container_faults(contents(s, d)),
     "contract_faults": lambda s, d: contracts(s, d).select("event_id", contract_fault(F.col("text"), "index-v2", "set-1", 110).alias("fault")),
     "reblocked_segments": lambda s, d: compaction.reblocked(segments(s, d), "segment", "segment_row", 300).groupBy("batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last")),
-    "footer_violations": lambda s, d: files.footer_violations(segments(s, d), files.footers(s, segments(s, d).select("segment").distinct().toPandas()["segment"].tolist())),
+    "footer_violations": short_segments,
+    "segment_commits": recorded,
     "compaction_roundtrip": compacted,
     "catalog_chain": lambda s, d: lineage.chain_violations(linked(s, d)),
     "normalised_spans": lambda s, d: telemetry.normalised_spans(table(s, d, "events").select("event_id", F.col("event_type").alias("phase"), F.when(F.col("event_id") % 2 == 0, "exclusive").alias("timing_kind")), {"execution_id": "e1"}).drop("timestamp_kind"),
@@ -146,7 +178,11 @@ SQL = {
         WITH t AS (SELECT event_id, 11 + CASE WHEN event_id % 7 = 1 THEN 5 ELSE 8 END + 1 + CASE WHEN event_id % 5 <> 2 THEN 23 ELSE 0 END + 8 + event_id % 90 + 1 + CASE WHEN event_id % 11 = 3 THEN 0 ELSE 1 END AS n FROM events)
         SELECT event_id, CASE WHEN n > 110 THEN 'size' WHEN event_id % 11 = 3 THEN 'syntax' WHEN event_id % 7 = 1 THEN 'schema' WHEN event_id % 5 = 2 THEN 'contract_set' END AS fault FROM t""",
     "reblocked_segments": "WITH r AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 300 AS batch FROM events) SELECT batch, count(*) AS n, min(event_id) AS \"first\", max(event_id) AS \"last\" FROM r GROUP BY 1",
-    "footer_violations": "SELECT '' AS segment, 0::BIGINT AS \"rows\", 0::BIGINT AS footer_rows FROM events WHERE false",
+    "footer_violations": """
+        WITH c AS (SELECT event_type AS label, event_id % 2 AS epoch, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT min(event_type) AS low, max(event_type) AS high FROM events)
+        SELECT label, epoch, n AS "rows", (SELECT c0.n FROM c c0, t WHERE c0.label = t.low AND c0.epoch = 0) AS footer_rows FROM c, t WHERE label = t.high AND epoch = 1 AND n <> (SELECT c0.n FROM c c0, t WHERE c0.label = t.low AND c0.epoch = 0)""",
+    "segment_commits": """
+        SELECT event_type AS label, event_id % 2 AS epoch, count(*) AS "rows", min(event_id) AS "first", max(event_id) AS "last", max(max(event_id)) OVER (PARTITION BY event_type) AS "cursor" FROM events GROUP BY 1, 2""",
     "compaction_roundtrip": "SELECT event_type, count(*) AS n, 0::BIGINT AS faults FROM events GROUP BY 1",
     "catalog_chain": """
         WITH o AS (SELECT *, row_number() OVER w AS place, CASE WHEN o_orderkey % 53 = 4 THEN lag(o_orderkey, 2) OVER w ELSE lag(o_orderkey) OVER w END AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
