@@ -74,7 +74,7 @@ def rows_of(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
         yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _named(keys: list[str], step: int):
+def _named(keys: list[str], order: list[str], step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, before = (step << 59) | (TaskContext.get().partitionId() << 39), 0
         held: list[pa.RecordBatch] = []
@@ -92,10 +92,13 @@ def _named(keys: list[str], step: int):
             sizes = np.diff(np.append(starts, whole))
             totals = np.add.reduceat(table.column("n").to_numpy()[:whole], starts)
             name = base + before + np.cumsum(totals) - totals
+            first = np.zeros(whole, dtype=bool)
+            by = [table.column(c).to_numpy(zero_copy_only=False)[:whole] for c in reversed(order)]
+            first[np.lexsort([*by, np.repeat(np.arange(len(sizes)), sizes)])[starts] if by else starts] = True
             before += int(totals.sum())
             keep = np.flatnonzero(np.repeat(totals > 1, sizes))
             part = table.slice(0, whole).take(pa.array(keep))
-            arrays = [part.column("shard"), part.column("k"), pa.array(np.repeat(name, sizes)[keep]), pa.array(new[:whole][keep])]
+            arrays = [part.column("shard"), part.column("k"), pa.array(np.repeat(name, sizes)[keep]), pa.array(first[keep])]
             return pa.table(arrays, names=["shard", "k", "name", "first"]), table.slice(whole)
 
         for batch in batches:
@@ -125,4 +128,4 @@ def named_groups(rows: DataFrame, keys: list[str], order: list[str] = [], step:
     The order of groups is that of the partition to which their key is dealt by hash, then that of keys; name is the place of the group among all members (n) in that
     order (step sets its highest bits), and `first` marks the first row of a group in `order`. With one row for each shard and key, a group is never larger than the number of shards.
     """
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(lean(_named(keys, step)), NAMED)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(_named(keys, order, step)), NAMED)

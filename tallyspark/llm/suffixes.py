@@ -77,12 +77,12 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, p: Repeats) -> tuple[np.ndarray
         top = _slide(np.concatenate([pad, low, pad]), w, np.maximum)[: len(key)]
         at = np.flatnonzero(top == key[: len(top)])
         own, left, right = key[at], np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-        back, on = np.ones(len(at), dtype=bool), np.ones(len(at), dtype=bool)
+        back = on = np.arange(len(at))
         for k in range(1, w):
-            back &= (at >= k) & (key[np.maximum(at - k, 0)] > own)
-            on &= (at + k < len(key)) & (key[np.minimum(at + k, len(key) - 1)] >= own)
-            left += back
-            right += on
+            back, on = back[at[back] >= k], on[at[on] + k < len(key)]
+            back, on = back[key[at[back] - k] > own[back]], on[key[at[on] + k] >= own[on]]
+            left[back] += 1
+            right[on] += 1
         text = np.searchsorted(heads, at + x, side="right") - 1
         first = np.maximum(np.maximum(at - left, 0) + x, heads[text])
         last = np.minimum(np.minimum(at, at + right - w + 1), len(fit) - 1) + x
@@ -98,7 +98,7 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, p: Repeats) -> tuple[np.ndarray
     one = np.flatnonzero(np.append(True, at[1:] != at[:-1]))  # strips share anchors
     at, key, first, last = at[one], key[one], np.minimum.reduceat(first, one), np.maximum.reduceat(last, one)
     for places, mark in zip((heads, tails - p.symbol), EDGES):
-        places = np.setdiff1d(places, at)
+        places = places[at[np.searchsorted(at, places).clip(max=len(at) - 1)] != places]
         flat = buf[(places[:, None] + np.arange(p.symbol)).ravel()]
         starts = np.arange(len(places)) * p.symbol
         symbols = mixed(byte_hashes(flat, starts, starts + p.symbol) ^ mark) if len(places) else np.zeros(0, np.uint64)
