@@ -22,8 +22,7 @@ def running(parts: DataFrame, by: str, order: list[str], **sums: str) -> DataFra
     earlier = W.partitionBy(by).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select(by, "part", *[F.coalesce(F.sum(f"{name}_total").over(earlier), F.lit(0)).alias(f"{name}_base") for name in sums])
     within = W.partitionBy(by, "part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    rows = parts.join(bases, [by, "part"]).select(*parts.columns, *[(F.col(f"{name}_base") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(name) for name, c in sums.items()])
-    return rows
+    return parts.join(bases, [by, "part"]).select(*parts.columns, *[(F.col(f"{name}_base") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(name) for name, c in sums.items()])
 
 
 def _exits(by: str):
@@ -84,14 +83,17 @@ def next_fit(rows: DataFrame, by: str, order: list[str], weight: str, budget: in
     From running sums of weights, a row's page, if it opened one, would end before the first row whose sum lies beyond its own and the budget: all ends and all those
     limits, in order, give that by one running count. Which rows do open pages is what the chain from the first page reaches.
     """
-    places = settled(running(ranged(rows.withColumn("_weight", F.col(weight).cast("long")).withColumn("_one", F.lit(1).cast("long")), by, order), by, order, i="_one", before="_weight"), "places")
-    ends = places.select(by, (F.col("before") + F.col("_weight")).alias("at"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("i"), F.lit(1).cast("long").alias("end"))
-    limits = places.select(by, (F.col("before") + budget).alias("at"), F.lit(1).alias("kind"), "i", F.lit(0).cast("long").alias("end"))
-    first = places.select(by).distinct().select(by, F.lit(budget - first_weight).cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("i"), F.lit(0).cast("long").alias("end"))
-    lines = ranged(ends.union(limits).union(first), by, ["at", "kind", "i"])
-    limits = settled(running(lines, by, ["at", "kind", "i"], fits="end").where("kind = 1").select(by, "i", F.greatest(F.col("i") + 1, "fits").alias("next")), "limits")
-    roots = limits.where("i = -1").select(by, F.col("next").alias("i"))
-    jumps = settled(places.select(by, "part", "i").join(limits.where("i >= 0"), [by, "i"]), "jumps")
-    starts = reached(jumps, roots, by).withColumn("start", F.lit(1).cast("long"))
-    marked = settled(places.join(starts, [by, "i"], "left").withColumn("start", F.coalesce("start", F.lit(0).cast("long"))), "marked")
-    return running(marked, by, ["i"], pages="start").select(*rows.columns, (F.col("pages") + F.col("start")).alias("page"))
+    keys = [f"order{k}" for k in range(len(order))]  # the rows' own columns travel in one, so that no name clashes
+    own = rows.select(F.col(by).alias("group"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *[F.col(c).alias(k) for c, k in zip(order, keys)], F.col(weight).cast("long").alias("weight"), F.lit(1).cast("long").alias("one"))
+    places = settled(running(ranged(own, "group", keys), "group", keys, i="one", before="weight"), "places")
+    end, none = F.col("before") + F.col("weight"), F.lit(0).cast("long")
+    ends = places.select("group", end.alias("at"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("i"), F.lit(1).cast("long").alias("end"))
+    limits = places.select("group", (F.col("before") + budget).alias("at"), F.lit(1).alias("kind"), "i", none.alias("end"))
+    first = places.select("group").distinct().select("group", F.lit(budget - first_weight).cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("i"), none.alias("end"))
+    lines = ranged(ends.union(limits).union(first), "group", ["at", "kind", "i"])
+    limits = settled(running(lines, "group", ["at", "kind", "i"], fits="end").where("kind = 1").select("group", "i", F.greatest(F.col("i") + 1, "fits").alias("next")), "limits")
+    roots = limits.where("i = -1").select("group", F.col("next").alias("i"))
+    jumps = settled(places.select("group", "part", "i").join(limits.where("i >= 0"), ["group", "i"]), "jumps")
+    starts = reached(jumps, roots, "group").withColumn("start", F.lit(1).cast("long"))
+    marked = settled(places.join(starts, ["group", "i"], "left").withColumn("start", F.coalesce("start", none)), "marked")
+    return running(marked, "group", ["i"], pages="start").select("row.*", (F.col("pages") + F.col("start")).alias("page"))
