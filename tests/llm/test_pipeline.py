@@ -71,7 +71,7 @@ def test_query_gives_what_its_sql_gives(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     found = c.execute(queries.oracle_sql()[name])
