@@ -14,8 +14,10 @@ from tallyspark.llm.scratch import key_ranges, spread, written
 from tallyspark.llm.text import blocks, word_bounds
 from tallyspark.llm.worker import forget, lean
 
-#: Sources whose table goes to every task; more are joined by a shuffle. Blocks of an output shard, about.
+#: Sources whose table goes to every task; more are joined by a shuffle. Blocks of an output shard; the last one has the rest.
 MOST_BROADCAST, SHARD_BLOCKS = 100_000, 8192
+#: Slots above which the generator has no hypergeometric draw.
+EXACT = 10**9
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,22 +43,51 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most:
     return out
 
 
-def shard_counts(slots: int, shards: int, seed: Sequence[int]) -> np.ndarray:
-    """The slots of one source in each output shard: a multinomial draw, which deals out every slot."""
-    return np.random.default_rng(seed).multinomial(slots, np.full(shards, 1 / shards))
+def split(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source are among `take` slots drawn without replacement from `counts`: a multivariate hypergeometric draw. Where all slots are EXACT or
+    more, each source in turn is drawn from a binomial (up to 2**20 slots) or a rounded normal of the same mean and spread, kept within what the others leave possible."""
+    if counts.sum() < EXACT:
+        return rng.multivariate_hypergeometric(counts, take, method="marginals")
+    out, left, todo = np.zeros_like(counts), int(counts.sum()), int(take)
+    for i, n in enumerate(counts.tolist()):
+        share = todo / left if left else 0.0
+        spread_ = (n * share * (1 - share) * (left - n) / max(1, left - 1)) ** 0.5
+        drawn = rng.binomial(n, share) if n <= 1 << 20 else round(rng.normal(n * share, spread_))
+        out[i] = min(max(drawn, todo - (left - n), 0), n, todo)
+        left, todo = left - n, todo - int(out[i])
+    return out
+
 
+def shard_counts(slots: np.ndarray, size: int, seed: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Output shards low..high-1: the shard, each source's slots before it, and its draw over the sources.
 
-def _shards(seed: int):
-    """Each source's draw, in a task of its own: source_no, shard, first (slots of the source before), n, blocks."""
+    A shard has `size` slots (the last one the rest). A multinomial draw of each shard whose totals over all shards are to be `slots` is a draw without replacement; it is made
+    down a binary tree of shards, each node from a seed of its own, so that any task draws its shards alone, in the number of sources times the tree's depth.
+    """
+    slots = np.asarray(slots, dtype=np.int64)
+    stack = [(0, -(-int(slots.sum()) // size), slots, np.zeros_like(slots))]
+    while stack:
+        first, end, counts, before = stack.pop()
+        if end <= max(low, first) or first >= high:
+            continue
+        if end - first == 1:
+            yield first, before, counts
+            continue
+        middle = (first + end) // 2
+        left = split(counts, (middle - first) * size, np.random.default_rng([seed, first, end]))
+        stack += [(middle, end, counts - left, before + left), (first, middle, left, before)]
+
+
+def _shards(slots: list[int], blocks_: list[int], size: int, seed: int):
+    """Each shard's draw, made where its number is: source_no, shard, first (slots of the source before), n, blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                counts = shard_counts(row["slots"], row["shards"], [seed, row["source_no"]])
-                shard = np.flatnonzero(counts)
-                firsts = np.cumsum(counts) - counts
-                same = lambda v: pa.array(np.full(len(shard), v))  # noqa: E731, B023
-                yield pa.record_batch([same(row["source_no"]), pa.array(shard), pa.array(firsts[shard]), pa.array(counts[shard]), same(row["blocks"])], names=["source_no", "shard", "first", "n", "blocks"])
+            numbers = batch.column(0).to_numpy()
+            for shard, before, counts in shard_counts(np.array(slots), size, seed, int(numbers.min()), int(numbers.max()) + 1) if len(numbers) else ():
+                some = np.flatnonzero(counts)
+                cells = [some, np.full(len(some), shard), before[some], counts[some], np.array(blocks_)[some]]
+                yield pa.record_batch([pa.array(c.astype(np.int64)) for c in cells], names=["source_no", "shard", "first", "n", "blocks"])
 
     return run
 
@@ -112,13 +143,13 @@ class Mix:
         return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 20) -> Mix:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 20, shard_blocks: int = SHARD_BLOCKS) -> Mix:
     """Plans a mix of docs (doc_id: long, text, source: string) of `share` times all their words.
 
     A source's weight is that of its rank by code point (null last) among `weights`, repeated. Its documents' words stand one behind another in
-    order of doc_id (null first) and size, cut into blocks of `block` words. It gets as many slots as its target holds blocks of its mean length; a multinomial draw for each source, made in a task,
-    deals them to output shards, so that its total is kept and the shards grow in number with the mix; slot k of a source takes
-    the block at k of its permutation, which starts over when all its blocks are used. So no block is used more than `most` times, rounded up, and
+    order of doc_id (null first) and size, cut into blocks of `block` words. It gets as many slots as its target holds blocks of its mean length. Every output shard has
+    `shard_blocks` slots (the last one the rest), dealt to the sources by a multinomial draw of the shard's own that keeps the sources' totals, so that shards grow in number with the mix alone;
+    slot k of a source takes the block at k of its permutation, which starts over when all its blocks are used. One row for each source comes to the driver and goes to the tasks that draw. So no block is used more than `most` times, rounded up, and
     reruns agree however the input is split. A text without words, or null, has size 0 and gives nothing; an empty
     table gives an empty plan; repeated rows each count; other columns are ignored.
     """
@@ -130,7 +161,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     target = targets([r.n for r in known], [weights[i % len(weights)] for i in range(len(known))], share, most)
     planned = [(i, r.source, r.n, t, -(-r.n // block), round(t * -(-r.n // block) / r.n) if r.n else 0) for i, (r, t) in enumerate(zip(known, target))]
     table = spark.createDataFrame(planned, "source_no long, name string, source_size long, target double, blocks long, slots long")
-    shards = max(1, sum(r[-1] for r in planned) // SHARD_BLOCKS)
     sources = table.drop("blocks", "slots")
 
     named = sizes.join(F.broadcast(sources) if len(known) <= MOST_BROADCAST else sources, sizes.source.eqNullSafe(F.col("name"))).drop("name")
@@ -143,8 +173,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     pieces = cut.withColumn("first", low - F.col("start")).withColumn("words", high - low)
 
-    drawn = table.where("slots > 0").select("source_no", "slots", "blocks", F.lit(shards).alias("shards")).repartition(spread(spark))
-    rows = drawn.mapInArrow(lean(_shards(seed)), "source_no long, shard long, first long, n long, blocks long").repartition(spread(spark), "source_no", "shard")
+    dealt = [r[-1] for r in planned]
+    drawn = spark.range(0, -(-sum(dealt) // shard_blocks), 1, spread(spark)).mapInArrow(lean(_shards(dealt, [r[-2] for r in planned], shard_blocks, seed)), "source_no long, shard long, first long, n long, blocks long")
+    rows = drawn.repartition(spread(spark), "source_no", "shard")
     slots = written(rows.mapInArrow(lean(_draw(seed)), "source_no long, shard long, k long, block long"), "slots")
     return Mix(pieces, named.where("size = 0"), slots, block)
 

@@ -103,10 +103,41 @@ def test_indexes_are_permuted(n):
     assert sorted(got) == list(range(n)) and (n < 100 or (got != np.arange(n)).mean() > 0.9)
 
 
-def test_shard_counts_deal_out_every_slot():
-    counts = mixing.shard_counts(30_000, 7, [1, 2])
-    assert counts.sum() == 30_000 and len(counts) == 7 and abs(counts - 30_000 / 7).max() < 500
-    assert mixing.shard_counts(5, 3, [1, 2]).tolist() == mixing.shard_counts(5, 3, [1, 2]).tolist()
+def test_every_shard_is_full_and_every_source_is_dealt_out():
+    slots, size = np.array([30_000, 0, 501, 9_000, 1]), 1000
+    shards = list(mixing.shard_counts(slots, size, 5, 0, 40))
+    assert [s for s, _, _ in shards] == list(range(40)) and [int(n.sum()) for _, _, n in shards] == [1000] * 39 + [502]
+    assert (sum(n for _, _, n in shards) == slots).all()
+    before = np.zeros_like(slots)
+    for _, first, n in shards:
+        assert (first == before).all() and (n >= 0).all()
+        before = before + n
+    assert abs(np.array([n[0] for _, _, n in shards[:39]]).mean() - 1000 * 30_000 / 39_502) < 10
+    for low, high in ((0, 1), (7, 9), (39, 40), (12, 31)):
+        assert [(s, f.tolist(), n.tolist()) for s, f, n in mixing.shard_counts(slots, size, 5, low, high)] == [(s, f.tolist(), n.tolist()) for s, f, n in shards[low:high]]
+    assert list(mixing.shard_counts(np.array([], dtype=np.int64), size, 5, 0, 3)) == [] == list(mixing.shard_counts(np.array([0]), size, 5, 0, 3))
+
+
+def test_draws_from_more_slots_than_the_generator_takes_keep_totals():
+    counts = np.array([3 * 10**9, 5, 2 * 10**6, 0, 7 * 10**8])
+    take = int(counts.sum()) // 3
+    left = mixing.split(counts, take, np.random.default_rng(3))
+    assert left.sum() == take and (left >= 0).all() and (left <= counts).all()
+    assert abs(left[0] / 1e9 - 1) < 1e-3 and abs(left[2] - 2e6 / 3) < 5000
+    all_but_one = mixing.split(counts, int(counts.sum()) - 1, np.random.default_rng(3))
+    assert all_but_one.sum() == counts.sum() - 1 and (all_but_one <= counts).all()
+    assert mixing.split(counts, 0, np.random.default_rng(3)).sum() == 0
+
+
+def test_shards_of_a_mix_have_one_size(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 5, 100, 300])), rng.choice("abc")) for i in range(90)]
+    plan = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=16, seed=4, shard_blocks=50)
+    slots = plan.slots.collect()
+    sizes = [sum(s.shard == n for s in slots) for n in range(max(s.shard for s in slots) + 1)]
+    assert len(sizes) > 10 and sizes[:-1] == [50] * (len(sizes) - 1) and 0 < sizes[-1] <= 50
+    for no in range(3):
+        assert sorted(s.k for s in slots if s.source_no == no) == list(range(sum(s.source_no == no for s in slots)))
 
 
 def test_taken_words_are_those_of_the_permuted_blocks(spark):
