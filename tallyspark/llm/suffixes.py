@@ -69,26 +69,18 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, p: Repeats) -> tuple[np.ndarray
         spans = byte_spans(seg)
         grams = (spans.total[gram:] - spans.total[:-gram]) * spans.back[: len(seg) - gram + 1]
         key = (mixed(grams) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        low = np.zeros(len(fit), dtype=np.uint32)
-        mins = _slide(key, w, np.minimum)[: len(fit)]
-        low[: len(mins)] = mins
-        low[~fit] = 0
-        pad = np.zeros(w - 1, dtype=np.uint32)
-        top = _slide(np.concatenate([pad, low, pad]), w, np.maximum)[: len(key)]
-        at = np.flatnonzero(top == key[: len(top)])
-        own, left, right = key[at], np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-        back = on = np.arange(len(at))
-        for k in range(1, w):
-            back, on = back[at[back] >= k], on[at[on] + k < len(key)]
-            back, on = back[key[at[back] - k] > own[back]], on[key[at[on] + k] >= own[on]]
-            left[back] += 1
-            right[on] += 1
-        text = np.searchsorted(heads, at + x, side="right") - 1
-        first = np.maximum(np.maximum(at - left, 0) + x, heads[text])
-        last = np.minimum(np.minimum(at, at + right - w + 1), len(fit) - 1) + x
-        last = np.minimum(last, tails[text] - p.length)
-        some = first <= last
-        at, first, last = at[some], first[some], last[some]
+        low = _slide(key, w, np.minimum)[: len(fit)].copy()
+        low[~fit[: len(low)]] = 0
+        # Starts of which the leftmost smallest hash is the same stand in a row: it changes where another value is the smallest, or the place itself has left the window.
+        first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (key[: len(low) - 1] == low[:-1])))
+        last = np.append(first[1:], len(low)) - 1
+        some = low[first] > 0
+        first, last = first[some], last[some]
+        came = (first > 0) & (low[first] < low[first - 1])
+        at = np.where(came, first + w - 1, last)
+        inside = np.flatnonzero(~came & (key[last] != low[last]))
+        at[inside] = first[inside] + np.argmax(key[first[inside, None] + np.arange(w)] == low[first[inside], None], axis=1)
+        first, last = first + x, last + x
         found.append((at + x, spans.hashes(at, at + p.symbol), first, last))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -109,18 +101,32 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, p: Repeats) -> tuple[np.ndarray
     return at, key, first, last
 
 
-def _symbols(p: Repeats):
-    """Each shard's sorted distinct symbols."""
+ANCHORS = "shard long, ids binary, none binary, bounds binary, at binary, key binary, low binary, high binary"
+
+
+def _anchored(p: Repeats):
+    """Each shard's anchors, found once: places (as differences), symbols, and the distances back to the first and last strings of which each is the anchor (low, high; no such string: 0 and 255)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                keys, n = np.unique(anchors(*unpacked(row), p)[1], return_counts=True)
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n), pa.array(np.full(len(keys), row["shard"])), pa.array(np.arange(len(keys)))], names=["key", "n", "shard", "k"])
+                at, key, first, last = anchors(*unpacked(row), p)
+                some = first <= last
+                found = cells(at=np.diff(at, prepend=0).astype("<i4"), key=key.astype("<u8"), low=np.where(some, at - first, 0).astype("<u1"), high=np.where(some, at - last, 255).astype("<u1"))
+                kept = {c: row[c] for c in ("shard", "ids", "none", "bounds")}
+                yield pa.RecordBatch.from_pylist([kept | found], schema=pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in ("ids", "none", "bounds", *found)]]))
 
     return run
 
 
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shard's sorted distinct symbols."""
+    for batch in batches:
+        for row in rows_of(batch):
+            keys, n = np.unique(np.frombuffer(row["key"], "<u8"), return_counts=True)
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n), pa.array(np.full(len(keys), row["shard"])), pa.array(np.arange(len(keys)))], names=["key", "n", "shard", "k"])
+
+
 #: A shard's state: for each suffix whose first symbol is repeated its place, number among the shard's anchors, text, first block, block (-1: no other suffix is
 #: alike any more), bytes that its block shares (depth) and needs to share for all strings up to the next anchor (need), and where the strings of its anchor
 #: start; whether those strings start earlier too (hit), are still open, and are to be compared one by one.
@@ -201,21 +207,20 @@ def _names(rows: pa.Table, size: int) -> np.ndarray:
 
 
 def _begun(p: Repeats):
-    """States from the texts of a shard and the names of its repeated symbols."""
+    """States from the anchors of a shard and the names of its repeated symbols."""
 
-    def run(_, texts: pa.Table, names: pa.Table) -> pa.Table:
-        row = next(rows_of(texts))
-        buf, bounds = unpacked(row)
-        at, key, first, last = anchors(buf, bounds, p)
+    def run(_, found: pa.Table, names: pa.Table) -> pa.Table:
+        row = next(rows_of(found))
+        at, key, low, high = (np.frombuffer(row[c], kind) for c, kind in (("at", "<i4"), ("key", "<u8"), ("low", "<u1"), ("high", "<u1")))
+        at, bounds = np.cumsum(at, dtype=np.int64), np.frombuffer(row["bounds"], "<i8")
         symbols, k = np.unique(key, return_inverse=True)
         block = _names(names, len(symbols))[k]
         text = np.searchsorted(bounds, at, side="right") - 1
-        after = np.append(at[1:], len(buf))
+        after = np.append(at[1:], bounds[-1])
         end = np.minimum(after, bounds[text + 1] - p.length + 1)
         need = np.where(end > at, end - 1 - at + p.length, 0)
         keep = np.flatnonzero(block >= 0)
-        low, high = at - first, np.where(first <= last, at - last, 255)
-        arrays = {"at": at, "ord": np.arange(len(at)), "origin": block, "block": block, "depth": np.full(len(at), p.symbol), "need": need, "low": np.where(first <= last, low, 0), "high": high, **{c: np.zeros(len(at)) for c in ("hit", "open", "compare")}}
+        arrays = {"at": at, "ord": np.arange(len(at)), "origin": block, "block": block, "depth": np.full(len(at), p.symbol), "need": need, "low": low, "high": high, **{c: np.zeros(len(at)) for c in ("hit", "open", "compare")}}
         texts = {"ids": np.frombuffer(row["ids"], "<i8"), "none": np.frombuffer(row["none"], "<u1"), "bounds": bounds}
         return _row(row["shard"], {c: a[keep] for c, a in arrays.items()} | texts)
 
@@ -372,8 +377,10 @@ def merged_blocks(texts: DataFrame, p: Repeats) -> DataFrame:
     counts, those of a range are named by their places in order, and a suffix whose pair stands only once leaves. A suffix that shares all that it needs keeps its block.
     Only what still stands more than once is sorted, and no more than its pair of blocks.
     """
-    symbols = texts.select("shard", "bounds", "data").mapInArrow(lean(_symbols(p)), "key long, n long, shard long, k long")
-    states, depth, step, number = bucketed(_met(texts, named_groups(symbols, ["key"]), _begun(p), STATES), "shard", "begun", dealt=True), 1, 1, 1
+    found = bucketed(texts.mapInArrow(lean(_anchored(p)), ANCHORS), "shard", "anchors", dealt=True)
+    symbols = found.select("shard", "key").mapInArrow(lean(_symbols), "key long, n long, shard long, k long")
+    states, depth, step, number = bucketed(_met(found, named_groups(symbols, ["key"]), _begun(p), STATES), "shard", "begun", dealt=True), 1, 1, 1
+    dropped(found)
     while True:
         size, active = states.agg(F.sum("suffixes"), F.sum("active")).first()
         if (active or 0) <= p.few * (size or 0):
