@@ -22,12 +22,20 @@ def _plain(value: object, kind: pa.DataType) -> object:
     return value
 
 
-def canonical_json(value: Column) -> Column:
-    """A struct, map or array as canonical JSON; nulls within it are written, a null stays null. A NaN or infinite number has no JSON and ends the job."""
+def merged(value: dict, constants: dict) -> dict:
+    """value with the members of constants, object by object; where both have one that is no object, that of value stays."""
+    both = {k: merged(value[k], c) for k, c in constants.items() if isinstance(c, dict) and isinstance(value.get(k), dict)}
+    return constants | value | both
+
+
+def canonical_json(value: Column, constants: dict | None = None) -> Column:
+    """A struct, map or array as canonical JSON; nulls within it are written, a null stays null. constants (a struct's or map's alone) are members that every document has beside its own.
+    A NaN or infinite number has no JSON and ends the job."""
 
     @F.arrow_udf("string")
     def text(cells: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else compact_json(_plain(v, cells.type)) for v in cells.to_pylist()], pa.string())
+        plain = lambda v: merged(_plain(v, cells.type), constants) if constants else _plain(v, cells.type)
+        return pa.array([None if v is None else compact_json(plain(v)) for v in cells.to_pylist()], pa.string())
 
     return text(value)
 

@@ -30,14 +30,14 @@ def interval_measurements(spans: DataFrame) -> DataFrame:
     return kept.groupBy("phase").agg(F.count("*").alias("n"), F.sum("duration_seconds").alias("duration_seconds"), F.greatest(F.max("duration_seconds"), F.lit(0.0)).alias("longest_seconds"))
 
 
-def boundary_measurements(spans: DataFrame) -> DataFrame:
-    """Producer measurements at the ends of phases: calls are events; each counter's sum is null where nobody measured it, and has its own calls and seconds."""
+def boundary_measurements(spans: DataFrame, *keys: str) -> DataFrame:
+    """Producer measurements at the ends of phases, for each phase or value of keys: calls are events; each counter's sum is null where nobody measured it, and has its own calls and seconds."""
     ends = spans.where((F.col("measurement_kind") == "phase_boundary") & (F.col("event_kind") == "end"))
     measured = []
     for name in ("process_cpu_seconds", "gc_seconds", "allocated_bytes"):
         seconds = F.sum(F.when(F.col(name).isNotNull(), F.col("duration_seconds")))
         measured += [F.sum(name).alias(name), F.count(name).alias(f"{name}_calls"), F.coalesce(seconds, F.lit(0.0)).alias(f"{name}_wall")]
-    return ends.groupBy("phase").agg(F.count("*").alias("calls"), F.sum("duration_seconds").alias("wall_seconds"), *measured)
+    return ends.groupBy(*(keys or ("phase",))).agg(F.count("*").alias("calls"), F.sum("duration_seconds").alias("wall_seconds"), *measured)
 
 
 def control_counts(events: DataFrame) -> DataFrame:
@@ -69,17 +69,17 @@ def _is_gap() -> Column:
     return unknown | (F.coalesce("cpu_count", F.lit(0)) == 0) | (F.coalesce("missing_reason", F.lit("")) != "")
 
 
-def cpu_coverage(resources: DataFrame) -> DataFrame:
-    """What each allocation's cumulative CPU counter covers, in order of arrival (sample_sequence).
+def cpu_coverage(resources: DataFrame, *keys: str) -> DataFrame:
+    """What each allocation's cumulative CPU counter covers, in order of arrival (sample_sequence); with keys (a session, say) for each of their values.
 
     A sample without counter, stamp or width, or with a reason, is missing and ends a run. A sample not later than the latest
     one of its run is late: it is counted, and the next one is measured from the latest. An interval with a falling counter or another identity
     is discontinuous. All others are valid; those over COARSE_SECONDS are coarse. Profile samples and those without an allocation are left out.
     """
     kept = resources.where(~F.col("sampling_mode").eqNullSafe("profile_window") & (F.coalesce("allocation_id", F.lit("")) != ""))
-    arrival = W.partitionBy("allocation_id").orderBy("sample_sequence")
-    run = W.partitionBy("allocation_id", "run").orderBy("sample_sequence")
-    chain = W.partitionBy("allocation_id", "run", "kind").orderBy("sample_sequence")
+    arrival = W.partitionBy(*keys, "allocation_id").orderBy("sample_sequence")
+    run = W.partitionBy(*keys, "allocation_id", "run").orderBy("sample_sequence")
+    chain = W.partitionBy(*keys, "allocation_id", "run", "kind").orderBy("sample_sequence")
     rows = kept.withColumn("gap", _is_gap()).withColumn("run", F.sum(F.col("gap").cast("int")).over(arrival))
     rows = rows.withColumn("latest", F.max(F.when(~F.col("gap"), F.col("monotonic_ns"))).over(run.rowsBetween(W.unboundedPreceding, -1)))
     kind = F.when(F.col("gap"), 0).when(F.col("latest").isNotNull() & (F.col("monotonic_ns") <= F.col("latest")), 1).otherwise(2)
@@ -98,7 +98,7 @@ def cpu_coverage(resources: DataFrame) -> DataFrame:
     seen = F.when(F.col("kind") == 1, F.col("latest")).otherwise(F.col("monotonic_ns"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     coarse = F.col("wall") > COARSE_SECONDS
-    return rows.groupBy("allocation_id").agg(
+    return rows.groupBy(*keys, "allocation_id").agg(
         F.count("*").alias("samples"),
         F.count_if("valid").alias("valid_intervals"),
         F.count_if("gap").alias("missing_samples"),
@@ -116,17 +116,18 @@ def cpu_coverage(resources: DataFrame) -> DataFrame:
     )
 
 
-def excluded_samples(resources: DataFrame) -> DataFrame:
-    """Samples that cpu_coverage leaves out: profile samples, and others without an allocation."""
+def excluded_samples(resources: DataFrame, *keys: str) -> DataFrame:
+    """For each value of keys, samples that cpu_coverage leaves out: profile samples, and others without an allocation."""
     profile = F.col("sampling_mode").eqNullSafe("profile_window")
-    return resources.agg(F.count_if(profile).alias("profile_samples"), F.count_if(~profile & (F.coalesce("allocation_id", F.lit("")) == "")).alias("unidentified_samples"))
+    return resources.groupBy(*keys).agg(F.count_if(profile).alias("profile_samples"), F.count_if(~profile & (F.coalesce("allocation_id", F.lit("")) == "")).alias("unidentified_samples"))
 
 
-def coverage_ratios(coverage: DataFrame) -> DataFrame:
-    """Shares of cpu_coverage's rows; null wherever the denominator is unknown or zero."""
+def coverage_ratios(coverage: DataFrame, *keys: str) -> DataFrame:
+    """Shares of cpu_coverage's rows, by the same keys; null wherever the denominator is unknown or zero."""
     window = (F.col("last_sample_ns") - F.col("first_sample_ns")) / F.lit(1e9)
     share = lambda a, b: F.try_divide(F.col(a), F.nullif(F.col(b), F.lit(0.0)))
     return coverage.select(
+        *keys,
         "allocation_id",
         window.alias("observed_window_seconds"),
         F.when(window > 0, F.col("covered_wall_seconds") / window).alias("window_covered"),
