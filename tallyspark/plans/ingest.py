@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import ingest as ops
-from tallyspark.plans.telemetry import epoch_us, table
+from tallyspark.operators import summaries, telemetry
+from tallyspark.plans.telemetry import COVERAGE_SQL, ROUNDED, as_resources, epoch_us, rounded, table
 
 ROWS, BYTES, SECONDS = 20, 2_000, 40_000.0
 
@@ -63,6 +64,33 @@ def _cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 4).alias("session"), F.when(F.col("s_suppkey") % 7 != 3, F.col("s_suppkey") % 4 != 1).alias("complete_at_observation"))
 
 
+def _whole_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as spans of three kinds; half of the boundaries are ends."""
+    line, q = F.col("l_linenumber"), F.col("l_quantity")
+    kind = F.when(line % 4 == 0, "interval").when(line % 4 == 1, "phase_boundary").otherwise("phase_duration")
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 5).alias("session"), F.col("l_returnflag").alias("phase"), F.col("l_linestatus").alias("timing_kind"), kind.alias("measurement_kind"),
+        F.when(F.col("l_partkey") % 2 == 0, "end").otherwise("begin").alias("event_kind"), q.alias("duration_seconds"), line.cast("long").alias("call_count"), (F.col("l_tax") == 0).alias("warmup"),
+        F.when(F.col("l_suppkey") % 3 != 0, q).alias("process_cpu_seconds"), F.when(F.col("l_partkey") % 3 == 0, q).alias("gc_seconds"), F.when(line > 4, line.cast("long")).alias("allocated_bytes"),
+    )
+
+
+def _whole_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_resources(table(spark, sf_dir, "events"), (F.col("user_id") % 6).alias("session"))
+
+
+def _whole_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select((n % 4).alias("session"), F.col("s_name").alias("source"), F.when(n % 7 != 3, n % 4 != 1).alias("complete_at_observation"), (n * 64).cast("long").alias("offset"))
+
+
+def whole_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session for each rest of a user's number, the odd ones closed."""
+    user = F.col("user_id") % 6
+    sessions = table(spark, sf_dir, "events").groupBy(user.alias("session")).agg(F.max("event_id").cast("long").alias("recorded_until_monotonic_ns")).withColumn("closed", F.col("session") % 2 == 1)
+    return summaries.session_summaries(sessions, _whole_spans(spark, sf_dir), _whole_resources(spark, sf_dir), _control(spark, sf_dir), _whole_cursors(spark, sf_dir))
+
+
 QUERIES = {
     "payload_bytes": lambda s, d: rows(s, d).select("arrival", "bytes"),
     "sample_sequences": lambda s, d: ops.sequenced(rows(s, d), F.col("value") < 150).select("session", "table_name", "arrival", "sample_sequence"),
@@ -75,13 +103,37 @@ QUERIES = {
     "session_registry": lambda s, d: ops.registered(table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("session"), F.lit("old").alias("pointer")), table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("session"), F.lit("new").alias("pointer"))),
     "missing_hardware": lambda s, d: ops.missing_hardware(passports(s, d)),
     "session_documents": lambda s, d: ops.summary_documents(_spans(s, d), _resources(s, d), _control(s, d), _cursors(s, d)),
+    "whole_session_summaries": whole_summaries,
+    "session_cpu_coverage": lambda s, d: rounded(telemetry.cpu_coverage(_whole_resources(s, d), "session"), 3),
+    "session_coverage_ratios": lambda s, d: rounded(telemetry.coverage_ratios(telemetry.cpu_coverage(_whole_resources(s, d), "session"), "session")),
+    "session_excluded_samples": lambda s, d: telemetry.excluded_samples(_whole_resources(s, d), "session"),
+    "session_producer_phases": lambda s, d: telemetry.boundary_measurements(_whole_spans(s, d), "session", "phase", "timing_kind"),
 }
 
 _EVENTS = """e AS (SELECT user_id % 20 AS session, event_id AS arrival, event_type = 'error' AS control, epoch_us(ts) / 1e6::DOUBLE AS secs, value,
     octet_length(encode(event_type)) + 16 + CASE WHEN event_id % 71 = 0 THEN (3000 - length(props)) * 2 + octet_length(encode(props)) WHEN event_id % 9 <> 0 THEN octet_length(encode(props)) ELSE 8 END AS bytes FROM events)"""
 _STAGED = "s AS (SELECT user_id % 20 AS session, event_id % 3 AS source, event_id // 10 AS batch, event_id * 64 AS off FROM events), w AS (SELECT session, max(batch) // 2 AS done FROM s GROUP BY 1), k AS (SELECT session, source, max(off) AS off FROM s JOIN w USING (session) WHERE batch <= done GROUP BY 1, 2)"
 
+#: Allocations of different sessions under names of their own, so that the same steps as for one session serve.
+_BY_SESSION = COVERAGE_SQL.replace("'a' || (user_id % 20)", "(user_id % 6) || ':a' || (user_id % 20)")
+_SESSION = "CAST(split_part(allocation_id, ':', 1) AS BIGINT) AS session, split_part(allocation_id, ':', 2) AS allocation_id"
+
 SQL = {
+    "session_cpu_coverage": f"WITH {_BY_SESSION} SELECT {_SESSION}, samples, {ROUNDED.replace(", 6)", ", 3)")}, first_sample_ns, last_sample_ns FROM cov",
+    "session_coverage_ratios": f"""
+        WITH {_BY_SESSION}, x AS (SELECT *, (last_sample_ns - first_sample_ns) / 1e9::DOUBLE AS w FROM cov)
+        SELECT {_SESSION}, round(w, 6) AS observed_window_seconds, round(CASE WHEN w > 0 THEN covered_wall_seconds / w END, 6) AS window_covered,
+               round(cpu_seconds / nullif(covered_wall_seconds, 0), 6) AS mean_busy_cpus, round(cpu_seconds / nullif(allocated_cpu_seconds, 0), 6) AS allocated_share,
+               round(cpu_seconds / nullif(observed_capacity_cpu_seconds, 0), 6) AS capacity_share FROM x""",
+    "session_excluded_samples": "SELECT user_id % 6 AS session, count_if(event_id % 29 = 0)::BIGINT AS profile_samples, count_if(event_id % 29 <> 0 AND event_id % 31 = 0)::BIGINT AS unidentified_samples FROM events GROUP BY 1",
+    "session_producer_phases": """
+        WITH b AS (SELECT l_suppkey % 5 AS session, l_returnflag AS phase, l_linestatus AS timing_kind, l_quantity AS q, CASE WHEN l_suppkey % 3 <> 0 THEN l_quantity END AS cpu,
+                          CASE WHEN l_partkey % 3 = 0 THEN l_quantity END AS gc, CASE WHEN l_linenumber > 4 THEN l_linenumber END AS mem FROM lineitem WHERE l_linenumber % 4 = 1 AND l_partkey % 2 = 0)
+        SELECT session, phase, timing_kind, count(*) AS calls, sum(q) AS wall_seconds,
+               sum(cpu) AS process_cpu_seconds, count(cpu) AS process_cpu_seconds_calls, coalesce(sum(CASE WHEN cpu IS NOT NULL THEN q END), 0) AS process_cpu_seconds_wall,
+               sum(gc) AS gc_seconds, count(gc) AS gc_seconds_calls, coalesce(sum(CASE WHEN gc IS NOT NULL THEN q END), 0) AS gc_seconds_wall,
+               CAST(sum(mem) AS BIGINT) AS allocated_bytes, count(mem) AS allocated_bytes_calls, coalesce(sum(CASE WHEN mem IS NOT NULL THEN q END), 0) AS allocated_bytes_wall
+        FROM b GROUP BY ALL""",
     "payload_bytes": f"WITH {_EVENTS} SELECT arrival, bytes::BIGINT AS bytes FROM e",
     "sample_sequences": f"WITH {_EVENTS}, q AS (SELECT session, CASE WHEN control THEN 'control_events' ELSE 'spans' END AS table_name, arrival, value, row_number() OVER (PARTITION BY session, control ORDER BY arrival) - 1 AS sample_sequence FROM e) SELECT session, table_name, arrival, sample_sequence FROM q WHERE value < 150",
     "bounded_batches": f"""

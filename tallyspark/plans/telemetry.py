@@ -37,11 +37,12 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_resources(table(spark, sf_dir, "events"))
 
 
-def as_resources(events: DataFrame) -> DataFrame:
-    """Events as samples of 20 allocations: counters that fall every 500 events, gaps, late stamps, changes of width, profile samples."""
+def as_resources(events: DataFrame, *more: Column) -> DataFrame:
+    """Events as samples of 20 allocations, with more columns of theirs: counters that fall every 500 events, gaps, late stamps, changes of width, profile samples."""
     n = F.col("event_id")
     every = lambda k: n % k == 0
     return events.select(
+        *more,
         n.alias("sample_sequence"),
         F.when(~every(31), F.concat(F.lit("a"), F.col("user_id") % 20)).alias("allocation_id"),
         F.when(~every(41), (epoch_us("ts") - F.when(every(11), 7_200_000_000).otherwise(0)) * 1000).alias("monotonic_ns"),
