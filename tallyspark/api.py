@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.operators import capture as files
 from tallyspark.operators import lineage, snapshot, transport
 from tallyspark.sources.store import settled
 
@@ -67,3 +68,26 @@ def receive(parts: DataFrame, receipt: DataFrame) -> DataFrame:
     restored = transport.restore(parts.select("archive", "sha256"))
     _refuse(restored.where(~F.contains(F.col("path"), F.col("sha256"))).select("path"), "an object is not what its name says")
     return restored
+
+
+def capture(spark: SparkSession, root: str, most_bytes: int, glob: str = "*", progress: Report | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, pieces) of the files below root: source_path, object, bytes, sha256 of each, and the contents of each object once (object, piece, data).
+
+    Files are listed without their contents, and if they are more than most_bytes together, or have names that may not be, nothing is read. A file that has grown, ended or gone since is refused too.
+    A live folder is no atomic snapshot: each file is what it was when it was read. A folder without files gives no rows. progress, if given, gets a dict for each phase.
+    """
+    report = progress or (lambda _: None)
+    report({"phase": "listing"})
+    listed = settled(files.listing(spark, root, glob), "listing")
+    _refuse(files.listing_violations(listed), "a file may not be captured")
+    _refuse(files.admission(listed, most_bytes).where("not admitted").select("path", "bytes", "before"), f"the files are more than {most_bytes} bytes")
+    total, n = listed.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    report({"phase": "capturing", "total_files": n, "total_bytes": total})
+    read = settled(files.read_pieces(listed.repartition("path"), root), "captured")
+    ends = read.where("piece is null")
+    _refuse(ends.where("fault is not null").select("path", "fault"), "a file changed while it was read")
+    entries = ends.select(F.col("path").alias("source_path"), F.concat(F.lit("objects/"), "sha256", F.lit(".bin")).alias("object"), "bytes", "sha256")
+    own = entries.groupBy("object").agg(F.min("source_path").alias("path"))
+    pieces = read.where("piece is not null").select("path", "piece", "data").join(own, "path").select("object", "piece", "data")
+    report({"phase": "completed", "total_files": n, "total_bytes": total})
+    return entries, pieces

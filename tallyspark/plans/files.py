@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.strict_json import contract_fault
-from tallyspark.operators import compaction, history, lineage, telemetry, views
+from tallyspark.operators import capture, compaction, history, lineage, telemetry, views
 from tallyspark.plans.proofs import numbered
 from tallyspark.plans.telemetry import rounded, table
 from tallyspark.plans.transport import axis, cells
@@ -125,7 +125,25 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("series"), F.col("event_id").cast("double").alias("at"), F.col("event_type").alias("label"))
 
 
+#: Bytes that the queries' captures may hold.
+CAPTURE_BYTES = 300_000
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as listed files: some names are unsafe, some there twice, some sizes unknown."""
+    n = F.col("page_id")
+    name = F.concat(F.when(n % 23 == 1, "/").when(n % 29 == 2, "a//").when(n % 31 == 3, "../").otherwise("p/"), F.when(n % 37 == 4, n - 1).otherwise(n).cast("string"))
+    return table(spark, sf_dir, "pages").select(F.when(n % 41 == 5, F.lit(None)).otherwise(name).alias("path"), F.when(n % 43 == 6, F.lit(None)).when(n % 47 == 7, F.lit(-1)).otherwise(F.octet_length("html")).cast("long").alias("bytes"))
+
+
+def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files_ = table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    return capture.admission(files_, CAPTURE_BYTES)
+
+
 QUERIES = {
+    "capture_admission": admitted,
+    "capture_listing_violations": lambda s, d: capture.listing_violations(listed(s, d)),
     "capture_violations": lambda s, d: files.capture_violations(*captured(s, d)),
     "container_faults": lambda s, d: files.container_faults(contents(s, d)),
     "contract_faults": lambda s, d: contracts(s, d).select("event_id", contract_fault(F.col("text"), "index-v2", "set-1", 110).alias("fault")),
@@ -170,6 +188,15 @@ _TAILS = """r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY e
 _AXIS = "a AS (SELECT figure, coordinate, row_number() OVER (PARTITION BY figure ORDER BY coordinate) - 1 AS i FROM (SELECT DISTINCT p_brand AS figure, p_size::DOUBLE AS coordinate FROM part))"
 
 SQL = {
+    "capture_admission": f"""
+        WITH f AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, coalesce(octet_length(encode(text)), 0)::BIGINT AS bytes FROM documents),
+        s AS (SELECT path, bytes, (sum(bytes) OVER (ORDER BY path) - bytes)::BIGINT AS before FROM f)
+        SELECT path, bytes, before, before + bytes <= {CAPTURE_BYTES} AS admitted FROM s""",
+    "capture_listing_violations": """
+        WITH f AS (SELECT CASE WHEN page_id % 41 <> 5 THEN CASE WHEN page_id % 23 = 1 THEN '/' WHEN page_id % 29 = 2 THEN 'a//' WHEN page_id % 31 = 3 THEN '../' ELSE 'p/' END || (page_id - CASE WHEN page_id % 37 = 4 THEN 1 ELSE 0 END)::VARCHAR END AS path,
+                          CASE WHEN page_id % 43 = 6 THEN NULL WHEN page_id % 47 = 7 THEN -1 ELSE octet_length(encode(html)) END AS bytes FROM pages)
+        SELECT path, 'name' AS rule FROM f WHERE path IS NULL OR path NOT LIKE 'p/%' UNION ALL SELECT path, 'size' FROM f WHERE bytes IS NULL OR bytes < 0
+        UNION ALL SELECT path, 'twice' FROM f GROUP BY path HAVING count(*) > 1""",
     "capture_violations": "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 37 = 1 THEN 'missing' WHEN doc_id % 41 = 2 THEN 'size' WHEN octet_length(encode(text)) <> octet_length(encode(regexp_replace(text, '^.', '~'))) THEN 'size' ELSE 'digest' END AS rule FROM documents WHERE doc_id % 37 = 1 OR doc_id % 41 = 2 OR (doc_id % 43 = 3 AND text <> regexp_replace(text, '^.', '~'))",
     "container_faults": """
         SELECT event_id || CASE event_id % 3 WHEN 0 THEN '.json' ELSE '.txt' END AS path, CASE WHEN event_id % 11 = 4 THEN 'encoding' ELSE 'root' END AS fault FROM events
