@@ -120,12 +120,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
         own = rows.where(F.size("v") == dim)
         sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()
         codes, radius = learned(np.stack(sample["v"]).astype(np.float64), k, recall)
-        candidates, (queries, _) = packed(own, CANDIDATES, "candidates", substring_index(codes)), packed(own.where(is_query), QUERIES, "queries")
-        hits = written(against_all(candidates, queries, mih(k, codes, radius), "double"), "hits")
+        candidates, queries = packed(own, CANDIDATES, "candidates", substring_index(codes)), packed(own.where(is_query), QUERIES, "queries")
+        hits = written(against_all(candidates, queries, mih(k, codes, radius), "double", k), "hits")
         got = hits.groupBy("query").agg(F.count("*").alias("got"))
-        few = written(query_rows(queries).join(got, "query", "left").where(F.coalesce("got", F.lit(0)) < min(k, many - 1)).select("query", "vec_id", "v"), "few")
-        again, _ = packed(few.select("vec_id", "v"), QUERIES, "again")
-        more = against_all(candidates, again, mih(k, codes, 8 * (-(-dim // 8))), "double").withColumn("query", -1 - F.col("query"))
+        few = written(query_rows(queries.table).join(got, "query", "left").where(F.coalesce("got", F.lit(0)) < min(k, many - 1)).select("query", "vec_id", "v"), "few")
+        again = packed(few.select("vec_id", "v"), QUERIES, "again")
+        more = against_all(candidates, again, mih(k, codes, 8 * (-(-dim // 8))), "double", k).withColumn("query", -1 - F.col("query"))
         part = best(hits.join(few.select("query"), "query", "left_anti").unionByName(more), k)
         out = part if out is None else out.union(part)
     return out if out is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

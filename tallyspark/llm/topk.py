@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
@@ -37,45 +39,54 @@ def exact_kind(x: np.ndarray, q: np.ndarray) -> type:
 
 
 class Reader:
-    """The sorted lists of a block, read for one query from the end that the sign of its component asks for."""
-
-    def __init__(self, values: np.ndarray, places: np.ndarray, query: np.ndarray):
-        self.n, self.query, self.places, self.values = values.shape[1], query, places, values
-        self.rising = np.array([w > 0 for w in query])
-        self.high = query * np.where(self.rising, values[:, -1], values[:, 0])  # the most that an entry still unread may give
-        self.low = query * np.where(self.rising, values[:, 0], values[:, -1])
-        self.depth = np.zeros(len(query), dtype=np.int64)
-        self.depth[np.array([w == 0 for w in query])] = self.n
-        self.sum, self.gain = (np.zeros(self.n, dtype=query.dtype) for _ in range(2))  # of the entries seen: their sum, and what they give beyond the least
-        self.seen = np.zeros((self.n, len(query)), dtype=bool)
-        self.seen[:, self.depth == self.n] = True
+    """The sorted lists of a block, read for all queries of a block of queries at once: as far from the one end of a list as from the other, so that each query meets its better entries first."""
+
+    def __init__(self, x: np.ndarray, places: np.ndarray, queries: np.ndarray):
+        self.x, self.places, self.n = x, places, len(x)
+        self.queries, self.up, self.down = queries, np.maximum(queries, 0), np.minimum(queries, 0)
+        self.first, self.last = self.entries(np.zeros(x.shape[1], dtype=np.int64)), self.entries(np.full(x.shape[1], self.n - 1))
+        self.high, self.low = self.last.copy(), self.first.copy()  # the entries that come next from above and from below
+        self.depth = np.zeros(x.shape[1], dtype=np.int64)
+        self.rank = np.empty(x.shape, dtype=np.int64)
+        np.put_along_axis(self.rank, places.T.astype(np.int64), np.arange(self.n)[:, None], axis=0)
         self.read = 0
 
-    def turn(self) -> bool:
-        """Reads on in some lists; whether there was anything to read."""
-        left = np.flatnonzero(self.depth < self.n)
-        width = (self.high - self.low)[left]
-        step = -(-self.n // STEPS)
-        for d in left[np.argsort(-width, kind="stable")][: max(1, len(self.query) // TURN)]:
-            a, b = int(self.depth[d]), min(self.n, int(self.depth[d]) + step)
-            part = slice(self.n - b, self.n - a) if self.rising[d] else slice(a, b)
-            rows, gives = self.places[d, part], self.query[d] * self.values[d, part]
-            self.sum[rows] += gives
-            self.gain[rows] += gives - self.low[d]
-            self.seen[rows, d] = True
-            self.depth[d] = b
-            self.read += b - a
-            self.high[d] = self.query[d] * self.values[d, self.n - 1 - b if self.rising[d] else b] if b < self.n else self.low[d]
-        return len(left) > 0
-
-    def lower(self, rows: np.ndarray) -> np.ndarray:
-        return self.low.sum() + self.gain[rows]
-
-    def upper(self, rows: np.ndarray) -> np.ndarray:
-        unseen = ~self.seen[rows]
-        if self.query.dtype == object:
-            return self.sum[rows] + np.array([self.high[u].sum() for u in unseen] or [0], dtype=object)[: len(rows)]
-        return self.sum[rows] + unseen.astype(self.query.dtype) @ self.high
+    def entries(self, at: np.ndarray) -> np.ndarray:
+        d = np.arange(self.x.shape[1])
+        return self.x[self.places[d, at], d]
+
+    def most(self) -> np.ndarray:
+        """For each query the most that a row may score of which nothing is seen."""
+        return self.up @ self.high + self.down @ self.low
+
+    def on(self, asked: np.ndarray) -> bool:
+        """Reads on, in the lists whose unread range is widest for the queries asked, until half of that range is left; whether there was anything to read."""
+        up, down, step = self.up[asked].sum(axis=0), -self.down[asked].sum(axis=0), -(-self.n // STEPS)
+        used, start, any_read = (self.queries[asked] != 0).sum(axis=0), None, False
+        while True:
+            width = up * (self.high - self.first) + down * (self.last - self.low)
+            left = np.flatnonzero((self.depth < self.n) & (used > 0))
+            start = width.sum() if start is None else start
+            if not len(left) or any_read and 2 * width.sum() <= start:
+                return any_read
+            turn = left[np.argsort(-width[left], kind="stable")][: max(1, len(width) // TURN)]
+            was = self.depth[turn]
+            self.depth[turn] = np.minimum(self.n, was + step)
+            self.read += int(((self.depth[turn] - was) * used[turn]).sum())
+            done = self.depth == self.n
+            inside = np.minimum(self.depth, self.n - 1)
+            self.high, self.low = np.where(done, self.first, self.entries(self.n - 1 - inside)), np.where(done, self.last, self.entries(inside))
+            any_read = True
+
+    def bounds(self, asked: np.ndarray, rows: np.ndarray, above: bool) -> np.ndarray:
+        """A bound of the score of each row for each query asked: what is seen of it, and of what is not the best that may come next (above), or the worst of the list."""
+        whole, part, none = self.depth == self.n, (self.depth > 0) & (self.depth < self.n), self.depth == 0
+        high, low = (self.high, self.low) if above else (self.first, self.last)
+        up, down, x, rank = self.up[asked], self.down[asked], self.x[rows], self.rank[rows][:, part]
+        rising = np.where(rank >= self.n - self.depth[part], x[:, part], high[part])
+        falling = np.where(rank < self.depth[part], x[:, part], low[part])
+        sums = self.queries[asked][:, whole] @ x[:, whole].T + up[:, part] @ rising.T + down[:, part] @ falling.T
+        return sums + (up[:, none] @ high[none] + down[:, none] @ low[none])[:, None]
 
 
 def nra(k: int, scale: float):
@@ -84,33 +95,37 @@ def nra(k: int, scale: float):
     def search(part: Part, q_ids: np.ndarray, q_cells: np.ndarray, least: np.ndarray | None):
         x, q = integers(part.cells, scale), integers(q_cells, scale)
         kind, (n, dim) = exact_kind(x, q), x.shape
+        none = -1 - dim * int(np.abs(x).max()) * int(np.abs(q).max())  # less than any bound
         x, q = x.astype(kind), q.astype(kind)
-        places = np.frombuffer(part.lists, "<u2").reshape(dim, n)
-        values = np.take_along_axis(x.T, places.astype(np.int64), axis=1)
         beat = np.full(len(q), None, dtype=object) if least is None else least.copy()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for j in range(len(q)):
-            reader = Reader(values, places, q[j])
-            alive = np.flatnonzero(part.ids != q_ids[j])
-            if beat[j] is not None and reader.high.sum() < beat[j]:
-                continue  # nothing in this block can qualify
-            while len(alive) > k and reader.turn():
-                lower = reader.lower(alive)
-                bar = np.partition(lower, len(alive) - k)[len(alive) - k] if kind is not object else sorted(lower)[len(alive) - k]
-                bar = bar if beat[j] is None else max(bar, beat[j])
-                alive = alive[reader.upper(alive) >= bar]
-            search.read += reader.read
-            score = (x[alive] * q[j]).sum(axis=1) if len(alive) else np.zeros(0, dtype=kind)
-            top = top_places(score, part.ids[alive], k)
-            found.append((np.full(len(top), j), alive[top], score[top]))
+        bars = np.array([none if b is None else max(none, min(-none, int(b))) for b in beat]).astype(kind)
+        known = np.array([b is not None for b in beat], dtype=bool)
+        reader = Reader(x, np.frombuffer(part.lists, "<u2").reshape(dim, n), q)
+        alive = (part.ids != q_ids[:, None]) & (reader.most() >= bars).astype(bool)[:, None]  # where that is false, nothing in this block can qualify
+        asked = np.arange(len(q))
+        while len(asked := asked[alive[asked].sum(axis=1) > k]) and reader.on(asked):
+            rows = np.flatnonzero(alive[asked].any(axis=0))
+            if len(fresh := asked[~known[asked]]):  # no block before gives a score to beat: the k-th lower bound does
+                lower = np.where(alive[np.ix_(fresh, rows)], reader.bounds(fresh, rows, above=False), bars[fresh][:, None])
+                bars[fresh] = (np.sort if kind is object else partial(np.partition, kth=len(rows) - k))(lower, axis=1)[:, len(rows) - k]
+            alive[np.ix_(asked, rows)] &= (reader.bounds(asked, rows, above=True) >= bars[asked][:, None]).astype(bool)
+        search.read += reader.read
+        query, row = np.nonzero(alive)
+        score = (q @ x.T)[query, row] if 16 * len(row) > alive.size else (x[row] * q[query]).sum(axis=1)
+        fine = np.flatnonzero((score >= bars[query]).astype(bool))
+        query, row, score = query[fine], row[fine], score[fine]
+        found = [np.zeros(0, dtype=np.int64)]
+        starts = np.searchsorted(query, np.arange(len(q) + 1))
+        for j in np.flatnonzero(starts[1:] > starts[:-1]):
+            own = slice(starts[j], starts[j + 1])
+            top = starts[j] + top_places(score[own], part.ids[row[own]], k)
+            found.append(top)
             if len(top) == k:
                 worst = int(score[top].min())
                 beat[j] = worst if beat[j] is None else max(beat[j], worst)
-        if not found:
-            return (np.zeros(0, dtype=np.int64),) * 3, beat
-        query, row, score = (np.concatenate(c) for c in zip(*found))
-        fits = np.array([max(-LONG, min(LONG - 1, int(v))) for v in score], dtype=np.int64)
-        return (query, row, fits), beat
+        top = np.concatenate(found)
+        fits = np.array([max(-LONG, min(LONG - 1, int(v))) for v in score[top]], dtype=np.int64)
+        return (query[top], row[top], fits), beat
 
     search.read = 0
     return search
@@ -120,14 +135,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     """query_id, rank (from 1), vec_id, score: for each query row of vectors (vec_id: long, embedding) its k best other rows.
 
     A component x counts as floor(scale * x); the score is the integer inner product. A block of candidates is written with one sorted
-    list for each dimension. For a query the lists are read step by step from their better ends, those with the widest unread range first. What has been
-    seen of a candidate bounds its score from below (unread: the list's least part) and above (unread: what comes next in the list); candidates whose upper
-    bound lies below the k-th lower bound, or below the k-th score of the blocks before, go, and reading stops when no more than k are left or nothing is left to read. Those that stay
+    list for each dimension. The lists are read step by step for a block of queries at once, from the end that is better for each, those with the widest unread range first. What has been
+    seen of a candidate bounds its score from below (unread: the list's least part) and above (unread: what comes next in the list), which is compared whenever half of the unread range is gone. Candidates whose upper
+    bound lies below the k-th lower bound, or below the k-th score of the blocks before, go, and reading stops for a query when no more than k are left or nothing is left to read. Those that stay
     get their final scores. The blocks' k best then meet. Ties go to the smaller vec_id; fewer candidates than
     k give all of them. Sums too large for 64 bits are made of Python's integers; a score beyond a long is given as the largest or smallest long. Rows with null vec_id, or vectors that
     are null, empty, or hold nulls or non-finite components take no part; a zero vector does. Rows of another dimension are no candidates. Rows that share a vec_id
     each take part, as queries each with k of their own, but none is a candidate of its own id.
     """
     rows = usable(vectors, zero_too=True)
-    candidates, (queries, _) = packed(rows, CANDIDATES, "candidates", sorted_lists(scale)), packed(rows.where(is_query), QUERIES, "queries")
-    return best(written(against_all(candidates, queries, nra(k, scale), "long"), "hits"), k)
+    candidates, queries = packed(rows, CANDIDATES, "candidates", sorted_lists(scale)), packed(rows.where(is_query), QUERIES, "queries")
+    return best(written(against_all(candidates, queries, nra(k, scale), "long", k), "hits"), k)

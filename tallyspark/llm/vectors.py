@@ -54,11 +54,18 @@ def _pack(size: int, index: Callable[[np.ndarray], bytes] | None):
     return run
 
 
-def packed(rows: DataFrame, size: int, name: str, index: Callable[[np.ndarray], bytes] | None = None) -> tuple[DataFrame, int]:
-    """Blocks of at most `size` rows, each of one dimension, written once with their index, which is what index gives for a block's cells; and the number of tasks that packed them, about 16 blocks each."""
+class Blocks(NamedTuple):
+    """A written table of blocks, and the number of tasks that packed them."""
+
+    table: DataFrame
+    tasks: int
+
+
+def packed(rows: DataFrame, size: int, name: str, index: Callable[[np.ndarray], bytes] | None = None) -> Blocks:
+    """Blocks of at most `size` rows, each of one dimension, written once with their index, which is what index gives for a block's cells; a task packs about 16 blocks."""
     many = rows.count()
     parts = max(1, min(4 * spread(rows.sparkSession), -(-many // size)), -(-many // (16 * size)))
-    return written(rows.repartition(parts).mapInArrow(_pack(size, index), BLOCK), name), parts
+    return Blocks(written(rows.repartition(parts).mapInArrow(_pack(size, index), BLOCK), name), parts)
 
 
 class Part(NamedTuple):
@@ -72,36 +79,74 @@ class Part(NamedTuple):
 HITS = "query long, query_id long, vec_id long"
 #: A query row goes by its block and its place there.
 PLACES = 10
-#: Blocks of queries of which a task remembers the scores to beat.
-REMEMBERED = 256
-
-
-def against_all(candidates: tuple[DataFrame, int], queries: DataFrame, search: Callable, kind: str) -> DataFrame:
-    """Each block of queries against each block of candidates of the same dimension.
-
-    A copy of each block of queries goes to each part of the candidates; search(block of candidates, query ids, query cells, least)
-    gives (place of the query, place of the candidate, score) of what may stay, a few rows for each query, and the scores to beat in the
-    next block that the task compares with these queries; least holds those of the blocks before, or is None.
+#: Bytes of queries that a task holds, about.
+HELD = 32 << 20
+NO_HITS = (np.zeros(0, dtype=np.int64),) * 3
+
+
+class Asked:
+    """A block of queries in a task: the best found so far, and the scores to beat in the next block of candidates."""
+
+    def __init__(self, block: int, ids: np.ndarray, cells: np.ndarray):
+        self.block, self.ids, self.cells = block, ids, cells
+        self.least: np.ndarray | None = None
+        self.hits: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def meet(self, part: Part, search: Callable, k: int) -> None:
+        (query, row, score), self.least = search(part, self.ids, self.cells, self.least)
+        found = (query, part.ids[row], score)
+        query, ids, score = found if self.hits is None else (np.concatenate(c) for c in zip(self.hits, found))
+        order = np.lexsort((ids, ~score if score.dtype.kind == "i" else -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = order[place < k]
+        self.hits = (query[place < k], ids[kept], score[kept])
+        if self.least is not None:
+            for j, s in zip(query[place == k - 1], score[order[place == k - 1]].tolist()):
+                if s > -(1 << 63):
+                    self.least[j] = s if self.least[j] is None else max(self.least[j], s)
+
+    def batch(self) -> pa.RecordBatch:
+        query, ids, score = self.hits or NO_HITS
+        return pa.record_batch([pa.array((self.block << PLACES) + query), pa.array(self.ids[query]), pa.array(ids), pa.array(score)], names=["query", "query_id", "vec_id", "score"])
+
+
+def against_all(candidates: Blocks, queries: Blocks, search: Callable, kind: str, k: int) -> DataFrame:
+    """Of each query row the k best candidates of each slice of the candidates.
+
+    Queries go in groups of about HELD bytes, candidates in slices, a few for each core; each group meets each slice in a task of its own, which holds the
+    group and takes the blocks of the slice one by one. Both sides are shuffled: nothing is broadcast, and a block crosses once for each task that needs it.
+    search(block of candidates, query ids, query cells, least) gives (place of the query, place of the candidate, score) of what may stay, a few rows for
+    each query, and the scores to beat in the next block; least holds those of the blocks before, or is None.
     """
-    blocks, parts = candidates
-    sent = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    own = blocks.select(F.shiftright("block", 32).cast("int").alias("part"), F.col("dim").alias("d"), "ids", "cells", "lists")
-    pairs = own.join(sent, "part").where("d = dim").select("d", "ids", "cells", "lists", "q_block", "q_ids", "q_cells")
+    spark = queries.table.sparkSession
+    held = queries.table.agg(F.sum(F.col("dim") * F.length("ids"))).first()[0] or 0
+    groups = max(1, -(-held // HELD))
+    slices = max(1, min(candidates.tasks, -(-4 * spark.sparkContext.defaultParallelism // groups)))
+    task = F.shiftright("block", 32)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = queries.table.select((task % groups).alias("group"), each(slices).alias("slice"), F.lit(0).alias("kind"), "block", "dim", "ids", "cells", F.lit(b"").alias("lists"))
+    own = candidates.table.select(each(groups).alias("group"), (task % slices).alias("slice"), F.lit(1).alias("kind"), "block", "dim", "ids", "cells", "lists")
+    both = sent.select(*own.columns).union(own).withColumn("cell", (F.col("group") * slices + F.col("slice")).cast("int")).drop("group", "slice")
+    dealt = both.repartitionById(groups * slices, F.col("cell")).sortWithinPartitions("kind", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, np.ndarray] = {}
+        asked: list[Asked] = []
         for batch in batches:
             for i in range(len(batch)):
-                dim, ids, cells, lists, q_block, q_ids, q_cells = (batch.column(c)[i].as_py() for c in batch.schema.names)
-                ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                part = Part(ids, np.frombuffer(cells, "<f8").reshape(-1, dim), lists)
-                (q, c, score), beat = search(part, q_ids, np.frombuffer(q_cells, "<f8").reshape(-1, dim), least.get(q_block))
-                if len(least) >= REMEMBERED:
-                    least.clear()
-                least[q_block] = beat
-                yield pa.record_batch([pa.array((q_block << PLACES) + q), pa.array(q_ids[q]), pa.array(ids[c]), pa.array(score)], names=["query", "query_id", "vec_id", "score"])
-
-    return pairs.mapInArrow(run, f"{HITS}, score {kind}")
+                is_candidate, block, dim, ids, cells, lists = (batch.column(c)[i].as_py() for c in ("kind", "block", "dim", "ids", "cells", "lists"))
+                ids, cells = np.frombuffer(ids, "<i8"), np.frombuffer(cells, "<f8").reshape(-1, dim)
+                if not is_candidate:
+                    asked.append(Asked(block, ids, cells))
+                    continue
+                for q in asked:
+                    if q.cells.shape[1] == dim:
+                        q.meet(Part(ids, cells, lists), search, k)
+        for q in asked:
+            if q.hits:
+                yield q.batch()
+
+    return dealt.mapInArrow(run, f"{HITS}, score {kind}")
 
 
 def query_rows(queries: DataFrame) -> DataFrame:
