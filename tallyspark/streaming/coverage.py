@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -98,15 +102,46 @@ def fold(s: dict, row: dict) -> None:
     s["longest_interval_seconds"] = max(wall, s["longest_interval_seconds"] or wall)
 
 
+#: Samples of an allocation that a task sorts at once, and those of each sorted run that it holds as it merges them.
+RUN, PIECE = 100_000, 2048
+
+
+def in_order(frames: Iterable[pd.DataFrame], run: int = RUN) -> Iterator[dict]:
+    """The samples of frames by their number, equal ones as they come. Beyond `run` of them, sorted runs go to files of the task and are merged, so that a task never holds a whole allocation."""
+    with tempfile.TemporaryDirectory() as folder:
+        paths: list[str] = []
+        held: list[pd.DataFrame] = []
+
+        def ordered() -> pa.Table:
+            table = pa.Table.from_pandas(pd.concat(held), preserve_index=False)
+            for c in WHOLE:
+                at = table.schema.get_field_index(c)
+                table = table.set_column(at, c, table.column(c).cast(pa.int64()))
+            return table.take(pc.sort_indices(table, [("sample_sequence", "ascending")]))
+
+        def rows_of(path: str) -> Iterator[dict]:
+            with pa.OSFile(path) as file:
+                reader = pa.ipc.open_file(file)
+                for i in range(reader.num_record_batches):
+                    yield from reader.get_batch(i).to_pylist()
+
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) >= run:
+                table = ordered()
+                paths.append(f"{folder}/{len(paths)}")
+                with pa.OSFile(paths[-1], "wb") as file, pa.ipc.new_file(file, table.schema) as writer:
+                    writer.write_table(table, max_chunksize=PIECE)
+                held.clear()
+        rest = (row for batch in ordered().to_batches(max_chunksize=PIECE) for row in batch.to_pylist()) if held else iter(())
+        yield from heapq.merge(*map(rows_of, paths), rest, key=lambda r: r["sample_sequence"])
+
+
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     import json
 
     s = json.loads(state.get[0]) if state.exists else dict(FIRST)
-    rows = pd.concat([f.astype(object) for f in frames])
-    rows = rows.where(rows.notna(), None).to_dict("records")
-    for row in rows:
-        row.update({c: None if row[c] is None else int(row[c]) for c in WHOLE})
-    for row in sorted(rows, key=lambda r: r["sample_sequence"]):
+    for row in in_order(frames):
         fold(s, row)
     state.update((json.dumps(s),))
     yield pd.DataFrame([[key[0], *(s[c.split()[0]] for c in RESULT.split(", ")[1:])]], columns=[c.split()[0] for c in RESULT.split(", ")], dtype=object)
