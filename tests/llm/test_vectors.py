@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import topk, vectors
+from tallyspark.llm import multi_index, topk, vectors
 
 
 @pytest.mark.parametrize("held", [1 << 25, 2000])
@@ -38,3 +38,38 @@ def test_lists_are_read_for_a_block_of_queries_at_once():
         assert row[query == j].tolist() == want and score[query == j].tolist() == (ints[want] @ ints[j]).tolist() and beat[j] == score[query == j][-1]
     (query, _, _), _ = search(part, np.arange(64), cells[:64], np.array([10**30] * 64, dtype=object))
     assert not len(query)
+
+
+def sent_to_driver(spark):
+    """Bytes of results of each stage that has run."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).resultSize() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("ids", ["id", "id div 500"])
+def test_a_sample_is_not_sent_by_every_task(spark, ids):
+    rows = spark.range(0, 20_000, 1, 25).selectExpr(f"{ids} AS vec_id", "transform(sequence(1, 16), i -> sin(id * i)) AS embedding").withColumn("embedding", F.col("embedding").cast("array<float>"))
+    seen = set(sent_to_driver(spark))
+    found = multi_index.nearest(rows, F.col("vec_id") == 20, k=2, sample_rows=1000)
+    sent = {k: v for k, v in sent_to_driver(spark).items() if k not in seen}
+    assert found.count() and max(sent.values()) < 600_000  # 25 tasks send 3 MB in all
+    got = multi_index.smallest_by_hash(vectors.usable(rows, zero_too=False), 20_000, 1000).collect()
+    hashes = sorted(r.h for r in rows.select(F.xxhash64("vec_id").alias("h")).collect())[:1000]
+    assert [r.h for r in spark.createDataFrame(got).select(F.xxhash64("vec_id").alias("h")).collect()] == hashes
+
+
+@pytest.mark.parametrize("radius", [2, 20, 40])
+def test_a_block_gives_the_best_within_the_radius_and_what_beats_those_before(radius):
+    rng = np.random.default_rng(12)
+    x = rng.integers(-3, 4, size=(600, 40)).astype(float)
+    x[300:330] = x[:30]
+    codes, asked = multi_index.Codes.fit(x), vectors.Asked(1, np.arange(0, 50), x[:50])
+    search, index = multi_index.mih(7, codes, radius), multi_index.substring_index(codes)
+    for a in range(0, 600, 200):
+        asked.meet(multi_index.Part(np.arange(600)[a : a + 200], x[a : a + 200], index(x[a : a + 200])), search, 7)
+        query, ids, score = asked.hits
+        for j in range(50):
+            near = [i for i in range(a + 200) if i != j and codes.far(codes.of(x[i : i + 1])[0], codes.of(x[j : j + 1])[0]) <= radius]
+            best = sorted((-(x[i] * x[j]).sum(), i) for i in near)[:7]
+            assert [(-s, i) for s, i in zip(score[query == j].tolist(), ids[query == j].tolist())] == best
