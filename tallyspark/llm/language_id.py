@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.scratch import written
+from tallyspark.llm.scratch import small_table, written
 from tallyspark.llm.text import blocks, byte_hashes, byte_spans, row_sums, word_bounds
 from tallyspark.llm.worker import forget, kept, lean
 
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, m: LanguageModels) -> tuple[list[str], np.ndarray]:
     p = np.full((len(pieces.all), len(langs)), 1 / len(pieces.all))
     if not langs:
         return langs, p
-    share = rows.sparkSession.createDataFrame([(lang, float(min(1.0, m.documents / sizes[lang]))) for lang in langs], "lang string, share double")
+    share = small_table(rows.sparkSession, [(lang, float(min(1.0, m.documents / sizes[lang]))) for lang in langs], pa.schema({"lang": pa.string(), "share": pa.float64()}))
     sample = rows.join(F.broadcast(share), "lang").where((F.xxhash64("text") / F.lit(2.0**64) + 0.5) < F.col("share")).select("lang", "text").distinct()
     words = sample.mapInArrow(lean(_words(m)), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(words, "words")

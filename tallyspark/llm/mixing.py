@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspark.llm.scratch import key_ranges, spread, written
+from tallyspark.llm.scratch import key_ranges, small_table, spread, written
 from tallyspark.llm.text import blocks, word_bounds
 from tallyspark.llm.worker import forget, lean
 
@@ -160,8 +160,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     known.sort(key=lambda r: (r.source is None, r.source or ""))
     target = targets([r.n for r in known], [weights[i % len(weights)] for i in range(len(known))], share, most)
     planned = [(i, r.source, r.n, t, -(-r.n // block), round(t * -(-r.n // block) / r.n) if r.n else 0) for i, (r, t) in enumerate(zip(known, target))]
-    table = spark.createDataFrame(planned, "source_no long, name string, source_size long, target double, blocks long, slots long")
-    sources = table.drop("blocks", "slots")
+    sources = small_table(spark, planned, pa.schema({"source_no": pa.int64(), "name": pa.string(), "source_size": pa.int64(), "target": pa.float64()}))
 
     named = sizes.join(F.broadcast(sources) if len(known) <= MOST_BROADCAST else sources, sizes.source.eqNullSafe(F.col("name"))).drop("name")
     ranged = named.where("size > 0").withColumn("bucket", key_ranges(sizes, "doc_id", spread(spark), F.col("size")))
@@ -189,7 +188,8 @@ def mixed_documents(docs: DataFrame, plan: Mix) -> DataFrame:
     texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     counted = texts.select("*", _count_udf()("text").alias("size"))
     numbered = counted.withColumn("no", F.row_number().over(W.partitionBy(*keys).orderBy("text")))
-    joined = numbered.join(rows, [numbered.doc_id.eqNullSafe(rows.doc_id), numbered.source.eqNullSafe(rows.source), numbered["size"] == rows["size"]])
+    # null-safe for sizes too: of a plain equality Spark makes a filter below, which counts the words once more by a second Python worker of the task
+    joined = numbered.join(rows, [numbered[c].eqNullSafe(rows[c]) for c in keys])
     out = joined.select("row", numbered.text, F.try_element_at("each", F.col("no")).getField("parts").alias("parts")).where("parts is not null")
     out = out.select("row", F.explode(_take_udf()("text", "parts")).alias("taken"))
     made = {"text": F.col("taken"), "n_chars": F.length("taken").cast("long")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,5 +92,10 @@ def key_ranges(df: DataFrame, key: str, parts: int, null_by: Column) -> Column:
     return F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(null_by), F.lit(parts))).otherwise(within).cast("long")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A few rows as a table, by Arrow. Plain rows would be an RDD of Python objects, for which each executor starts a daemon and workers beside those of its other tasks."""
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema))
+
+
 def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tallyspark.llm import queries
+from tallyspark.llm.graph import components
+from tallyspark.llm.scratch import small_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +91,28 @@ def test_run_gives_pieces_of_whole_sequences(spark):
         assert (r.sequence_id, r.offset) == divmod(at, 4096)
         at += r.length
     assert at > 0
+
+
+def test_mixing_counts_words_once_and_starts_no_second_kind_of_worker(spark):
+    """A plain join by size had its UDF once more in a filter, which is a second worker of each task; few rows given as they are start a Python daemon of their own."""
+    docs = spark.createDataFrame([(i, "a b c " * (i % 5), "en", f"s{i % 2}", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+    few = small_table(spark, [(1, "a"), (2, None)], pa.schema({"k": pa.int64(), "v": pa.string()}))
+    assert few.dtypes == [("k", "bigint"), ("v", "string")]
+    assert sorted(map(tuple, few.collect())) == [(1, "a"), (2, None)]
+    assert "PythonRDD" not in few._jdf.queryExecution().toRdd().toDebugString()
+    assert small_table(spark, [], pa.schema({"k": pa.int64()})).count() == 0
+
+
+def test_rounds_of_a_small_graph_write_few_files(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("60", "false")):
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.range(600).selectExpr("id src", "id - id % 3 dst"))
+        assert {r.node: r.component for r in found.collect()} == {i: i - i % 3 for i in range(600)}
+        assert len(found.inputFiles()) <= 12
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
